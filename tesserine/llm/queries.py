@@ -8,11 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserine.llm.common import documents
 from tesserine.llm.exact_dedup import exact_dedup
+from tesserine.llm.packing import pack_documents
 from tesserine.llm.quality_rules import RULES, STOP_WORDS, quality_rules
+from tesserine.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a public vocabulary is; it stays outside the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), tokenizer_path())
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("text")
 
@@ -21,9 +34,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), tokenizer_path(), keep_text=False)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 
 
