@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +50,29 @@ def let(value: Column, body) -> Column:
 def id_hash_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as decimal text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+class Scratch:
+    """Intermediate tables as Parquet files in the shared checkpoint folder.
+
+    Unlike ``checkpoint`` they are columnar and compressed, and can be dropped
+    as soon as the frame that reads them has been written.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.root = f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and read it back."""
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete all tables of this scratch folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,6 +10,7 @@ from tesserine.llm.common import documents
 from tesserine.llm.exact_dedup import exact_dedup
 from tesserine.llm.packing import pack_documents
 from tesserine.llm.quality_rules import RULES, STOP_WORDS, quality_rules
+from tesserine.llm.repeated_spans import remove_repeated_spans
 from tesserine.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_spans(documents(spark, sf_dir), digest=True)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("text")
 
@@ -40,6 +45,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_token_counts": op10_token_counts,
