@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserine.llm.bag_minhash import near_duplicates
 from tesserine.llm.common import documents
 from tesserine.llm.exact_dedup import exact_dedup
 from tesserine.llm.packing import pack_documents
@@ -39,6 +40,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer_path(), keep_text=False)
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_near_dedup": op7_near_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
