@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tesserine.llm import language_id, quality_cnn
 from tesserine.llm.bag_minhash import near_duplicates
-from tesserine.llm.common import documents
+from tesserine.llm.common import documents, id_hash_mod
 from tesserine.llm.exact_dedup import exact_dedup
 from tesserine.llm.packing import pack_documents
 from tesserine.llm.quality_rules import RULES, STOP_WORDS, quality_rules
@@ -32,6 +34,13 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_spans(documents(spark, sf_dir), digest=True)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    held_out = F.coalesce(id_hash_mod("doc_id", 5) == 0, F.lit(True))
+    learned = language_id.learn_sample(docs, held_out, "doc_id", "text", "lang")
+    return language_id.identify(docs, learned, [F.col("doc_id"), held_out.alias("held_out")])
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("text")
 
@@ -44,6 +53,14 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    held_out = F.coalesce(id_hash_mod("doc_id", 4) == 2, F.lit(True))
+    net = quality_cnn.train(*quality_cnn.learn_sample(docs, labels, ~held_out, "quality"))
+    return quality_cnn.classify(docs, net, [F.col("doc_id"), held_out.alias("held_out")])
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer_path(), keep_text=False)
 
@@ -51,9 +68,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op9_quality_cnn": op9_quality_cnn,
     "op10_token_counts": op10_token_counts,
 }
 
