@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from tesserine.llm import language_id, quality_cnn
 from tesserine.llm.bag_minhash import near_duplicates
-from tesserine.llm.common import documents, id_hash_mod
+from tesserine.llm.common import Scratch, documents, id_hash_mod
 from tesserine.llm.exact_dedup import exact_dedup
 from tesserine.llm.packing import pack_documents
 from tesserine.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from tesserine.llm.repeated_spans import remove_repeated_spans
 from tesserine.llm.token_counts import token_counts
+from tesserine.llm.warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +54,14 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    scratch = Scratch(spark)
+    records = round_trip(pages, f"{scratch.root}/warc")
+    scratch.drop()
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page_id").alias("refers_to"))
+
+
 def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
@@ -72,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op8_warc": op8_warc,
     "op9_quality_cnn": op9_quality_cnn,
     "op10_token_counts": op10_token_counts,
 }
