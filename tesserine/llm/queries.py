@@ -14,6 +14,7 @@ from tesserine.llm.exact_dedup import exact_dedup
 from tesserine.llm.packing import pack_documents
 from tesserine.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from tesserine.llm.repeated_spans import remove_repeated_spans
+from tesserine.llm.sentence_pieces import round_trips
 from tesserine.llm.token_counts import token_counts
 from tesserine.llm.warc import round_trip
 
@@ -50,6 +51,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_sentence_pieces": op6_sentence_pieces,
     "op7_near_dedup": op7_near_dedup,
     "op8_warc": op8_warc,
     "op9_quality_cnn": op9_quality_cnn,
