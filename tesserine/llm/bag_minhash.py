@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.blocks import Hasher, mix, ragged, text_blocks
-from tesserine.llm.common import Scratch, bound_batches, checkpoint
+from tesserine.llm.common import Scratch, bound_batches, checkpoint, keep_rows, text_key
 from tesserine.llm.components import components
 
 SHINGLE = 5
@@ -144,11 +144,11 @@ def band_keys(ids: np.ndarray) -> np.ndarray:
     return key
 
 
-FEATURES = "row long, doc_id {id}, n long, bag long, bag2 long, bands array<long>, signature binary"
+FEATURES = "row long, doc_id {id}, text_key long, n long, bag long, bag2 long, bands array<long>, signature binary"
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """Multiset hashes, band keys and a byte a slot of each text of ``rows`` (row, doc_id, text)."""
+    """Multiset hashes, band keys and a byte a slot of each text of ``rows`` (row, doc_id, text_key, text)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,13 +166,14 @@ def features(rows: DataFrame) -> DataFrame:
                     [
                         batch.column("row").slice(i, n),
                         batch.column("doc_id").slice(i, n),
+                        batch.column("text_key").slice(i, n),
                         pa.array(np.diff(first)),
                         pa.array((total[first[1:]] - total[first[:-1]]).view(np.int64)),
                         pa.array((total2[first[1:]] - total2[first[:-1]]).view(np.int64)),
                         pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * BANDS, keys.ravel().view(np.int64)),
                         pa.array([x.tobytes() for x in (ids & np.uint64(255)).astype(np.uint8)], pa.binary()),
                     ],
-                    ["row", "doc_id", "n", "bag", "bag2", "bands", "signature"],
+                    ["row", "doc_id", "text_key", "n", "bag", "bag2", "bands", "signature"],
                 )
 
     return rows.mapInArrow(scan, FEATURES.format(id=rows.schema["doc_id"].dataType.simpleString()))
@@ -277,7 +278,7 @@ def left_over_pairs(bands: DataFrame, nodes: DataFrame, labels: DataFrame) -> Da
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, class_size and kept of every row of ``docs``.
+    """doc_id, class_id, class_size, kept and text_key of every row of ``docs``.
 
     Classes are the components of the graph that links two texts whose
     similarity is ``threshold`` (at least 0.8) or more.
@@ -288,7 +289,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bound_batches(spark)
     scratch = Scratch(spark)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = scratch.table(features(slim.withColumn("row", F.monotonically_increasing_id())))
+    found = scratch.table(features(slim.withColumn("row", F.monotonically_increasing_id()).withColumn("text_key", text_key("text"))))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
     bags = scratch.table(found.where("n > 0").groupBy("bag", "bag2").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), best.alias("best")))
     nodes = scratch.table(found.select(F.col("row").alias("node"), "doc_id", "n", "bag", "bag2", "bands", "signature").join(bags.select("node"), "node", "left_semi"))
@@ -315,13 +316,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classed = bags.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     totals = classed.groupBy("component").agg(F.min("best").alias("best"), F.sum("copies").alias("size"))
     named = scratch.table(classed.select("bag", "bag2", "component").join(totals, "component").select("bag", "bag2", "best", "size"))
-    alone = found.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    alone = found.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "text_key")
     grouped = (
         found.where("n > 0")
-        .select("row", "doc_id", "bag", "bag2")
+        .select("row", "doc_id", "bag", "bag2", "text_key")
         .join(named, ["bag", "bag2"])
-        .select("doc_id", F.col("best.id").alias("class_id"), F.col("size").alias("class_size"), (F.col("best.row") == F.col("row")).alias("kept"))
+        .select("doc_id", F.col("best.id").alias("class_id"), F.col("size").alias("class_size"), (F.col("best.row") == F.col("row")).alias("kept"), "text_key")
     )
     out = checkpoint(grouped.unionByName(alone))
     scratch.drop()
     return out
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns: one of each class."""
+    return keep_rows(docs, near_duplicates(docs, doc_id, text, threshold), doc_id, text)

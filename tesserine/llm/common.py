@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word definition: space and U+0009 to U+000D.
@@ -52,6 +52,33 @@ def id_hash_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def text_key(text: str) -> Column:
+    """What tells rows with one id apart: a hash of the text."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, judged: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judged`` (doc_id, text_key, kept; a row for each of them) keeps, all columns.
+
+    The lost rows are the smaller side, and adaptive execution broadcasts them
+    only if they are measured as small.  Of rows that repeat id and text those
+    beyond the kept one go as well.
+    """
+    keys = [F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")]
+    kept = judged.where("kept").select(*keys)
+    lost = judged.where(~F.col("kept")).select(*keys).distinct()
+    again = lost.alias("l").join(kept.alias("k"), F.col("l.__id").eqNullSafe(F.col("k.__id")) & (F.col("l.__key") == F.col("k.__key")), "left_semi")
+    again = checkpoint(again)
+    same = F.col("__id").eqNullSafe(F.col(doc_id)) & (F.col("__key") == text_key(text))
+    if not again.take(1):
+        return docs.join(lost, same, "left_anti")
+    gone = lost.alias("l").join(again.alias("k"), F.col("l.__id").eqNullSafe(F.col("k.__id")) & (F.col("l.__key") == F.col("k.__key")), "left_anti")
+    left = docs.join(gone, same, "left_anti")
+    one = Window.partitionBy(F.col(doc_id), text_key(text)).orderBy(F.lit(1))
+    repeated = left.join(again, same, "left_semi").withColumn("__nth", F.row_number().over(one)).where("__nth = 1").drop("__nth")
+    return left.join(again, same, "left_anti").unionByName(repeated)
+
+
 class Scratch:
     """Intermediate tables as Parquet files in the shared checkpoint folder.
 

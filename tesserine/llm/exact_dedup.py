@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import SPACE, checkpoint
+from tesserine.llm.common import SPACE, checkpoint, keep_rows, text_key
 
 FAN_IN = 8
 KEY = ["__digest", "__length", "__check"]
@@ -39,9 +39,10 @@ def _best() -> Column:
 def digest_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """A slim row for each document, with the run it belongs to."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.length(whole).alias("__chars"), F.regexp_replace(whole, f"{SPACE}+", "").alias("__normal"))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"), F.length(whole).alias("__chars"), F.regexp_replace(whole, f"{SPACE}+", "").alias("__normal"))
     return slim.select(
         "doc_id",
+        "text_key",
         "__chars",
         F.unhex(F.sha2("__normal", 256)).alias("__digest"),
         F.octet_length("__normal").alias("__length"),
@@ -63,7 +64,7 @@ def merge_runs(rows: DataFrame, n_runs: int, fan_in: int = FAN_IN) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
+    """doc_id, keep_id, group_size, kept, text_sha256 and text_key (of the original text) of every row."""
     rows = checkpoint(digest_rows(docs, doc_id, text))
     retained = merge_runs(rows, rows.rdd.getNumPartitions())
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in KEY]
@@ -76,11 +77,11 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             F.col("b.__n").alias("group_size"),
             (F.col("a.__row") == F.col("b.__best.r")).alias("kept"),
             F.lower(F.hex("a.__digest")).alias("text_sha256"),
+            "a.text_key",
         )
     )
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; rows are told apart by ``doc_id``."""
-    dropped = exact_dedup(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, F.col(doc_id) == F.col("__dropped"), "left_anti")
+    """The rows of ``docs`` that stay, all columns."""
+    return keep_rows(docs, checkpoint(exact_dedup(docs, doc_id, text).select("doc_id", "text_key", "kept")), doc_id, text)
