@@ -1,10 +1,544 @@
-"""Registry of the named queries over the test tables, each with its SQL twin."""
+"""Registry of the named queries over the test tables, each with its SQL twin.
+
+Documents stand for source files (``<source>/<doc_id>.txt``), embeddings for
+their vectors, benchmark passages for questions, events for requests and
+conversations for chat turns.  Every query runs over whole tables; a limit is
+a top-k of the operator itself.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tesserine.functions import code, ids, paths, tags, text
+from tesserine.operators import batching, bm25, c_units, chunking, embedding, evals, files, fusion, logs, prefetch, vectors
+from tesserine.plans import context, search
+from tesserine.sources.store import last_write_wins
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+SMALL_CAP, WINDOW, OVERLAP = 3, 45, 5
+
+
+def query(sql: str | None):
+    """Register a query under its function's name; integers become longs, as in the SQL twins."""
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return df.select(*(F.col(c.name).cast("long").alias(c.name) if isinstance(c.dataType, T.IntegerType) else F.col(c.name) for c in df.schema.fields))
+
+        run.__doc__ = f.__doc__
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---------------------------------------------------------------- frames
+
+def source_files(table) -> DataFrame:
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return table("documents").select("doc_id", path.alias("file"), "lang", "source", "text")
+
+
+def stored_chunks(table, overlap: int = 0) -> DataFrame:
+    return chunking.fixed_chunks(source_files(table), WINDOW, overlap).withColumnRenamed("file", "file_path")
+
+
+def questions(table) -> DataFrame:
+    vector = table("embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return table("benchmark").select(F.col("item_id").alias("query_id"), "text").join(vector, "query_id", "left")
+
+
+def corpus(table) -> DataFrame:
+    return table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def payload(table) -> DataFrame:
+    return table("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("folder"), F.col("source").alias("file_path"), F.array("lang").alias("tags"))
+
+
+def index(table) -> bm25.Bm25Index:
+    return bm25.build_index(table("documents"), "doc_id", "text")
+
+
+def both_lists(table, k: int) -> tuple[DataFrame, DataFrame]:
+    q = questions(table)
+    return vectors.search(corpus(table), q, k), bm25.search(index(table), q, k)
+
+
+# ------------------------------------------------------------ SQL pieces
+
+FILES_SQL = r"""files AS (
+  SELECT doc_id, coalesce(source, '') || '/' || doc_id || '.txt' AS file, lang, source, text,
+         CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(regexp_replace(text, '\n\z', ''), chr(10)) END AS l
+  FROM documents)"""
+
+
+def chunks_sql(window: int = WINDOW, overlap: int = 0) -> str:
+    return f"""{FILES_SQL}, chunks AS (
+  SELECT doc_id, file, lang, source, s + 1 AS start_line, s + len(l[s + 1 : s + {window}]) AS end_line,
+         array_to_string(l[s + 1 : s + {window}], chr(10)) AS snippet
+  FROM (SELECT *, unnest(range(0, len(l), {window - overlap})) AS s FROM files WHERE len(l) > 0))"""
+
+
+LISTS_SQL = r"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_-]+')) AS t FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM tok WHERE length(t) >= 2 GROUP BY ALL),
+dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY ALL),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY ALL),
+raw AS (SELECT t, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, st),
+idf AS (SELECT t, CASE WHEN r >= 0 THEN r ELSE 0.25 * (SELECT avg(r) FROM raw) END AS idf FROM raw),
+qt AS (SELECT item_id, t, count(*) AS m FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_-]+')) AS t FROM benchmark) WHERE length(t) >= 2 GROUP BY ALL),
+bs AS (SELECT item_id, tf.doc_id, round(sum(m * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))::DOUBLE, 6) AS score
+       FROM qt JOIN tf USING (t) JOIN idf USING (t) JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY ALL),
+bk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM bs WHERE score > 1e-9 QUALIFY r <= {k}),
+vs AS (SELECT q.vec_id AS item_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score
+       FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings d),
+vk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM vs WHERE score >= 0 QUALIFY r <= {k})"""
+
+FUSED_SQL = """fu AS (
+  SELECT item_id, doc_id, max(v) AS vector_score, max(vr) AS vr, max(br) AS br,
+         coalesce(1.0::DOUBLE / (60 + max(vr)), 0) + coalesce(1.0::DOUBLE / (60 + max(br)), 0) AS score
+  FROM (SELECT item_id, doc_id, score AS v, r AS vr, NULL AS br FROM {v} UNION ALL SELECT item_id, doc_id, NULL, NULL, r FROM {b}) GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, vr NULLS LAST, br) AS rank FROM fu)"""
+
+RELEVANT_SQL = """ra AS (
+  SELECT *, vector_score IS NULL OR vector_score >= {least} AS good, max((vector_score IS NULL OR vector_score >= {least})::INT) OVER (PARTITION BY item_id) AS anyok
+  FROM {frm} WHERE rank <= {cut}),
+rn AS (SELECT *, anyok = 0 AS relaxed, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS pos
+       FROM ra WHERE CASE WHEN anyok = 1 THEN good ELSE vector_score IS NULL OR vector_score >= 0 END),
+rl AS (SELECT * EXCLUDE (rank, pos), pos AS rank FROM rn WHERE pos <= {final})"""
+
+DIVERSE_SQL = """dv AS (
+  SELECT rl.*, coalesce(source, '') AS file, max(coalesce(vector_score, score, 0)) OVER (PARTITION BY item_id, coalesce(source, '')) AS best,
+         min(rank) OVER (PARTITION BY item_id, coalesce(source, '')) AS first, row_number() OVER (PARTITION BY item_id, coalesce(source, '') ORDER BY rank) AS nth
+  FROM rl LEFT JOIN documents USING (doc_id)),
+dn AS (SELECT item_id, doc_id, score, vector_score, row_number() OVER (PARTITION BY item_id ORDER BY best DESC, first, nth) AS pos FROM dv WHERE nth <= 2),
+de AS (SELECT * EXCLUDE (pos), pos AS rank FROM dn WHERE pos <= {final})"""
+
+
+def hits_sql(extra: str, final: str) -> str:
+    return f"WITH {LISTS_SQL.format(k=50)}, {extra}\n{final}"
+
+
+HYBRID = [FUSED_SQL.format(v="vk", b="bk"), RELEVANT_SQL.format(least=0.15, frm="fr", cut=100, final=50), DIVERSE_SQL.format(final=25)]
+HITS = "SELECT item_id, doc_id, rank, round(score, 6) AS score, vector_score FROM de"
+
+
+def hits(df: DataFrame) -> DataFrame:
+    return df.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"), "vector_score")
+
+
+# --------------------------------------------------------------- search
+
+@query(f"WITH {LISTS_SQL.format(k=10)} SELECT item_id, doc_id, score, r AS rank FROM bk")
+def bm25_topk(table):
+    """The ten best documents of each question by BM25."""
+    found = bm25.search(index(table), questions(table).select("query_id", "text"), 10)
+    return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+
+
+@query(f"WITH {LISTS_SQL.format(k=10)} SELECT item_id, doc_id, score, r AS rank FROM vk")
+def vector_topk(table):
+    """The ten nearest vectors of each question by cosine."""
+    found = vectors.search(corpus(table), questions(table), 10)
+    return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+
+
+@query(f"WITH {LISTS_SQL.format(k=50)}, {HYBRID[0]} SELECT item_id, doc_id, rank, round(score, 6) AS score, vector_score FROM fr")
+def rrf_fusion(table):
+    """Both lists of 50 fused."""
+    return hits(fusion.rrf(*both_lists(table, 50)))
+
+
+@query(hits_sql(", ".join(HYBRID), HITS))
+def hybrid_search(table):
+    """The search entry point: fusion, least cosine, two hits a file, 25 in all."""
+    found = search.hybrid_search(questions(table), corpus(table), index(table), payload(table), top_k=50, final_k=50)
+    return hits(fusion.diverse(found, 2, 25))
+
+
+FOLDER_SQL = """vf AS (SELECT vk.* EXCLUDE (r), row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM vk JOIN documents USING (doc_id) WHERE source = 'src3'),
+b3 AS (SELECT * FROM bs QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 150),
+b4 AS (SELECT b3.*, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM b3 JOIN documents USING (doc_id) WHERE source = 'src3' AND score > 1e-9),
+bf AS (SELECT * FROM b4 WHERE r <= 50)"""
+
+
+@query(hits_sql(", ".join([FOLDER_SQL, FUSED_SQL.format(v="vf", b="bf"), *HYBRID[1:]]), HITS))
+def hybrid_folder_filter(table):
+    """The same within a folder, which filters the vector hits after the search and the lexical ones among the best 150."""
+    placed = corpus(table).join(payload(table).select("id", "folder"), "id", "left")
+    found = search.hybrid_search(questions(table), placed, index(table), payload(table), top_k=50, final_k=50, folder="src3")
+    return hits(fusion.diverse(found, 2, 25))
+
+
+TAGS_SQL = """b3 AS (SELECT * FROM bs QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 150),
+b4 AS (SELECT b3.*, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM b3 JOIN documents USING (doc_id) WHERE lang IN ('fr', 'de') AND score > 1e-9),
+bt AS (SELECT * FROM b4 WHERE r <= 50)"""
+TAGGED_SQL = """ft AS (SELECT fr.* FROM fr LEFT JOIN documents USING (doc_id) WHERE item_id IN (SELECT item_id FROM bt) OR coalesce(lang IN ('fr', 'de'), false))"""
+
+
+@query(hits_sql(", ".join([TAGS_SQL, FUSED_SQL.format(v="vk", b="bt"), TAGGED_SQL, RELEVANT_SQL.format(least=0.15, frm="ft", cut=100, final=50), HYBRID[2]]), HITS))
+def hybrid_tag_filter(table):
+    """The same with a tag filter, which spares vector hits of questions that have lexical ones."""
+    found = search.hybrid_search(questions(table), corpus(table), index(table), payload(table), top_k=50, final_k=50, tags=["fr", "de"])
+    return hits(fusion.diverse(found, 2, 25))
+
+
+@query(hits_sql(", ".join([HYBRID[0].replace("UNION ALL SELECT item_id, doc_id, NULL, NULL, r FROM bk", ""), RELEVANT_SQL.format(least=0.4, frm="fr", cut=100, final=25)]), "SELECT item_id, doc_id, rank, vector_score, relaxed FROM rl"))
+def min_score_relax(table):
+    """Vector hits of at least 0.4; questions without any get those of 0 or more."""
+    found = vectors.search(corpus(table), questions(table), 50)
+    fused = fusion.rrf(found, found.limit(0)).where("rank <= 100")
+    return fusion.relevant(fused, 25, 0.4).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", "vector_score", "relaxed")
+
+
+@query(hits_sql(", ".join([HYBRID[0], RELEVANT_SQL.format(least=-1, frm="fr", cut=100, final=100), DIVERSE_SQL.format(final=8)]), HITS))
+def file_diversity(table):
+    """Two hits a file and eight in all, of the fused list."""
+    fused = fusion.rrf(*both_lists(table, 50)).join(payload(table), "id", "left")
+    return hits(fusion.diverse(fused, 2, 8))
+
+
+# -------------------------------------------------------------- chunking
+
+def _chunk_columns(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "start_line", "end_line", F.sha2("code_snippet", 256).alias("snippet_sha"))
+
+
+@query(f"WITH {chunks_sql()} SELECT doc_id, start_line, end_line, sha256(snippet) AS snippet_sha FROM chunks")
+def fixed_chunks(table):
+    """Windows of 45 lines."""
+    return _chunk_columns(stored_chunks(table))
+
+
+@query(f"WITH {chunks_sql(20, 5)} SELECT doc_id, start_line, end_line, sha256(snippet) AS snippet_sha FROM chunks")
+def fixed_chunks_overlap(table):
+    """Windows of 20 lines that share five."""
+    return _chunk_columns(chunking.fixed_chunks(source_files(table), 20, OVERLAP))
+
+
+@query(rf"""WITH {FILES_SQL}, ln AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS n FROM files),
+a AS (SELECT *, regexp_matches(line, '^[A-Z].*\.$') AS b,
+        CASE WHEN starts_with(line, 'The ') THEN 'DATA' WHEN starts_with(line, 'On') THEN 'PROCEDURE' END AS d, regexp_extract(line, '^(\S+)', 1) AS w FROM ln),
+c AS (SELECT *, sum(b::INT) OVER o AS seg, last_value(d IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS inf,
+        last_value(CASE WHEN b THEN 'S' || w WHEN d IS NOT NULL THEN 'N' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS ev FROM a WINDOW o AS (PARTITION BY doc_id ORDER BY n)),
+e AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, seg ORDER BY n) - 1) // {SMALL_CAP} AS sub, lead(inf) OVER o AS inf2, lead(d) OVER o AS d2, lead(n) OVER o AS n2 FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY n))
+SELECT doc_id, min(n) AS start_line, max(n) AS end_line, arg_max_null(CASE WHEN n2 IS NOT NULL THEN inf2 ELSE inf END, n) AS division,
+       arg_max_null(CASE WHEN d2 IS NULL AND ev[1] = 'S' THEN ev[2:] END, n) AS section_name,
+       CASE WHEN sub = 0 THEN arg_min_null(CASE WHEN b THEN w END, n) END AS paragraph_name, sha256(string_agg(line, chr(10) ORDER BY n)) AS snippet_sha
+FROM e GROUP BY doc_id, seg, sub""")
+def paragraph_chunks(table):
+    """Paragraph chunks of at most three lines, with sentences that fill a line as paragraphs."""
+    line = F.col("line")
+    rows = chunking.lines_of(source_files(table).select("doc_id", "text"))
+    division = F.when(line.startswith("The "), "DATA").when(line.startswith("On"), "PROCEDURE")
+    found = chunking.paragraph_chunks(rows, line.rlike(r"^[A-Z].*\.$"), division, F.regexp_extract(line, r"^(\S+)", 1), SMALL_CAP, file="doc_id")
+    return found.select("doc_id", "start_line", "end_line", "division", "section_name", "paragraph_name", F.sha2("code_snippet", 256).alias("snippet_sha"))
+
+
+def _roles_sql(value: str) -> str:
+    parts = [f"CASE WHEN {' OR '.join(f'contains({value}, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{role}' END" for role, words in tags.ROLES.items()]
+    return f"array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), ',')"
+
+
+@query(f"WITH {chunks_sql()} SELECT doc_id, start_line, {_roles_sql('upper(snippet)')} AS roles FROM chunks")
+def role_tags(table):
+    """Roles of each chunk."""
+    return stored_chunks(table).select("doc_id", "start_line", F.array_join(tags.role_tags(F.col("code_snippet")), ",").alias("roles"))
+
+
+def _phase_sql(value: str) -> str:
+    parts = " ".join(f"WHEN {' OR '.join(f'contains({value}, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in paths.PHASES.items())
+    return f"CASE {parts} ELSE 'middle-end' END"
+
+
+@query(f"WITH {FILES_SQL} SELECT doc_id, {_phase_sql('h')} AS phase FROM (SELECT doc_id, lower(file || ' ' || coalesce(text, '')) AS h FROM files)")
+def phase_routing(table):
+    """Phase by the words of path and text."""
+    return source_files(table).select("doc_id", paths.phase(F.concat_ws(" ", "file", F.coalesce("text", F.lit("")))).alias("phase"))
+
+
+@query(f"WITH {chunks_sql()}, k AS (SELECT *, file || '|' || start_line || '|' || end_line AS p FROM chunks) SELECT doc_id, start_line, sha256(p || chr(10) || snippet)[1:32] AS chunk_id, sha256(p || '|' || snippet)[1:24] AS parent_id FROM k")
+def chunk_ids(table):
+    """Names of chunks by place and content."""
+    parts = [F.col(c) for c in ("file_path", "start_line", "end_line", "code_snippet")]
+    return stored_chunks(table).select("doc_id", "start_line", ids.chunk_id(*parts).alias("chunk_id"), ids.parent_id(*parts).alias("parent_id"))
+
+
+@query(f"WITH {chunks_sql()}, p AS (SELECT *, {_phase_sql('lower(file)')} AS phase, string_split({_roles_sql('upper(snippet)')}, ',') AS t FROM chunks) SELECT doc_id, start_line, concat_ws(' ', '[phase:' || phase || ']', '[section:' || lang || ']', doc_id::VARCHAR, 'L' || start_line || '-' || end_line, CASE WHEN t <> [''] THEN array_to_string(t[1:5], ' ') END) AS prefix FROM p")
+def metadata_prefix(table):
+    """The prefix that stands for a chunk's context."""
+    none = F.lit(None).cast("string")
+    prefix = tags.metadata_prefix(
+        phase=paths.phase(F.col("file_path")), program=none, division=none, section=F.col("lang"), paragraph=none, name=paths.stem(F.col("file_path")),
+        start=F.col("start_line"), end=F.col("end_line"), tags=tags.role_tags(F.col("code_snippet")),
+    )
+    return stored_chunks(table).select("doc_id", "start_line", prefix.alias("prefix"))
+
+
+@query(r"""WITH f AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(coalesce(html, ''), 'href="([^"]+)"', 1), lambda x: trim(x)), lambda x: x <> '') AS l FROM pages),
+u AS (SELECT page_id, unnest(l) AS header, unnest(range(1, len(l) + 1)) AS i FROM f)
+SELECT page_id, header, row_number() OVER (PARTITION BY page_id ORDER BY min(i)) AS pos FROM u GROUP BY page_id, header""")
+def include_graph(table):
+    """References of each page, once each and in order, as edges."""
+    found = table("pages").select("page_id", F.posexplode(code.include_headers(F.col("html"), 'href="([^"]+)"')).alias("pos", "header"))
+    return found.select("page_id", "header", (F.col("pos") + 1).alias("pos"))
+
+
+@query(r"""WITH u AS (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), '\b([A-Za-z_]\w*)\s*\(', 1)) AS callee FROM pages)
+SELECT page_id, callee, count(*) AS n FROM u WHERE callee NOT IN (""" + ", ".join(f"'{w}'" for w in code.NOT_CALLED + code.C_KEYWORDS) + ") GROUP BY ALL")
+def call_graph_edges(table):
+    """Called names in each page, as edges with their number."""
+    calls = table("pages").select(F.col("page_id").alias("chunk_id"), code.calls(F.col("html")).alias("calls_functions"))
+    return c_units.call_edges(calls).withColumnRenamed("chunk_id", "page_id")
+
+
+# ------------------------------------------------- embedding and storing
+
+@query("""WITH v AS (SELECT doc_id, [('0x' || sha256(coalesce(text, ''))[8 * i + 1 : 8 * i + 8])::BIGINT * 0.2::DOUBLE / 4294967296.0::DOUBLE - 0.1::DOUBLE FOR i IN range(8)] AS e FROM documents)
+SELECT doc_id, round(e[1], 6) AS v1, round(e[2], 6) AS v2, round(e[8], 6) AS v32, 768 AS dim FROM v""")
+def pseudo_embed(table):
+    """Values of the deterministic embedding."""
+    rows = table("documents").select("doc_id", ids.pseudo_embedding(F.col("text")).alias("e"))
+    value = lambda i: F.round(F.get("e", F.lit(i)), 6)
+    return rows.select("doc_id", value(0).alias("v1"), value(1).alias("v2"), value(31).alias("v32"), F.size("e").alias("dim"))
+
+
+@query("""WITH c AS (SELECT DISTINCT sha256(coalesce(text, '')) AS sha FROM conversations WHERE turn <= 1)
+SELECT role, count(*) AS probes, sum((c.sha IS NOT NULL)::INT)::BIGINT AS hits FROM conversations v LEFT JOIN c ON sha256(coalesce(v.text, '')) = c.sha GROUP BY role""")
+def embed_cache_probe(table):
+    """Hits of all turns in a cache that has the first two of each conversation."""
+    turns = table("conversations")
+    cache = turns.where("turn <= 1").select(embedding.text_key(F.col("text")).alias("sha"), F.lit(1).alias("vector"))
+    return embedding.probe(turns, cache).groupBy("role").agg(F.count(F.lit(1)).alias("probes"), F.count("vector").alias("hits"))
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def upsert_dedupe(table):
+    """The last event of each user."""
+    return last_write_wins(table("events").select("user_id", "event_id", "event_type", "value", "ts"), "user_id", [F.col("ts"), F.col("event_id")]).drop("ts")
+
+
+@query("""WITH RECURSIVE t AS (SELECT source, lang, doc_id, greatest(1, length(coalesce(text, '')) // 3) AS n, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS i FROM documents),
+r AS (SELECT source, lang, doc_id, i, 0 AS batch, n AS total FROM t WHERE i = 1
+  UNION ALL SELECT t.source, t.lang, t.doc_id, t.i, CASE WHEN r.total + t.n > 18000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.total + t.n > 18000 THEN t.n ELSE r.total + t.n END
+  FROM r JOIN t ON t.i = r.i + 1 AND t.source IS NOT DISTINCT FROM r.source AND t.lang IS NOT DISTINCT FROM r.lang)
+SELECT source, lang, doc_id, batch::BIGINT AS batch FROM r""")
+def token_batches(table):
+    """Requests of at most 18,000 estimated tokens, in order, for each source and language."""
+    rows = table("documents").select("source", "lang", "doc_id", batching.estimated_tokens(F.col("text")).alias("tokens"))
+    return batching.requests(rows, ["source", "lang"], "doc_id", "tokens")
+
+
+# ------------------------------------------------------------ file views
+
+LINES_SQL = f"""{chunks_sql(WINDOW, OVERLAP)}, s AS (SELECT *, string_split(snippet, chr(10)) AS sl FROM chunks),
+x AS (SELECT doc_id, file, start_line, unnest(sl) AS line, unnest(range(0, len(sl))) + start_line AS n FROM s),
+t AS (SELECT file, max(end_line) AS total FROM chunks GROUP BY ALL)"""
+
+
+@query(f"""WITH {LINES_SQL}, o AS (SELECT file, n, arg_min(line, start_line) AS line FROM x WHERE n BETWEEN 10 AND 60 GROUP BY ALL)
+SELECT file AS file_path, sha256(string_agg(line, chr(10) ORDER BY n)) AS text_sha, any_value(total) AS total_lines FROM o JOIN t USING (file) GROUP BY file""")
+def file_lines(table):
+    """Lines 10 to 60 of each file from its chunks."""
+    found = files.line_ranges(stored_chunks(table, OVERLAP), F.lit(10), F.lit(60))
+    return found.select("file_path", F.sha2("text", 256).alias("text_sha"), "total_lines")
+
+
+@query(f"""WITH {LINES_SQL}, o AS (SELECT file, n, arg_max(line, start_line) AS line FROM x GROUP BY ALL),
+a AS (SELECT t.file, t.total, i.n, coalesce(o.line, '') AS line FROM t, LATERAL (SELECT unnest(range(1, t.total + 1)) AS n) i LEFT JOIN o ON o.file = t.file AND o.n = i.n)
+SELECT file AS file_path, sha256(string_agg(line, chr(10) ORDER BY n)) AS text_sha, any_value(total) AS total_lines FROM a GROUP BY file""")
+def full_file_view(table):
+    """Whole files from their chunks."""
+    found = files.full_files(stored_chunks(table, OVERLAP))
+    return found.select("file_path", F.sha2("text", 256).alias("text_sha"), "total_lines")
+
+
+@query(f"""WITH {chunks_sql()}, k AS (SELECT *, sha256(file || '|' || start_line || '|' || end_line || chr(10) || snippet)[1:32] AS chunk_id FROM chunks)
+SELECT chunk_id, file AS file_path, start_line, end_line FROM k WHERE contains(file, 'src1') AND chunk_id > '4' ORDER BY chunk_id LIMIT 100""")
+def list_chunks_page(table):
+    """A page of 100 chunks by key, of paths that contain a text."""
+    rows = stored_chunks(table)
+    rows = rows.withColumn("chunk_id", ids.chunk_id(F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("code_snippet")))
+    return files.chunk_page(rows, 100, after="4", contains="src1").select("chunk_id", "file_path", "start_line", "end_line")
+
+
+@query(f"""WITH {FILES_SQL}, w AS (SELECT DISTINCT item_id || '.txt' AS name FROM benchmark)
+SELECT name, min(file) AS path FROM w JOIN files ON file = name OR ends_with(file, '/' || name) GROUP BY name""")
+def find_file(table):
+    """Files by base name."""
+    wanted = table("benchmark").select(F.concat(F.col("item_id").cast("string"), F.lit(".txt")).alias("name"))
+    return files.found_files(source_files(table).select(F.col("file").alias("path")), wanted)
+
+
+def _router_sql(value: str) -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains({value}, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for words, name in paths.FOLDER_WORDS) + " END"
+
+
+@query(rf"""WITH q AS (SELECT conv_id, turn, trim(lower(text)) AS q FROM conversations)
+SELECT conv_id, turn, {_router_sql('q')} AS folder, nullif(upper(regexp_extract(q, '\b({"|".join(paths.DOC_NAMES)})\b', 1)), '') AS doc_file FROM q""")
+def query_router(table):
+    """Folder and documentation file that each turn is about."""
+    q = F.col("text")
+    return table("conversations").select("conv_id", "turn", paths.routed_folder(q).alias("folder"), paths.doc_file(q).alias("doc_file"))
+
+
+@query(f"""WITH {chunks_sql()}, k AS (SELECT *, sha256(file || '|' || start_line || '|' || end_line || chr(10) || snippet)[1:32] AS chunk_id FROM chunks),
+w AS (SELECT n_nationkey AS query_id, 'SRC' || n_nationkey AS name FROM nation)
+SELECT query_id, chunk_id, start_line, row_number() OVER (PARTITION BY query_id ORDER BY start_line, file, chunk_id) AS rank FROM w JOIN k ON contains(lower(file), lower(name)) QUALIFY rank <= 8""")
+def doc_route(table):
+    """The first eight chunks of the files that a name is part of."""
+    rows = stored_chunks(table)
+    rows = rows.withColumn("chunk_id", ids.chunk_id(F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("code_snippet")))
+    wanted = table("nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("SRC"), F.col("n_nationkey").cast("string")).alias("name"))
+    return files.doc_chunks(rows, wanted, 8).select("query_id", "chunk_id", "start_line", "rank")
+
+
+# ------------------------------------------------------------ evaluation
+
+@query(f"""WITH {LISTS_SQL.format(k=10)}, e AS (SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+q AS (SELECT e.item_id, count(*) AS n, count(bk.doc_id) AS found, min(bk.r) AS first FROM e LEFT JOIN bk ON bk.item_id = e.item_id AND bk.doc_id = e.doc_id GROUP BY ALL)
+SELECT count(*) AS queries_scored, round_even(avg((found > 0)::INT), 4) AS hit_rate_at_k, round_even(avg(found / n), 4) AS recall_at_k, round_even(avg(coalesce(1.0 / first, 0)), 4) AS mrr FROM q""")
+def retrieval_eval(table):
+    """Metrics of the BM25 list against the documents that hold a passage whole."""
+    items = [(r["item_id"], r["text"]) for r in table("benchmark").select("item_id", "text").collect()]
+    if len(items) > 10_000:
+        raise ValueError("too many passages for one batch")
+    passages = F.array(*(F.struct(F.lit(i).alias("item"), F.lit(t).alias("text")) for i, t in items))
+    held = table("documents").select("doc_id", F.explode(F.filter(passages, lambda p: F.contains(F.col("text"), p["text"]))).alias("p"))
+    expected = held.select(F.col("p.item").alias("query_id"), F.col("doc_id").alias("path")).distinct()
+    run = bm25.search(index(table), questions(table).select("query_id", "text"), 10).withColumnRenamed("id", "path")
+    return evals.averaged(evals.query_metrics(run, expected, 10))
+
+
+NEAREST_SQL = """WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)"""
+
+
+@query(f"""{NEAREST_SQL} SELECT event_type, max(CASE WHEN r = round_even(0.5 * (n - 1), 0) + 1 THEN value END) AS p50,
+max(CASE WHEN r = round_even(0.95 * (n - 1), 0) + 1 THEN value END) AS p95, max(CASE WHEN r = round_even(0.99 * (n - 1), 0) + 1 THEN value END) AS p99 FROM o GROUP BY event_type""")
+def latency_percentiles(table):
+    """Nearest-rank percentiles of the values of each type."""
+    return evals.percentiles(table("events"), "event_type", "value", [50, 95, 99])
+
+
+@query(f"""{NEAREST_SQL} SELECT event_type, count(*) AS n, round_even(avg(value), 1) AS mean, round_even(stddev_pop(value), 1) AS stdev,
+round_even(max(CASE WHEN r = round_even(0.95 * (n - 1), 0) + 1 THEN value END), 1) AS p95, round_even(max(CASE WHEN r = round_even(0.99 * (n - 1), 0) + 1 THEN value END), 1) AS p99 FROM o GROUP BY event_type""")
+def latency_by_type(table):
+    """Latency summary of each type."""
+    return evals.latency_summary(table("events"), "event_type", "value")
+
+
+@query("""SELECT role, count(*) AS queries_scored, round_even(avg((contains(lower(coalesce(text, '')), 'the') AND contains(lower(coalesce(text, '')), ' of ') AND NOT contains(lower(coalesce(text, '')), 'ing.'))::INT), 4) AS pass_rate FROM conversations GROUP BY role""")
+def answer_smoke(table):
+    """Share of turns with all of two phrases and without a third."""
+    ok = evals.answer_ok(F.col("text"), F.array(F.lit("The"), F.lit(" of ")), F.array(F.lit("ing."), F.lit(" ")))
+    return evals.pass_rate(table("conversations"), "role", ok)
+
+
+# --------------------------------------------------- logs and prefetching
+
+@query("SELECT event_id, event_type, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
+def recent_logs(table):
+    """The latest 200 rows."""
+    return logs.recent(table("events").select("event_id", "event_type", "user_id", "ts"), "ts", "event_id").drop("ts")
+
+
+@query("SELECT conv_id, sha256(text) AS text_sha, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text) AS place FROM (SELECT conv_id, text, max(turn) AS turn FROM conversations GROUP BY ALL) QUALIFY place <= 10")
+def prompt_history(table):
+    """The ten latest distinct texts of each conversation."""
+    rows = table("conversations").select("conv_id", "text", "turn")
+    return logs.prompt_history(rows, "conv_id", "text", "turn").select("conv_id", F.sha2("text", 256).alias("text_sha"), "turn", "place")
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - epoch_us(ts) AS gap FROM events) WHERE gap IS NULL OR gap > 1800000")
+def prefetch_debounce(table):
+    """Events that no other of the user follows within 1.8 seconds."""
+    return prefetch.debounced(table("events"), "user_id", "ts", "event_id").select("user_id", "event_id")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id, epoch_us(ts) AS t FROM events),
+a AS (SELECT user_id, min(t) AS t FROM e GROUP BY user_id UNION ALL SELECT a.user_id, min(e.t) FROM a JOIN e ON e.user_id = a.user_id AND e.t - a.t >= 15000000 GROUP BY a.user_id)
+SELECT user_id, t AS accepted_us FROM a""")
+def prefetch_cooldown(table):
+    """Events of each user that a cooldown of 15 seconds lets through."""
+    return prefetch.accepted(table("events"), "user_id", "ts").select("user_id", F.explode("times").alias("accepted_us"))
+
+
+@query("""WITH w AS (SELECT *, epoch_us(ts) - last_value(CASE WHEN event_type = 'view' THEN epoch_us(ts) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS age FROM events)
+SELECT event_id, coalesce(age <= 120000000, false) AS hit FROM w WHERE event_type <> 'view'""")
+def ttl_cache_lookup(table):
+    """Whether each read finds an entry, with views as sets."""
+    return prefetch.cached(table("events"), "user_id", "ts", "event_id", F.col("event_type") == "view").select("event_id", "hit")
+
+
+# ------------------------------------------------- summaries and contexts
+
+HEURISTIC_SQL = r"""WITH f AS (SELECT page_id, url, list_filter(list_transform(regexp_extract_all(coalesce(html, ''), 'href="([^"]+)"', 1), lambda x: trim(x)), lambda x: x <> '') AS l FROM pages),
+u AS (SELECT page_id, unnest(l) AS h, unnest(range(1, len(l) + 1)) AS i FROM f),
+d AS (SELECT page_id, h, min(i) AS i FROM u GROUP BY page_id, h QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY min(i)) <= 3),
+t AS (SELECT page_id, string_agg(h, ', ' ORDER BY i) AS h FROM d GROUP BY page_id)
+SELECT f.page_id, 'This block (' || coalesce(nullif(url, ''), 'this block') || ') likely handles COBOL runtime/compiler support logic in the frontend phase. '
+  || 'It consumes intermediate compiler state and emits transformed state or artifacts used by downstream stages. It coordinates with ' || coalesce(h, 'no direct local headers') || ' to preserve phase-specific behavior.' AS summary
+FROM f LEFT JOIN t USING (page_id)"""
+
+
+@query(HEURISTIC_SQL)
+def heuristic_summary(table):
+    """Summary sentences of each page."""
+    headers = code.include_headers(F.col("html"), 'href="([^"]+)"')
+    return table("pages").select("page_id", text.heuristic_summary(F.col("url"), F.lit("frontend"), headers, F.lit("c")).alias("summary"))
+
+
+
+@query(rf"""WITH c AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS c FROM documents),
+p AS (SELECT doc_id, list_filter(string_split(regexp_replace(c, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM c)
+SELECT doc_id, CASE WHEN len(p) >= 3 THEN array_to_string(p[1:3], ' ') WHEN len(p) = 2 THEN array_to_string(p, ' ') || '{text.FILL_TWO}' WHEN len(p) = 1 THEN p[1] || '{text.FILL_ONE}' ELSE '{text.FILL_NONE}' END AS summary FROM p""")
+def normalize_summary(table):
+    """Exactly three sentences of each text."""
+    return table("documents").select("doc_id", text.three_sentences(F.col("text")).alias("summary"))
+
+
+@query(f"""WITH {LISTS_SQL.format(k=3)}, {FILES_SQL}, e AS (SELECT item_id, r, '[' || r || '] ' || file || ' L1-' || len(l) || chr(10) || coalesce(CASE WHEN len(string_split(text, chr(10))) > 20 THEN array_to_string(string_split(text, chr(10))[1:20], chr(10)) || chr(10) || '... (' || (len(string_split(text, chr(10))) - 20) || ' more lines)' ELSE text END, '') AS entry FROM bk JOIN files USING (doc_id))
+SELECT item_id, sha256(string_agg(entry, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY r)) AS context_sha, count(*) AS n_chunks FROM e GROUP BY item_id""")
+def context_assembly(table):
+    """The prompt context of each question's three best documents."""
+    best = bm25.search(index(table), questions(table).select("query_id", "text"), 3)
+    rows = source_files(table).select(F.col("doc_id").alias("id"), F.col("file").alias("file_path"), F.lit(1).alias("start_line"), F.size(text.lines(F.col("text"))).alias("end_line"), text.truncate_lines(F.col("text"), 20).alias("code_snippet"))
+    found = context.contexts(best.join(rows, "id"), context.plain_entry())
+    return found.select(F.col("query_id").alias("item_id"), F.sha2("context", 256).alias("context_sha"), "n_chunks")
+
+
+@query(r"""WITH a AS (SELECT conv_id, turn, text || ' [' || turn || ', ' || (turn + 2) || '] and [' || conv_id || ']' AS t FROM conversations),
+g AS (SELECT conv_id, turn, list_transform(flatten(list_transform(regexp_extract_all(t, '\[(\d+(?:\s*,\s*\d+)*)\]', 1), lambda x: string_split(x, ','))), lambda x: try_cast(trim(x) AS INT)) AS n FROM a)
+SELECT conv_id, turn, array_to_string(list_filter(n, lambda x: x BETWEEN 1 AND 5), ',') AS cited FROM g""")
+def citation_parse(table):
+    """Results that each answer cites."""
+    num = lambda c: c.cast("string")
+    answer = F.concat("text", F.lit(" ["), num(F.col("turn")), F.lit(", "), num(F.col("turn") + 2), F.lit("] and ["), num(F.col("conv_id")), F.lit("]"))
+    return table("conversations").select("conv_id", "turn", F.array_join(F.transform(text.citations(answer, F.lit(5)), lambda x: x.cast("string")), ",").alias("cited"))
+
+
+@query(None)
+def hybrid_reranked(table):
+    """Prefetching: twenty candidates, the first six reranked by term overlap."""
+    docs = payload(table).join(table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code_snippet")), "id")
+    found = search.prefetch(questions(table), corpus(table), index(table), docs)
+    return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"), "vector_score")
+
+
+@query(None)
+def chat_contexts(table):
+    """Chat prompts: the chunks of each question with their places, and how long the context is."""
+    docs = payload(table).join(table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code_snippet")), "id")
+    found = search.chat(questions(table), corpus(table), index(table), docs)
+    return context.contexts(found, context.chat_entry()).select("query_id", "n_chunks", F.length("context").alias("chars"))
