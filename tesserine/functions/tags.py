@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tesserine.functions.paths import contains_any
+
 # Words that imply a role, in table order.
 ROLES = {
     "file_io": ["READ", "WRITE", "REWRITE", "DELETE", "OPEN", "CLOSE", "START"],
@@ -23,7 +25,7 @@ DATA_SECTIONS = ["WORKING-STORAGE", "LINKAGE", "FILE", "LOCAL-STORAGE"]
 def role_tags(snippet: Column) -> Column:
     """Roles whose words occur anywhere in the upper-cased text, as substrings."""
     upper = F.upper(F.coalesce(snippet, F.lit("")))
-    return F.array_compact(F.array(*(F.when(upper.rlike("|".join(words)), F.lit(role)) for role, words in ROLES.items())))
+    return F.array_compact(F.array(*(F.when(contains_any(upper, words), F.lit(role)) for role, words in ROLES.items())))
 
 
 def structural_tags(division: Column, section: Column, paragraph: Column, program: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What ends a line besides CR, LF and CR LF.
-LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
+LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 # Sentences that fill up a summary.
 FILL_ONE = " It defines how data flows through the compiler pipeline. It is important for phase-correct code generation."
 FILL_TWO = " This behavior is relevant to compiler execution."
@@ -14,9 +14,18 @@ FILL_NONE = "This block handles COBOL-related compiler behavior. It transforms o
 
 
 def lines(text: Column) -> Column:
-    """Array of the lines of a text; a line end at the very end adds none, an empty text has none."""
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), f"(?:{LINE_END})\\z", "")
-    return F.when(F.length(F.coalesce(text, F.lit(""))) == 0, F.array().cast("array<string>")).otherwise(F.split(body, LINE_END, -1))
+    """Array of the lines of a text; a line end at the very end adds none, an empty text has none.
+
+    Texts with no other line end than LF, the common case, are cut without a regular expression.
+    """
+    known = F.coalesce(text, F.lit(""))
+    body = F.when(known.endswith("\n"), F.substr(known, F.lit(1), F.length(known) - 1)).otherwise(known)
+    odd = F.regexp_replace(known, f"(?:{LINE_END})\\z", "")
+    return (
+        F.when(F.length(known) == 0, F.array().cast("array<string>"))
+        .when(known.rlike("[\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"), F.split(odd, LINE_END, -1))
+        .otherwise(F.split(body, "\n", -1))
+    )
 
 
 def tokens(text: Column) -> Column:

@@ -116,10 +116,11 @@ def fixed_chunks(files: DataFrame, window: int = DEFAULTS.window_lines, overlap:
     if overlap >= window:
         raise ValueError("overlap must be less than the window")
     rest = [c for c in files.columns if c != body]
-    split = files.select(*rest, text.lines(F.col(body)).alias("__lines")).where(F.size("__lines") > 0)
-    starts = split.select(*rest, "__lines", F.explode(F.sequence(F.lit(0), F.size("__lines") - 1, F.lit(window - overlap))).alias("__start"))
-    part = F.slice("__lines", F.col("__start") + 1, window)
-    return starts.select(*rest, (F.col("__start") + 1).alias("start_line"), (F.col("__start") + F.size(part)).alias("end_line"), F.array_join(part, "\n").alias("code_snippet"))
+    split = files.select(*rest, text.lines(F.col(body)).alias("__lines"))
+    # Each row's windows are made by one generator, so the lines are cut once.
+    starts = F.when(F.size("__lines") > 0, F.sequence(F.lit(0), F.size("__lines") - 1, F.lit(window - overlap)))
+    windows = F.transform(starts, lambda s: F.struct((s + 1).alias("start_line"), F.least(s + window, F.size("__lines")).alias("end_line"), F.array_join(F.slice("__lines", s + 1, window), "\n").alias("code_snippet")))
+    return split.select(*rest, F.inline(windows))
 
 
 def chunk_files(files: DataFrame, units: DataFrame | None = None, cap: int = DEFAULTS.max_chunk_lines, window: int = DEFAULTS.window_lines, overlap: int = DEFAULTS.overlap_lines) -> DataFrame:

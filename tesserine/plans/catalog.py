@@ -25,12 +25,18 @@ SQL: dict[str, str] = {}
 SMALL_CAP, WINDOW, OVERLAP = 3, 45, 5
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table that is read by fewer tasks than there are cores (one small file) over all of them; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def query(sql: str | None):
     """Register a query under its function's name; integers become longs, as in the SQL twins."""
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            df = f(lambda name: spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")))
             return df.select(*(F.col(c.name).cast("long").alias(c.name) if isinstance(c.dataType, T.IntegerType) else F.col(c.name) for c in df.schema.fields))
 
         run.__doc__ = f.__doc__
