@@ -45,6 +45,8 @@ GZIP_MAGIC = b"\x1f\x8b\x08"
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 MAX_RECORD = 1 << 28
 RECORDS_PER_FILE = 10_000
+#: Deflate level: 2 takes half the time of 6 for about a tenth more bytes.
+LEVEL = 2
 
 
 def digest(payload: bytes) -> str:
@@ -80,7 +82,7 @@ def record(page_id, url: str | None, payload: bytes, refers_to, date: str, is_re
 
 def member(raw: bytes) -> bytes:
     """``raw`` as a gzip member; ends with a zero byte."""
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     out = packer.compress(raw) + packer.flush()
     return out if out.endswith(b"\0") else out + EMPTY_MEMBER
 
@@ -155,16 +157,24 @@ def parse_record(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return fields, block, end + 4
 
 
-def unpack(raw: bytes, at: int, limit: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``at``."""
-    unpacker = zlib.decompressobj(31)
-    try:
-        content = unpacker.decompress(memoryview(raw)[at:], limit)
-    except zlib.error as error:
-        raise Broken(f"member: {error}") from None
-    if not unpacker.eof:
-        raise Broken("member is cut off or too long")
-    return content, len(raw) - len(unpacker.unused_data)
+def unpack(raw: bytes, at: int, limit: int, step: int = 16_384) -> tuple[bytes, int]:
+    """Content and end of the gzip member at ``at``.
+
+    The member is fed in small pieces, as what lies behind its end in a piece
+    is copied.
+    """
+    unpacker, view, parts, size = zlib.decompressobj(31), memoryview(raw), [], 0
+    while not unpacker.eof:
+        if at >= len(raw) or size > limit:
+            raise Broken("member is cut off or too long")
+        try:
+            part = unpacker.decompress(view[at : at + step], limit + 1)
+        except zlib.error as error:
+            raise Broken(f"member: {error}") from None
+        at += step
+        size += len(part)
+        parts.append(part)
+    return b"".join(parts), min(at, len(raw)) - len(unpacker.unused_data)
 
 
 def scan_archive(raw: bytes, limit: int = MAX_RECORD) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
