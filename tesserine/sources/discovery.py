@@ -43,7 +43,7 @@ def is_text(content: Column) -> Column:
 
 
 def discover(spark: SparkSession, root: str, extensions: list[str] | None = None, excluded_dirs: list[str] | None = None, max_mb: int = DEFAULTS.max_file_mb, text_only: bool = True) -> DataFrame:
-    """(file, path, length, is_doc, content) of the admitted files below ``root``; ``file`` is relative to it.
+    """(file, path, length, is_doc, content) of the admitted files below ``root``; ``file`` is relative to it. Empty files, which have no chunks, are not listed.
 
     Size and names are columns of the listing, so they prune before content is
     read.  Files without an extension that are known documentation come with
