@@ -10,6 +10,10 @@ LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 # Sentences that fill up a summary.
 FILL_ONE = " It defines how data flows through the compiler pipeline. It is important for phase-correct code generation."
 FILL_TWO = " This behavior is relevant to compiler execution."
+# The sentences of a summary that is made without a provider.
+FOCUS_C, FOCUS_OTHER = "COBOL runtime/compiler support logic", "COBOL statements"
+SUMMARY_FLOW = "It consumes intermediate compiler state and emits transformed state or artifacts used by downstream stages. "
+NO_HEADERS, NO_NAME = "no direct local headers", "this block"
 FILL_NONE = "This block handles COBOL-related compiler behavior. It transforms or routes data through the compiler pipeline. It is relevant to phase-specific execution."
 
 
@@ -62,12 +66,12 @@ def three_sentences(text: Column) -> Column:
 
 def heuristic_summary(name: Column, phase: Column, headers: Column, ext: Column) -> Column:
     """Three sentences on a block from what is known of it."""
-    focus = F.when(F.lower(ext).isin("c", "h", "cpp", "hpp"), "COBOL runtime/compiler support logic").otherwise("COBOL statements")
-    known = F.when(F.size(F.coalesce(headers, F.array().cast("array<string>"))) > 0, F.array_join(F.slice(headers, 1, 3), ", ")).otherwise("no direct local headers")
+    focus = F.when(F.lower(ext).isin("c", "h", "cpp", "hpp"), FOCUS_C).otherwise(FOCUS_OTHER)
+    known = F.when(F.size(F.coalesce(headers, F.array().cast("array<string>"))) > 0, F.array_join(F.slice(headers, 1, 3), ", ")).otherwise(NO_HEADERS)
     return F.concat(
-        F.lit("This block ("), F.coalesce(F.nullif(name, F.lit("")), F.lit("this block")), F.lit(") likely handles "), focus,
+        F.lit("This block ("), F.coalesce(F.nullif(name, F.lit("")), F.lit(NO_NAME)), F.lit(") likely handles "), focus,
         F.lit(" in the "), F.coalesce(F.nullif(phase, F.lit("")), F.lit("unknown")), F.lit(" phase. "),
-        F.lit("It consumes intermediate compiler state and emits transformed state or artifacts used by downstream stages. "),
+        F.lit(SUMMARY_FLOW),
         F.lit("It coordinates with "), known, F.lit(" to preserve phase-specific behavior."),
     )
 

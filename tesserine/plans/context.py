@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The frame of contexts and prompts.
 SEPARATOR = "\n\n---\n\n"
+PROMPT_HEAD = "\n---\n\n**Context** (numbered chunks; each has file path, line range, then code):\n\n"
+PROMPT_QUESTION, PROMPT_END = "\n\n---\n\n**Question:** ", "\n\n**Answer:**"
+NO_CHUNKS = "(No chunks retrieved.)"
 
 
 def plain_entry() -> Column:
@@ -35,8 +39,8 @@ def contexts(chunks: DataFrame, entry: Column) -> DataFrame:
 def chat_prompts(queries: DataFrame, chunks: DataFrame, system: str) -> DataFrame:
     """(query_id, prompt) for an answer provider; questions without chunks say so."""
     joined = queries.join(contexts(chunks, chat_entry()), "query_id", "left")
-    body = F.coalesce(F.nullif(F.col("context"), F.lit("")), F.lit("(No chunks retrieved.)"))
-    return joined.select("query_id", F.concat(F.lit(f"{system}\n---\n\n**Context** (numbered chunks; each has file path, line range, then code):\n\n"), body, F.lit("\n\n---\n\n**Question:** "), F.col("text"), F.lit("\n\n**Answer:**")).alias("prompt"))
+    body = F.coalesce(F.nullif(F.col("context"), F.lit("")), F.lit(NO_CHUNKS))
+    return joined.select("query_id", F.concat(F.lit(system), F.lit(PROMPT_HEAD), body, F.lit(PROMPT_QUESTION), F.col("text"), F.lit(PROMPT_END)).alias("prompt"))
 
 
 def event_rows(answers: DataFrame) -> DataFrame:

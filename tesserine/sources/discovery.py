@@ -12,7 +12,7 @@ from tesserine.operators.logs import LOG_SCHEMA
 
 # What is never a source file.
 EXCLUDED_EXTENSIONS = ["vcxproj", "vcxproj.filters", "sln", "suo", "user", "ncb", "aps", "sdf", "opensdf", "db", "cache"]
-EXCLUDED_DIRS = [".git", "node_modules", "__pycache__", "build_windows", "vs2017", "vs2019", "vs2022", ".vs", "x64", "Win32", "Debug", "Release"]
+EXCLUDED_DIRS = [".git", "node_modules", "__pycache__", ".qdrant_data", "build_windows", "vs2017", "vs2019", "vs2022", ".vs", "x64", "Win32", "Debug", "Release"]
 SAMPLE_BYTES = 8192
 EVAL_SCHEMA = T.StructType(
     [
