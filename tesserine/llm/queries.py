@@ -146,4 +146,15 @@ WITH rows AS (
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY normal) AS group_size,
        row_number() OVER w = 1 AS kept, sha256(normal) AS text_sha256
 FROM rows WINDOW w AS (PARTITION BY normal ORDER BY chars DESC, doc_id)""",
+    "op8_warc": r"""
+WITH rows AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), groups AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS keeper FROM rows
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string([array_to_string(['ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || h[5 * j + 1 : 5 * j + 5])::BIGINT >> (15 - 5 * k)) & 31) + 1] FOR k IN range(4)], '') FOR j IN range(8)], '') AS payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM groups""",
 }
