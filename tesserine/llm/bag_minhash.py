@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.blocks import Hasher, mix, ragged, text_blocks
-from tesserine.llm.common import Scratch, bound_batches, checkpoint, keep_rows, text_key
+from tesserine.llm.common import Scratch, bound_batches, checkpoint, keep_rows, slim, text_key
 from tesserine.llm.components import components
 
 SHINGLE = 5
@@ -47,7 +47,7 @@ SLOTS = BANDS * ROWS
 #: Pairs whose signatures agree in less than this share of slots are not verified: six deviations below the threshold.
 LEAST_ESTIMATE = 0.65
 #: Rows of a block of a bucket that is compared exhaustively.
-BLOCK_ROWS = 200
+BLOCK_ROWS = 800
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -131,7 +131,7 @@ def signatures(element: np.ndarray, weight: np.ndarray, text: np.ndarray, n_text
         clock, step = at[:, -1], step + points
         left = np.flatnonzero(clock < latest[owner])
         seed, owner, rate_of, share, clock = seed[left], owner[left], rate_of[left], share[left], clock[left]
-        points = max(1, min(2 * points, 64, 500_000 // max(1, len(seed)))) if step > 1 else 1
+        points = max(1, min(2 * points, 64, 100_000 // max(1, len(seed)))) if step > 1 else 1
     return ids.reshape(n_texts, slots)
 
 
@@ -243,38 +243,55 @@ def star_pairs(bands: DataFrame) -> DataFrame:
     return low.unionByName(high).distinct()
 
 
-def left_over_pairs(bands: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a bucket that lie in different components, compared block by block."""
+def mixed_buckets(bands: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components and pairs that were not compared."""
     labelled = bands.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("members > 3 and c0 <> c1")
-    rows = labelled.join(mixed.select("key", "members"), "key").join(nodes.select("node", "n", "signature"), "node")
+    return labelled.join(mixed.select("key", "members"), "key")
+
+
+def left_over_links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between different components of a mixed bucket, all of whose pairs are compared, block by block.
+
+    A pair that shares several buckets is looked at in the first band in which
+    its signatures agree.  Once a link between two components is known in a
+    block, further ones between them say nothing new and are skipped.
+    """
     blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # Block i meets block j in the group (key, i, j) with i <= j.
     dealt = (
-        rows.withColumn("blocks", blocks)
+        rows.join(nodes.select("node", "n", "signature"), "node")
+        .join(sets, "node")
+        .withColumn("blocks", blocks)
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "component", "n", "signature")
+        .select("key", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "component", "n", "signature", "elements")
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(-1, SLOTS)
         node, comp, n, mine = (group[c].to_numpy() for c in ("node", "component", "n", "mine"))
-        cross = group["i"].iloc[0] != group["j"].iloc[0]
-        out = []
+        elements = group["elements"].tolist()
+        cross, band = group["i"].iloc[0] != group["j"].iloc[0], group["band"].iloc[0]
+        comp, out = comp.copy(), []
         for k in range(len(group) - 1):
             rest = slice(k + 1, None)
-            ok = (comp[rest] != comp[k]) & (np.minimum(n[rest], n[k]) >= THRESHOLD * np.maximum(n[rest], n[k]))
+            ok = (comp[rest] != comp[k]) & (np.minimum(n[rest], n[k]) >= threshold * np.maximum(n[rest], n[k]))
             if cross:
                 ok &= mine[rest] != mine[k]
             at = np.flatnonzero(ok) + k + 1
-            if len(at):
-                at = at[(sig[at] == sig[k]).mean(axis=1) >= LEAST_ESTIMATE]
-                out.extend((min(node[k], node[m]), max(node[k], node[m])) for m in at)
+            if not len(at):
+                continue
+            equal = sig[at] == sig[k]
+            at, equal = (x[equal.mean(axis=1) >= LEAST_ESTIMATE] for x in (at, equal))
+            for m in at[equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band].tolist():
+                if comp[m] != comp[k] and overlap(elements[k], elements[m]) >= threshold:
+                    out.append((node[k], node[m]))
+                    comp[comp == comp[m]] = comp[k]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -288,34 +305,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark)
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = scratch.table(features(slim.withColumn("row", F.monotonically_increasing_id()).withColumn("text_key", text_key("text"))))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = scratch.table(features(texts.withColumn("row", F.monotonically_increasing_id()).withColumn("text_key", text_key("text"))))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row")))
     bags = scratch.table(found.where("n > 0").groupBy("bag", "bag2").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), best.alias("best")))
     nodes = scratch.table(found.select(F.col("row").alias("node"), "doc_id", "n", "bag", "bag2", "bands", "signature").join(bags.select("node"), "node", "left_semi"))
-    bands = nodes.select(F.explode("bands").alias("key"), "node")
+    bands = nodes.select(F.posexplode("bands").alias("band", "key"), "node")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
     bands = scratch.table(bands.join(shared, "key", "left_semi"))
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        """Multisets of the nodes in ``pairs``, from the texts once more."""
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    def sets_of(ends: DataFrame) -> DataFrame:
+        """Multisets of some nodes, from their texts once more."""
         wanted = nodes.join(ends, "node", "left_semi").select("node", "doc_id", "bag", "bag2")
-        named = slim.join(wanted.select(F.col("doc_id").alias("wanted")).distinct(), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+        named = texts.join(wanted.select(F.col("doc_id").alias("wanted")).distinct(), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
         sets = multisets(named)
         same = sets["doc_id"].eqNullSafe(wanted["doc_id"]) & (sets["bag"] == wanted["bag"]) & (sets["bag2"] == wanted["bag2"])
-        return scratch.table(sets.join(wanted, same).select("node", "elements").dropDuplicates(["node"]))
+        return scratch.table(slim(sets.join(wanted, same).select("node", "elements").dropDuplicates(["node"])))
 
-    near = scratch.table(estimated(star_pairs(bands), nodes))
-    links = scratch.table(verified(near, texts_of(near), threshold))
+    near = scratch.table(slim(estimated(star_pairs(bands), nodes)))
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    links = scratch.table(slim(verified(near, sets_of(ends), threshold)))
     labels = components(links)
-    more = scratch.table(left_over_pairs(bands, nodes, labels))
-    if more.take(1):
-        links = links.unionByName(scratch.table(verified(more, texts_of(more), threshold)))
-        labels = components(links)
+    mixed = scratch.table(slim(mixed_buckets(bands, labels)))
+    if mixed.take(1):
+        more = left_over_links(mixed, nodes, sets_of(mixed.select("node").distinct()), threshold)
+        labels = components(links.unionByName(scratch.table(more)))
     classed = bags.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     totals = classed.groupBy("component").agg(F.min("best").alias("best"), F.sum("copies").alias("size"))
-    named = scratch.table(classed.select("bag", "bag2", "component").join(totals, "component").select("bag", "bag2", "best", "size"))
+    named = scratch.table(slim(classed.select("bag", "bag2", "component").join(totals, "component").select("bag", "bag2", "best", "size")))
     alone = found.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "text_key")
     grouped = (
         found.where("n > 0")
@@ -323,7 +340,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .join(named, ["bag", "bag2"])
         .select("doc_id", F.col("best.id").alias("class_id"), F.col("size").alias("class_size"), (F.col("best.row") == F.col("row")).alias("kept"), "text_key")
     )
-    out = checkpoint(grouped.unionByName(alone))
+    out = checkpoint(slim(grouped.unionByName(alone)))
     scratch.drop()
     return out
 

@@ -79,6 +79,11 @@ def keep_rows(docs: DataFrame, judged: DataFrame, doc_id: str = "doc_id", text:
     return left.join(again, same, "left_anti").unionByName(repeated)
 
 
+def slim(df: DataFrame) -> DataFrame:
+    """A frame that is small against its input in an eighth of the shuffle partitions, eight at least, before it is written."""
+    return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 class Scratch:
     """Intermediate tables as Parquet files in the shared checkpoint folder.
 

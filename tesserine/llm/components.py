@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.llm.common import checkpoint
+from tesserine.llm.common import checkpoint, slim
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,11 +28,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a long, b long); a component is named by its least node."""
-    edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = checkpoint(slim(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     mark = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))]
     before = edges.agg(*mark).first()
     while True:
-        edges = checkpoint(_small_star(_large_star(edges)))
+        edges = checkpoint(slim(_small_star(_large_star(edges))))
         after = edges.agg(*mark).first()
         if after == before:
             break
