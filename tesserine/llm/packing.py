@@ -178,5 +178,5 @@ def pack(pieces: DataFrame, size: int = SIZE, open_bins: int = OPEN_BINS, shard_
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = SIZE, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """Tokenise, cut and pack ``docs``."""
-    return pack(token_pieces(docs, path, size, doc_id, text, with_ids), size)
+    """Tokenise, cut and pack ``docs``; shards are smaller where rows carry their ids."""
+    return pack(token_pieces(docs, path, size, doc_id, text, with_ids), size, shard_rows=SHARD_ROWS // 8 if with_ids else SHARD_ROWS)
