@@ -253,26 +253,27 @@ def mixed_buckets(bands: DataFrame, labels: DataFrame) -> DataFrame:
 def left_over_links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links between different components of a mixed bucket, all of whose pairs are compared, block by block.
 
-    A pair that shares several buckets is looked at in the first band in which
-    its signatures agree.  Once a link between two components is known in a
+    A pair that shares several buckets is looked at in the first of them, by
+    the full band keys (the signatures have a byte a slot and may agree in a
+    band in which the pair does not meet).  Once a link between two components is known in a
     block, further ones between them say nothing new and are skipped.
     """
     blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # Block i meets block j in the group (key, i, j) with i <= j.
     dealt = (
-        rows.join(nodes.select("node", "n", "signature"), "node")
+        rows.join(nodes.select("node", "n", "signature", "bands"), "node")
         .join(sets, "node")
         .withColumn("blocks", blocks)
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "component", "n", "signature", "elements")
+        .select("key", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "component", "n", "signature", "bands", "elements")
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(-1, SLOTS)
         node, comp, n, mine = (group[c].to_numpy() for c in ("node", "component", "n", "mine"))
-        elements = group["elements"].tolist()
+        keys, elements = np.stack(group["bands"].tolist()), group["elements"].tolist()
         cross, band = group["i"].iloc[0] != group["j"].iloc[0], group["band"].iloc[0]
         comp, out = comp.copy(), []
         for k in range(len(group) - 1):
@@ -283,9 +284,8 @@ def left_over_links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, threshol
             at = np.flatnonzero(ok) + k + 1
             if not len(at):
                 continue
-            equal = sig[at] == sig[k]
-            at, equal = (x[equal.mean(axis=1) >= LEAST_ESTIMATE] for x in (at, equal))
-            for m in at[equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band].tolist():
+            at = at[(sig[at] == sig[k]).mean(axis=1) >= LEAST_ESTIMATE]
+            for m in at[(keys[at] == keys[k]).argmax(axis=1) == band].tolist():
                 if comp[m] != comp[k] and overlap(elements[k], elements[m]) >= threshold:
                     out.append((node[k], node[m]))
                     comp[comp == comp[m]] = comp[k]

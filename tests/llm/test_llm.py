@@ -204,6 +204,18 @@ def test_left_over_links(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_left_over_links_where_bytes_agree_in_an_earlier_band(spark):
+    agree = np.arange(bag_minhash.SLOTS, dtype=np.uint8).tobytes()
+    elements = np.arange(1, 11, dtype=np.uint64).tobytes()
+    # All bytes of the signatures agree, but the two meet in band 5 first, and in band 7 again.
+    bands = [[5 if b == 5 else 7 if b == 7 else 1000 * node + b for b in range(bag_minhash.BANDS)] for node in (1, 2)]
+    nodes = spark.createDataFrame([(node, 10, bytearray(agree), bands[node - 1]) for node in (1, 2)], "node long, n long, signature binary, bands array<long>")
+    sets = spark.createDataFrame([(node, bytearray(elements)) for node in (1, 2)], "node long, elements binary")
+    rows = spark.createDataFrame([(key, key, node, node, 4) for key in (5, 7) for node in (1, 2)], "key long, band int, node long, component long, members long")
+    got = [sorted(r) for r in bag_minhash.left_over_links(rows, nodes, sets, 0.8).collect()]
+    assert got == [[1, 2]]
+
+
 def test_signatures_are_unbiased():
     rng, errors = random.Random(1), []
     for _ in range(30):
