@@ -11,7 +11,9 @@ must have a version line, a header with a length, a block of that length, the
 closing blank lines, and digests that match where they are given.  If a check
 fails, the bytes from there to the next member or version line at which a
 record can be read are quarantined: a row with ``ok`` false, the reason, and
-the place and length of the gap.  All later records are recovered.
+the place and length of the gap.  All later records are recovered.  A member is
+unpacked as a stream and searched for version lines too, so one of its records
+that fails costs no other, and of one that breaks off the records before are kept.
 
 Bounds: a file is read as one row, so ``records_per_file`` bounds the memory of
 a task; archives of others are bounded by spark.sql.sources.binaryFile.maxLength.
@@ -29,7 +31,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +45,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 GZIP_MAGIC = b"\x1f\x8b\x08"
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
-MAX_RECORD = 1 << 28
+#: Bytes buffered for one record of a member: what a value of Spark can hold.
+MAX_RECORD = (1 << 31) - 1
 RECORDS_PER_FILE = 10_000
 #: Deflate level: 2 takes half the time of 6 for about a tenth more bytes.
 LEVEL = 2
@@ -122,16 +125,20 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
 
 
 class Broken(Exception):
-    """A record that fails a check."""
+    """A record that fails a check; with ``need`` it could be whole if there were so many bytes."""
 
+    def __init__(self, reason: str, need: int | None = None):
+        super().__init__(reason)
+        self.need = need
 
-def parse_record(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+
+def parse_record(raw: bytes | bytearray, at: int) -> tuple[dict[str, str], bytes, int]:
     """Header, block and end of the record at ``at``."""
     if not raw.startswith(b"WARC/", at):
-        raise Broken("no version line")
+        raise Broken("no version line", at + 5 if b"WARC/".startswith(raw[at : at + 5]) else None)
     stop = raw.find(b"\r\n\r\n", at)
     if stop < 0:
-        raise Broken("header has no end")
+        raise Broken("header has no end", len(raw) + 1)
     fields: dict[str, str] = {}
     for line in raw[at:stop].decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
@@ -142,11 +149,13 @@ def parse_record(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         raise Broken("no length")
     begin = stop + 4
     end = begin + int(fields["content-length"])
-    if end > len(raw):
-        raise Broken("block is cut off")
+    if end + 4 > len(raw) and raw[end : end + 4] != b"\r\n\r\n"[: max(0, len(raw) - end)]:
+        raise Broken("block does not end where its length says")
+    if end + 4 > len(raw):
+        raise Broken("block is cut off", end + 4)
     if raw[end : end + 4] != b"\r\n\r\n":
         raise Broken("block does not end where its length says")
-    block = raw[begin:end]
+    block = bytes(memoryview(raw)[begin:end])
     wanted = fields.get("warc-block-digest", "")
     if wanted.startswith("sha1:") and wanted[5:] != digest(block):
         raise Broken("block digest differs")
@@ -157,51 +166,158 @@ def parse_record(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return fields, block, end + 4
 
 
-def unpack(raw: bytes, at: int, limit: int, step: int = 16_384) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``at``.
+def pieces(raw: bytes, at: int, step: int = 16_384, most: int = 1 << 20) -> Generator[bytes, None, tuple[int, str | None, bool]]:
+    """Content of the gzip member at ``at`` as far as it can be read; returns its end, what ails it, and whether that is damage (not a cut).
 
     The member is fed in small pieces, as what lies behind its end in a piece
-    is copied.
+    is copied.  A piece with an error is fed again byte by byte, for what
+    comes before the error.
     """
-    unpacker, view, parts, size = zlib.decompressobj(31), memoryview(raw), [], 0
+    unpacker, view, fed = zlib.decompressobj(31), memoryview(raw), at
     while not unpacker.eof:
-        if at >= len(raw) or size > limit:
-            raise Broken("member is cut off or too long")
+        data = unpacker.unconsumed_tail
+        if not data:
+            if fed >= len(raw):
+                yield unpacker.flush()
+                return fed, "member is cut off", False
+            data = view[fed : fed + step]
+            fed += len(data)
+        before = unpacker.copy()
         try:
-            part = unpacker.decompress(view[at : at + step], limit + 1)
+            part = unpacker.decompress(data, most)
         except zlib.error as error:
-            raise Broken(f"member: {error}") from None
-        at += step
+            try:
+                for k in range(len(data)):
+                    yield before.decompress(data[k : k + 1])
+            except zlib.error:
+                pass
+            return fed, f"member: {error}", True
+        yield part
+    return fed - len(unpacker.unused_data), None, False
+
+
+def probe(raw: bytes, at: int, keep: int = 1 << 20) -> tuple[int, int, str | None, bool, list[bytes] | None]:
+    """Size of the content of the member at ``at``, what ``pieces`` returns, and the content itself if it is small."""
+    size, kept, stream = 0, [], pieces(raw, at)
+    while True:
+        try:
+            part = next(stream)
+        except StopIteration as stop:
+            return size, *stop.value, kept
         size += len(part)
-        parts.append(part)
-    return b"".join(parts), min(at, len(raw)) - len(unpacker.unused_data)
+        if kept is not None:
+            kept.append(part)
+            if size > keep:
+                kept = None
+
+
+def salvage(stream: Iterator[bytes], size: int, damaged: bool, limit: int) -> Iterator[tuple[str | None, dict[str, str], bytes]]:
+    """(reason, header, block) of the records, and with a reason of the gaps, of a member with ``size`` bytes of content.
+
+    Of a damaged member only records with a digest can be trusted.  What is
+    buffered is one record, of at most ``limit`` bytes, and a piece.
+    """
+    buffer, at, read, lost = bytearray(), 0, 0, None
+
+    def fill(n: int) -> None:
+        nonlocal read
+        while len(buffer) < n and read < size:
+            part = next(stream)
+            buffer.extend(part)
+            read += len(part)
+
+    while True:
+        if 2 * at >= len(buffer):
+            del buffer[:at]
+            at = 0
+        fill(at + 1)
+        if at == len(buffer):
+            break
+        try:
+            fields, block, end = parse_record(buffer, at)
+            if damaged and not any(fields.get(f"warc-{x}-digest", "").startswith("sha1:") for x in (["block"] if fields.get("warc-type") == "revisit" else ["block", "payload"])):
+                raise Broken("member is damaged and the record has no digest")
+        except Broken as error:
+            if error.need and error.need <= len(buffer) + size - read:
+                if error.need - at <= limit:
+                    fill(error.need)
+                    continue
+                error = Broken("record is too long")
+            lost = lost or str(error)
+            found = buffer.find(b"WARC/1.", at + 1)
+            while found < 0 and read < size:
+                del buffer[: max(at + 1, len(buffer) - 6)]
+                at = -1
+                fill(len(buffer) + 1)
+                found = buffer.find(b"WARC/1.")
+            at = found if found >= 0 else len(buffer)
+            continue
+        if lost:
+            yield lost, {}, b""
+            lost = None
+        yield None, fields, block
+        at = end
+    if lost:
+        yield lost, {}, b""
 
 
 def scan_archive(raw: bytes, limit: int = MAX_RECORD) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
-    """(offset, length, reason, header, block) of each record and, with a reason, of each quarantined gap."""
+    """(offset, length, reason, header, block) of each record and, with a reason, of each quarantined gap.
+
+    What is inside a member has the member's place and length; one that breaks
+    off counts up to the next place where a record could begin, and its unread
+    rest begins a gap at the same offset.
+    """
     at, gap, why = 0, None, ""
     while at < len(raw):
-        try:
-            if raw.startswith(GZIP_MAGIC, at):
-                content, end = unpack(raw, at, limit)
-                found, k = [], 0
-                while k < len(content):
-                    fields, block, k = parse_record(content, k)
-                    found.append((fields, block))
-            else:
+        step, broken = None, None
+        if raw.startswith(GZIP_MAGIC, at):
+            size, end, broken, damaged, kept = probe(raw, at)
+            if broken:
+                step = START.search(raw, at + 1)
+                end = step.start() if step else len(raw)
+            found = salvage(iter(kept) if kept is not None else pieces(raw, at), size, damaged, limit)
+        else:
+            try:
                 fields, block, end = parse_record(raw, at)
-                found = [(fields, block)]
-        except Broken as error:
-            if gap is None:
-                gap, why = at, str(error)
-            step = START.search(raw, at + 1)
-            at = step.start() if step else len(raw)
+                found = iter([(None, fields, block)])
+            except Broken as error:
+                step, broken, found = START.search(raw, at + 1), str(error), iter(())
+                end = step.start() if step else len(raw)
+        # Gaps before the first record of a member join the gap before it, if there is one.
+        first, inner = None, None
+        for first in found:
+            if first[0] is None:
+                break
+            inner, first = inner or first[0], None
+        if first is None:
+            if broken or inner:
+                if gap is None:
+                    gap, why = at, broken or inner
+            elif gap is not None:
+                yield gap, at - gap, why, {}, b""
+                gap = None
+            at = end
             continue
         if gap is not None:
             yield gap, at - gap, why, {}, b""
             gap = None
-        for fields, block in found:
-            yield at, end - at, None, fields, block
+        if inner:
+            yield at, end - at, inner, {}, b""
+        yield at, end - at, *first
+        lost = None
+        for part in found:
+            if lost:
+                yield at, end - at, *lost
+                lost = None
+            if part[0] is None:
+                yield at, end - at, *part
+            else:
+                lost = part
+        if broken:
+            gap, why = at, broken
+        elif lost:
+            yield at, end - at, *lost
         at = end
     if gap is not None:
         yield gap, len(raw) - gap, why, {}, b""

@@ -254,6 +254,28 @@ def test_salvage(packed):
     assert sum(n for _, n, *_ in found) == len(raw) + 4
 
 
+def test_salvage_inside_a_member():
+    records = [warc.record(i, "u", random.Random(i).randbytes(3000), None, "2020-01-01T00:00:00Z", False) for i in range(6)]
+    pages = lambda raw, **k: [f["x-page-id"] for _, _, why, f, _ in warc.scan_archive(raw, **k) if why is None]
+    reasons = lambda raw, **k: [why for _, _, why, _, _ in warc.scan_archive(raw, **k) if why]
+    whole, last = warc.member(b"".join(records)), warc.member(warc.record(9, "u", b"x", None, "2020-01-01T00:00:00Z", False))
+    bad = bytearray(records[2])
+    bad[-100] ^= 0xFF
+    one_bad = warc.member(b"".join([*records[:2], bytes(bad), *records[3:]]))
+    assert pages(one_bad + last) == ["0", "1", "3", "4", "5", "9"] and reasons(one_bad + last) == ["block digest differs"]
+    cut = whole[: 5 * len(whole) // 6 - 200]
+    assert pages(cut) == ["0", "1", "2", "3"] and reasons(cut) == ["member is cut off"]
+    assert pages(cut + last) == ["0", "1", "2", "3", "9"] and len(reasons(cut + last)) == 1
+    wrong_sum = bytearray(whole)
+    wrong_sum[-6] ^= 0xFF
+    assert pages(bytes(wrong_sum) + last) == ["0", "1", "2", "3", "4", "5", "9"] and len(reasons(bytes(wrong_sum) + last)) == 1
+    # The bound is one for a record, not for a member; a longer record costs no other.
+    assert pages(whole, limit=5000) == ["0", "1", "2", "3", "4", "5"] and not reasons(whole, limit=5000)
+    many = warc.member(b"".join([*records * 100, warc.record(7, "u", b"y" * 3_000_000, None, "2020-01-01T00:00:00Z", False), *records]))
+    assert pages(many) == ["0", "1", "2", "3", "4", "5"] * 100 + ["7"] + ["0", "1", "2", "3", "4", "5"]
+    assert pages(many, limit=5000) == ["0", "1", "2", "3", "4", "5"] * 101 and reasons(many, limit=5000) == ["record is too long"]
+
+
 def test_language_id(spark):
     langs = {"xx": "aeiou", "yy": "bcdfg", "zz": "klmnp"}
     rows, rng = [], random.Random(2)
