@@ -88,15 +88,9 @@ def file_range(files: DataFrame, path: str, start: int, end: int) -> DataFrame:
 def doc_chunks(chunks: DataFrame, wanted: DataFrame, top_k: int) -> DataFrame:
     """The first ``top_k`` chunks, by line, of the files whose path contains the wanted name (query_id, name), in any case.
 
-    ``wanted`` is a small set of names: it is counted and becomes part of the expression.
+    Each distinct name is looked for once, however many queries ask for it.
     """
-    names = [(r["query_id"], r["name"].lower()) for r in wanted.where("name is not null").limit(10_001).collect()]
-    if len(names) > 10_000:
-        raise ValueError("too many names for one batch")
-    if not names:
-        return chunks.limit(0).withColumns({"query_id": F.lit(None).cast(wanted.schema["query_id"].dataType), "rank": F.lit(0)})
-    table = F.array(*(F.struct(F.lit(q).alias("query_id"), F.lit(n).alias("name")) for q, n in names))
-    met = chunks.withColumn("__hit", F.explode(F.filter(table, lambda t: F.contains(F.lower("file_path"), t["name"]))))
-    rows = met.withColumn("query_id", F.col("__hit.query_id")).drop("__hit")
-    order = Window.partitionBy("query_id").orderBy("start_line", "file_path", "chunk_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    asked = wanted.where("name is not null").select("query_id", F.lower("name").alias("__name"))
+    first = lambda rows, key: rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("start_line", "file_path", "chunk_id"))).where(F.col("rank") <= top_k)
+    met = chunks.drop("query_id").join(asked.select("__name").distinct(), F.contains(F.lower("file_path"), F.col("__name")))
+    return first(first(met, "__name").drop("rank").join(asked, "__name").drop("__name"), "query_id")

@@ -417,12 +417,9 @@ q AS (SELECT e.item_id, count(*) AS n, count(bk.doc_id) AS found, min(bk.r) AS f
 SELECT count(*) AS queries_scored, round_even(avg((found > 0)::INT), 4) AS hit_rate_at_k, round_even(avg(found / n), 4) AS recall_at_k, round_even(avg(coalesce(1.0 / first, 0)), 4) AS mrr FROM q""")
 def retrieval_eval(table):
     """Metrics of the BM25 list against the documents that hold a passage whole."""
-    items = [(r["item_id"], r["text"]) for r in table("benchmark").select("item_id", "text").limit(10_001).collect()]
-    if len(items) > 10_000:
-        raise ValueError("too many passages for one batch")
-    passages = F.array(*(F.struct(F.lit(i).alias("item"), F.lit(t).alias("text")) for i, t in items))
-    held = table("documents").select("doc_id", F.explode(F.filter(passages, lambda p: F.contains(F.col("text"), p["text"]))).alias("p"))
-    expected = held.select(F.col("p.item").alias("query_id"), F.col("doc_id").alias("path")).distinct()
+    passages = table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    held = table("documents").select(F.col("doc_id").alias("path"), "text").join(passages, F.contains("text", "passage"))
+    expected = held.select("query_id", "path").distinct()
     run = bm25.search(index(table), questions(table).select("query_id", "text"), 10).withColumnRenamed("id", "path")
     return evals.averaged(evals.query_metrics(run, expected, 10))
 

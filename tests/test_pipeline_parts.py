@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tesserine.operators import batching, embedding, evals, files, logs, prefetch
+from tesserine.plans import catalog
 from tesserine.plans.ingest import ingest
 from tesserine.sources import discovery
 from tesserine.sources.store import ChunkStore, last_write_wins
@@ -73,6 +74,19 @@ def test_metrics(spark):
     assert got == {"t": (6.0, 11.0), "u": (5.0, 5.0)}
 
 
+def test_names_and_passages_of_any_number(spark, tmp_path):
+    chunks = spark.createDataFrame([("r/README", 1, "a"), ("r/README", 9, "b"), ("r/x.c", 1, "c")], "file_path string, start_line int, chunk_id string")
+    wanted = spark.range(10_050).select(F.col("id").alias("query_id"), F.when(F.col("id") < 10_020, "readme").when(F.col("id") < 10_040, F.concat(F.lit("no"), "id")).alias("name"))
+    got = files.doc_chunks(chunks, wanted, 1).groupBy("chunk_id", "rank").agg(F.countDistinct("query_id").alias("n")).collect()
+    assert [tuple(r) for r in got] == [("a", 1, 10_020)]
+    assert files.doc_chunks(chunks, wanted.where("name is null"), 1).count() == 0
+    spark.createDataFrame([(1, "one passage of w7 words"), (2, "other text w10049 here"), (3, None), *((i, f"filler{i}") for i in range(4, 12))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(10_050).select(F.col("id").alias("item_id"), F.concat(F.lit("w"), F.col("id"), F.lit(" ")).alias("text")).write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    row = catalog.QUERIES["retrieval_eval"](spark, str(tmp_path)).first()
+    assert (row["queries_scored"], row["hit_rate_at_k"], row["recall_at_k"], row["mrr"]) == (2, 1.0, 1.0, 1.0)
+
+
 def test_logs(spark, tmp_path):
     path = tmp_path / "log.jsonl"
     path.write_text('{"type":"ask","total_ms":2.5,"ts":10}\nnot json\n{"type":"ask","total_ms":3.5,"embed_ms":1.0,"ts":11.5}\n')
