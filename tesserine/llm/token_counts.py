@@ -14,6 +14,8 @@ that has the name of a result is replaced by it.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,18 +45,46 @@ class PrefixCounts:
         self.model, self.text = model, text or ""
         data = np.frombuffer(self.text.encode(), np.uint8)
         end, counts, _, _, odd = model.prefix_block(data, np.array([0, len(data)]))
-        self.odd = bool(odd[0])
-        self.total = len(model.encode(self.text)) if self.odd else int(counts[-1])
-        if not self.odd:
+        self.inside = []
+        if odd[0]:
+            self._by_library()
+        else:
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            self.ends, self.counts = chars[end], counts
+            self.ends, self.counts, self.total = chars[end], counts, int(counts[-1])
+
+    def _by_library(self) -> None:
+        """The table from one encoding with offsets, for texts whose pre-tokens numpy does not find."""
+        encoding = self.model.library.encode(self.text, add_special_tokens=False)
+        last: dict[int, int] = {}
+        words, offsets, end = encoding.word_ids, encoding.offsets, 0
+        self.total = len(words)
+        for k, word in enumerate(words):
+            end = max(end, offsets[k][1])
+            if k + 1 == len(words) or words[k + 1] != word:
+                # A letter that becomes several pre-tokens ends with the last of them.
+                last[end] = k + 1
+        starts = {a for a, _ in offsets}
+        self.inside = [(m.start(), m.end()) for m in re.finditer(b"|".join(map(re.escape, self.model.special)).decode(), self.text) if m.start() in starts] if self.model.special else []
+        ends = [e for e in last if self._apart(e)]
+        self.ends, self.counts = np.array(ends, np.int64), np.array([0, *(last[e] for e in ends)], np.int64)
+
+    def _apart(self, end: int) -> bool:
+        """Whether what follows ``end`` is not composed with what is before it."""
+        after = self.text[end : end + 1]
+        if after < "\x80":
+            return True
+        before = self.text[max(0, end - 4) : end]
+        nfc = lambda s: unicodedata.normalize("NFC", s)
+        return not unicodedata.combining(after) and nfc(before + after) == nfc(before) + nfc(after)
 
     def count(self, length: int) -> int:
         """Tokens of the first ``length`` code points, as the library would count that prefix alone."""
         length = max(0, min(length, len(self.text)))
-        if self.odd:
-            return len(self.model.encode(self.text[:length]))
         k = int(np.searchsorted(self.ends, length, "right"))
+        for start, end in self.inside:
+            # Part of a special token's string is plain text, and joins the pre-token before it.
+            if start < length < end:
+                k = int(np.searchsorted(self.ends, start, "left"))
         before = int(self.ends[k - 1]) if k else 0
         return int(self.counts[k]) + (len(self.model.encode(self.text[before:length])) if length > before else 0)
 
@@ -62,12 +92,6 @@ class PrefixCounts:
         """Code points of the longest prefix that ends with a pre-token (or is all) and has at most ``budget`` tokens."""
         if self.total <= budget:
             return len(self.text)
-        if self.odd:
-            encoding = self.model.library.encode(self.text, add_special_tokens=False)
-            n = max(0, budget)
-            while n and encoding.offsets[n - 1][1] > encoding.offsets[n][0]:
-                n -= 1
-            return encoding.offsets[n - 1][1] if n else 0
         k = int(np.searchsorted(self.counts, budget, "right")) - 1
         return int(self.ends[k - 1]) if k > 0 else 0
 

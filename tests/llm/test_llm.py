@@ -118,6 +118,23 @@ def test_token_counts_and_prefixes(spark):
     assert token_counts.token_counts(empty(spark), WORDS).count() == 0
 
 
+def test_prefixes_of_texts_with_any_character():
+    model = token_counts.tokenizer(WORDS)
+    count = lambda t: len(model.encode(t))
+    texts = ["antidisestablishmentarianism is – a “long” word’s end", "Ελλάς привет 日本語 12×3÷4 🙂🙂 a\x1cb", "e\u0301te\u0301 cafe\u0301! \u1112\u1161\u11ab a\u0323\u0301b İx ﬁ", "ab!<|endoftext|>!x <|endoftext|><|startoftext|> '<|endoftext|>s it's –"]
+    for t in texts:
+        table, asked = token_counts.PrefixCounts(model, t), []
+        assert [table.count(k) for k in range(len(t) + 1)] == [count(t[:k]) for k in range(len(t) + 1)]
+        for budget in range(count(t) + 1):
+            n = table.fit(budget)
+            assert count(t[:n]) <= budget and (n in (0, len(t)) or n in table.ends)
+        for k, n in zip(table.ends.tolist(), table.counts[1:].tolist(), strict=True):
+            assert count(t[:k]) == n
+            asked.append(table.fit(n) >= k)
+        assert all(asked) and asked
+    assert token_counts.PrefixCounts(model, texts[0]).fit(2) == 0
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
