@@ -12,7 +12,8 @@ them, one numpy step for the next symbol of every stretch.
 
 What is learned is a bounded sample: of each language ``LEARN_TEXTS`` texts at
 most (those with the least hash of their id, none longer than ``LEARN_BYTES``)
-and ``LEARN_BYTES`` bytes of them; texts in ``held_out`` are never used.
+and ``LEARN_BYTES`` bytes of them.  Of a language with longer texts only, one
+is learned from its first letter on, up to ``LEARN_BYTES``.  Texts in ``held_out`` are never used.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter,
 or if no language is learned; ties go to the first language by name.  Repeated
@@ -40,11 +41,13 @@ UNKNOWN = "und"
 
 def learn_sample(docs: DataFrame, held_out: Column, doc_id: str, text: str, lang: str, texts: int = LEARN_TEXTS, size: int = LEARN_BYTES) -> dict[str, bytes]:
     """Lower-cased labelled text of each language, bounded by ``texts`` and ``size``."""
-    usable = docs.where(~held_out & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.octet_length(text) <= size))
-    order = Window.partitionBy("lang").orderBy("hash", "text")
-    ranked = usable.select(F.col(lang).alias("lang"), F.lower(F.col(text)).alias("text"), F.xxhash64(doc_id).alias("hash")).withColumn("rank", F.row_number().over(order))
+    usable = docs.where(~held_out & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    long = F.octet_length(text) > size
+    body = F.when(long, F.substring(F.regexp_replace(text, r"^\P{L}++", ""), 1, size)).otherwise(F.col(text))
+    order = Window.partitionBy("lang").orderBy("long", "hash", "text")
+    ranked = usable.select(F.col(lang).alias("lang"), F.lower(body).alias("text"), F.xxhash64(doc_id).alias("hash"), long.alias("long")).withColumn("rank", F.row_number().over(order))
     sample: dict[str, list[str]] = {}
-    for r in ranked.where(F.col("rank") <= texts).orderBy("lang", "rank").collect():
+    for r in ranked.where((F.col("rank") <= texts) & (~F.col("long") | (F.col("rank") == 1))).orderBy("lang", "rank").collect():
         sample.setdefault(r["lang"], []).append(r["text"])
     return {lang: "\n".join(found).encode()[:size] for lang, found in sorted(sample.items())}
 

@@ -311,6 +311,14 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, {}, [F.col("doc_id")]).collect()} == {"und"}
 
 
+def test_language_with_long_texts_only(spark):
+    docs = spark.createDataFrame([(1, "aeiou stone " * 40, "xx"), (2, "9 " * 30_000 + "Klm pkl " * 9000, "zz"), (3, "aei " * 20_000, "xx"), (4, "klm pkl", None)], "doc_id long, text string, lang string")
+    learned = language_id.learn_sample(docs, F.lit(False), "doc_id", "text", "lang")
+    assert list(learned) == ["xx", "zz"] and learned["xx"] == ("aeiou stone " * 40).encode()
+    assert learned["zz"] == ("klm pkl " * 9000).encode()[: language_id.LEARN_BYTES]
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, learned, [F.col("doc_id")]).collect()} == {1: "xx", 2: "zz", 3: "xx", 4: "zz"}
+
+
 def test_cross_parsing_equals_brute_force():
     learned, text = b"abracadabra bra", b"abrabracada xyz cadabraa"
     symbols, tables, _ = language_id.automata((learned,))
