@@ -72,7 +72,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
     at = np.append(np.flatnonzero(cut), len(data))
     word = visible[at[:-1]]
     start, end = at[:-1][word], at[1:][word]
-    h = hasher.spans(hasher.prefix(hasher.table[data]), start, end)
+    h = hasher.spans(hasher.table[data], start, end)
     first = np.searchsorted(start, offsets)
     n_words = np.diff(first)
     padded = np.concatenate([h, np.zeros(size, np.uint64)])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,10 +21,12 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in ``spark.checkpoint.dir``; only where it is unset (tests), a temporary one."""
+    """Use the folder in ``spark.checkpoint.dir``; where it is unset, a temporary one if driver and executors are one process (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
@@ -32,9 +36,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch hands to a Python worker by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch hands to a Python worker by rows and by bytes; the same for all operators, as frames run later."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
@@ -84,6 +88,18 @@ def slim(df: DataFrame) -> DataFrame:
     return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of a query that runs inside go as soon as it has ended, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Scratch:
     """Intermediate tables as Parquet files in the shared checkpoint folder.
 
@@ -101,7 +117,8 @@ class Scratch:
         """Write ``df`` and read it back."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        with shuffles_dropped(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:

@@ -90,7 +90,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = SIZE, doc_id: str = "do
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer(path)
+        model = tokenizer(path, rows=False)
         for batch in batches:
             for i, j, data, offsets in text_blocks(batch.column("text")):
                 ids, first = model.ids(data, offsets, [END_ID])

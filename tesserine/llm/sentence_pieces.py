@@ -14,12 +14,13 @@ back-pointer in either case.
 
 A character at which no piece of the vocabulary crosses to the next is a
 boundary at which all paths converge.  Texts are cut there with numpy, and the
-search runs once for each distinct stretch that a worker meets.  The ids of
-new stretches are then checked against the library, which has the last word
-(scores that tie, as those of runs of spaces, are its own convention).
+search runs once for each distinct stretch that a worker meets; a stretch may
+be as long as the text.  All ids come from this search; the library only reads
+the model file, and the tests hold the search against it.
 
 Defined results: null is the empty text, which has no pieces; repeated rows
-are encoded each.  ``decode`` gives back the text exactly, but for the
+are encoded each; other columns pass through, and one that has the name of the
+result is replaced.  ``decode`` gives back the text exactly, but for the
 character U+2581, which the vocabulary itself uses for a space.
 """
 
@@ -48,7 +49,6 @@ class PieceModel:
     """Pieces and scores of a model file with an identity normaliser."""
 
     def __init__(self, path: str):
-        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
         with open(path, "rb") as file:
@@ -59,9 +59,6 @@ class PieceModel:
             raise ValueError("only models with an identity normaliser are supported")
         self.prefix = proto.normalizer_spec.add_dummy_prefix
         self.bpe = proto.trainer_spec.model_type == 2
-        proto.normalizer_spec.add_dummy_prefix = False
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.whole = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.pieces = [p.piece for p in proto.pieces]
         self.scores = [p.score for p in proto.pieces]
         kinds = [p.type for p in proto.pieces]
@@ -200,13 +197,25 @@ def stream(model: PieceModel, chars: Iterable[str]) -> Iterator[int]:
     yield from commit(end)
 
 
+def own_marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a space for each U+2581, which is what it stands for."""
+    mark = np.frombuffer(SPACE.encode(), np.uint8)
+    at = np.flatnonzero((data[:-2] == mark[0]) & (data[1:-1] == mark[1]) & (data[2:] == mark[2])) if len(data) > 2 else np.empty(0, np.int64)
+    if not len(at):
+        return data, offsets
+    keep = np.ones(len(data), bool)
+    keep[at + 1] = keep[at + 2] = False
+    data = data.copy()
+    data[at] = 0x20
+    return data[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+
+
 class Encoder:
     """One worker's encoder of blocks of texts."""
 
     def __init__(self, path: str, cache: int = 1_000_000):
         self.model = PieceModel(path)
         self.cache, self.hasher = IdCache(cache), Hasher(31)
-        self.corrected = 0
         joined = np.zeros((256, 256), bool)
         for piece in self.model.ids:
             raw = np.frombuffer(piece.replace(SPACE, " ").encode(), np.uint8)
@@ -220,18 +229,13 @@ class Encoder:
     def encode_stretch(self, stretch: str) -> list[int]:
         return list(stream(self.model, stretch))
 
-    def _learn(self, h: np.ndarray, stretches: list[str]) -> None:
-        found = []
-        for s, truth in zip(stretches, self.model.library.encode(stretches, num_threads=1), strict=True):
-            ids = self.encode_stretch(s)
-            if ids != truth:
-                self.corrected += 1
-                ids = truth
-            found.append(ids)
-        self.cache.add(h, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
+    def _learn(self, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.encode_stretch(s.decode("utf-8", "replace").replace(" ", SPACE)) for s in stretches]
+        return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block, and where each text's begin (one more)."""
+        data, offsets = own_marks(data, offsets)
         sizes = np.diff(offsets)
         lead = (sizes > 0).astype(np.int64) * self.model.prefix
         moved = np.concatenate([[0], np.cumsum(sizes + lead)])
@@ -246,36 +250,10 @@ class Encoder:
         cut[moved[:-1][sizes > 0]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(line))
-        h = self.hasher.spans(self.hasher.prefix(self.hasher.table[line]), start, end)
-        entry = self.cache.find(h)
-        missing = np.flatnonzero(entry < 0)
-        if len(missing):
-            new, first = np.unique(np.maximum(h[missing], np.uint64(1)), return_index=True)
-            if self.cache.size and self.cache.size + len(new) > self.cache.capacity:
-                self.cache.clear()
-                return self.ids(data, offsets)
-            at, raw = missing[first], line.tobytes()
-            self._learn(new, [raw[a:b].decode("utf-8", "replace").replace(" ", SPACE) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
-            entry[missing] = self.cache.find(h[missing])
+        entry = self.cache.entries(self.hasher.spans(self.hasher.table[line], start, end), line, start, end, self._learn)
         length = self.cache.length[entry]
         ids = self.cache.pool[ragged(self.cache.start[entry], length)]
-        bounds = np.concatenate([[0], np.cumsum(length)])[np.searchsorted(start, moved)]
-        return self._with_own_mark(data, offsets, ids, bounds)
-
-    def _with_own_mark(self, data, offsets, ids, bounds):
-        """Texts that hold the character that stands for a space are left to the library."""
-        raw, mark = data.tobytes(), SPACE.encode()
-        at, own = raw.find(mark), []
-        while at >= 0:
-            k = int(np.searchsorted(offsets, at, "right")) - 1
-            own.append(k)
-            at = raw.find(mark, int(offsets[k + 1]))
-        if not own:
-            return ids, bounds
-        parts = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        for k in own:
-            parts[k] = np.array(self.model.whole.encode(raw[offsets[k] : offsets[k + 1]].decode()), np.uint32)
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, np.concatenate([[0], np.cumsum(length)])[np.searchsorted(start, moved)]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all texts, and where each text's begin (one more)."""
@@ -329,7 +307,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "text") -> Da
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, to])
 
-    bound_batches(rows.sparkSession, 500)
+    bound_batches(rows.sparkSession)
     return rows.mapInArrow(run, schema)
 
 

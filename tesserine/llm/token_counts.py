@@ -1,11 +1,13 @@
 """Exact token counts of every prefix of a text.
 
-``PrefixCounts`` is a table over the prefixes of one text, built left to
-right: the count of a prefix that ends with a pre-token is the count of the
-prefix before it plus that pre-token's own tokens; within a pre-token a row of
-counts for each of its prefixes is added to the count before it.  Counts,
-truncation to a budget and chunk limits are then look-ups, without encoding
-again.  ``token_counts`` and ``truncate`` apply it to a DataFrame.
+``PrefixCounts`` stores the token count of each prefix of one text, by its
+length in code points.  The rows come from a dynamic program over prefixes
+(``WordBpe.prefixes``): the count of a prefix is that of the prefix up to its
+last pre-token plus the row of that pre-token, and a row is built left to
+right, each prefix from a shorter one.  Counts, truncation to a budget and
+chunk limits are then look-ups; nothing is encoded again.  ``token_counts`` and
+``truncate`` apply it to a DataFrame; over whole blocks the same table is kept
+as counts at the ends of pre-tokens and one row for each distinct pre-token.
 
 Defined results: null counts as the empty text, which has no tokens; repeated
 rows are counted each; other columns of the input pass through, and a column
@@ -14,7 +16,6 @@ that has the name of a result is replaced by it.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,74 +27,112 @@ from pyspark.sql import types as T
 
 from tesserine.llm.blocks import text_blocks
 from tesserine.llm.common import bound_batches
-from tesserine.llm.word_bpe import WordBpe
+from tesserine.llm.word_bpe import SPLIT_SUFFIXES, WordBpe
 
 
 @lru_cache(2)
-def tokenizer(path: str) -> WordBpe:
-    return WordBpe(path)
+def tokenizer(path: str, rows: bool = True) -> WordBpe:
+    return WordBpe(path, rows=rows)
+
+
+def _composes(text: str, k: int) -> bool:
+    """Whether the character at ``k`` may be composed with what is before it."""
+    c = text[k]
+    if c < "\u0300":
+        return False
+    if unicodedata.combining(c):
+        return True
+    before = text[max(0, k - 1) : k]
+    return unicodedata.normalize("NFC", before + c) != unicodedata.normalize("NFC", before) + unicodedata.normalize("NFC", c)
 
 
 class PrefixCounts:
-    """The token count of each prefix of one text, by its length in code points.
+    """The token count of each prefix of one text.
 
-    Only prefixes that end with a pre-token are stored at once; the row of a
-    pre-token is filled in when a prefix inside it is asked for.
+    ``counts[k]`` is the count of the first k code points, as the library would
+    count that prefix alone; ``ends`` are the lengths that end with a pre-token.
     """
 
     def __init__(self, model: WordBpe, text: str | None):
         self.model, self.text = model, text or ""
         data = np.frombuffer(self.text.encode(), np.uint8)
-        end, counts, _, _, odd = model.prefix_block(data, np.array([0, len(data)]))
-        self.inside = []
+        end, counts, entry, _, odd = model.prefix_block(data, np.array([0, len(data)]))
         if odd[0]:
-            self._by_library()
+            self._any_character()
         else:
-            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            self.ends, self.counts, self.total = chars[end], counts, int(counts[-1])
-
-    def _by_library(self) -> None:
-        """The table from one encoding with offsets, for texts whose pre-tokens numpy does not find."""
-        encoding = self.model.library.encode(self.text, add_special_tokens=False)
-        last: dict[int, int] = {}
-        words, offsets, end = encoding.word_ids, encoding.offsets, 0
-        self.total = len(words)
-        for k, word in enumerate(words):
-            end = max(end, offsets[k][1])
-            if k + 1 == len(words) or words[k + 1] != word:
-                # A letter that becomes several pre-tokens ends with the last of them.
-                last[end] = k + 1
-        starts = {a for a, _ in offsets}
-        self.inside = [(m.start(), m.end()) for m in re.finditer(b"|".join(map(re.escape, self.model.special)).decode(), self.text) if m.start() in starts] if self.model.special else []
-        ends = [e for e in last if self._apart(e)]
-        self.ends, self.counts = np.array(ends, np.int64), np.array([0, *(last[e] for e in ends)], np.int64)
-
-    def _apart(self, end: int) -> bool:
-        """Whether what follows ``end`` is not composed with what is before it."""
-        after = self.text[end : end + 1]
-        if after < "\x80":
-            return True
-        before = self.text[max(0, end - 4) : end]
-        nfc = lambda s: unicodedata.normalize("NFC", s)
-        return not unicodedata.combining(after) and nfc(before + after) == nfc(before) + nfc(after)
+            begins = np.flatnonzero((data & 0xC0) != 0x80)
+            self.counts = np.zeros(len(self.text) + 1, np.int64)
+            # Of each prefix: the last byte, the pre-token it is in or after, and its place there.
+            last = np.append(begins[1:], len(data))[: len(begins)] - 1
+            size = model.cache.key_length[entry]
+            k = np.searchsorted(end - size, last, "right") - 1
+            seen = k >= 0
+            last, k = last[seen], k[seen]
+            inside = np.minimum(last, end[k] - 1) - (end[k] - size[k])
+            self.counts[1:][seen] = counts[k] + model.cache.row_pool[model.cache.key_start[entry[k]] + inside]
+            self.ends = np.searchsorted(begins, end, "left")
+        self.total = int(self.counts[-1])
+        self.at_ends = self.counts[self.ends]
+
+    def _any_character(self) -> None:
+        """The table of a text whose pre-tokens numpy does not find, one piece between special tokens after the other."""
+        self.counts, ends, begin, before = np.zeros(len(self.text) + 1, np.int64), [], 0, 0
+        specials = [(m.start(), m.end()) for m in self.model.special_at.finditer(self.text)] if self.model.special_at else []
+        for start, end in [*specials, (len(self.text), len(self.text))]:
+            # Part of a special token's string is plain text, and joins what is before it.
+            found, upto = self._plain(begin, start, max(start, end - 1), before)
+            ends += found
+            if end > start:
+                before = upto + 1
+                self.counts[end] = before
+                ends.append(end)
+            begin = end
+        self.ends = np.array(ends, np.int64)
+
+    def _plain(self, begin: int, end: int, more: int, before: int) -> tuple[list[int], int]:
+        """Fill the counts after ``begin`` up to ``more``; the ends of pre-tokens up to ``end``, and the count there."""
+        text, model = self.text, self.model
+        ends, at, base = [], begin, before
+        # A stretch from one safe place to the next holds at most one pre-token that is not closed.
+        k = begin
+        while k < more:
+            k += 1
+            words = model.plain_pre_tokens(text[at:k])
+            self.counts[k] = base + self._count(words)
+            if k > end or (k < end and _composes(text, k)):
+                continue
+            if k == end or not words or self._closes(at, k, words):
+                if words:
+                    ends.append(k)
+                if k < end:
+                    at, base = k, int(self.counts[k])
+        return ends, int(self.counts[end])
+
+    def _closes(self, at: int, k: int, words: list[bytes]) -> bool:
+        """Whether a pre-token ends before ``k``: with the next character the words so far stay as they are."""
+        stop = k + 1
+        while stop < len(self.text) and _composes(self.text, stop):
+            stop += 1
+        further = self.model.plain_pre_tokens(self.text[at:stop])
+        if further[: len(words)] != words:
+            return False
+        tail = self.text[k : k + 3].lower()
+        # An apostrophe waits for the letters that it may take along.
+        return not (words[-1] == b"'" and tail[:1].isalpha()) and not (words[-2:-1] == [b"'"] and any(f"'{words[-1].decode('utf-8', 'replace')}{tail}".startswith(s.decode()) for s in SPLIT_SUFFIXES))
+
+    def _count(self, words: list[bytes]) -> int:
+        return int(self.model.cache.length[self.model.words(words)].sum()) if words else 0
 
     def count(self, length: int) -> int:
-        """Tokens of the first ``length`` code points, as the library would count that prefix alone."""
-        length = max(0, min(length, len(self.text)))
-        k = int(np.searchsorted(self.ends, length, "right"))
-        for start, end in self.inside:
-            # Part of a special token's string is plain text, and joins the pre-token before it.
-            if start < length < end:
-                k = int(np.searchsorted(self.ends, start, "left"))
-        before = int(self.ends[k - 1]) if k else 0
-        return int(self.counts[k]) + (len(self.model.encode(self.text[before:length])) if length > before else 0)
+        """Tokens of the first ``length`` code points."""
+        return int(self.counts[max(0, min(length, len(self.text)))])
 
     def fit(self, budget: int) -> int:
         """Code points of the longest prefix that ends with a pre-token (or is all) and has at most ``budget`` tokens."""
         if self.total <= budget:
             return len(self.text)
-        k = int(np.searchsorted(self.counts, budget, "right")) - 1
-        return int(self.ends[k - 1]) if k > 0 else 0
+        k = int(np.searchsorted(self.at_ends, budget, "right"))
+        return int(self.ends[k - 1]) if k else 0
 
 
 def _with(schema: T.StructType, fields: list[T.StructField], drop: set[str]) -> tuple[list[str], T.StructType]:
