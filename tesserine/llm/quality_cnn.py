@@ -8,13 +8,16 @@ of the text are combined into one probability.
 
 A filter is a table of one value for each byte at each of its places, so the
 convolution is a sum of look-ups.  Training is plain back-propagation with
-Adam on a bounded sample: ``LEARN_TEXTS`` labelled texts at most (those with
-the least hash of their id, none longer than ``LEARN_BYTES``).  It is
-deterministic.
+Adam on a bounded sample: ``LEARN_TEXTS`` labelled rows at most, those with the
+least hash of their id.  It is deterministic.  A learned text is whole unless it
+is longer than ``LEARN_BYTES``, of which a chunk in its middle is learned then;
+what is scored is always whole.
 
 Defined results: a null or empty text is scored as one chunk without bytes;
 without labels, or with labels of one kind only, the score is the share of
-label 1 (0.5 without any).  Repeated rows are each scored.
+label 1 (0.5 without any).  Repeated rows are each scored.  A score depends on
+the text alone: places behind its end are zero bytes, whatever stands next in
+a batch.  A kept column that has the name of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -41,9 +44,11 @@ def learn_sample(docs: DataFrame, labels: DataFrame, usable: Column, label: str,
     """(texts, labels) of the bounded sample; ``usable`` is a condition on the id column, the only one that ``labels`` shares with it."""
     chosen = labels.where(usable & F.col(label).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).alias("__label"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__label").limit(texts)
+    body = F.coalesce(F.col(text), F.lit(""))
+    part = F.when(F.octet_length(body) <= size, body).otherwise(F.substring(body, (F.length(body) / 2).cast("int") - size // 8, size // 4))
     # At most ``texts`` rows of two numbers.
-    met = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).where(F.octet_length(text) <= size)
-    rows = met.select(F.col(text).alias("t"), "__id", "__label").orderBy(F.xxhash64("__id"), "__id", "t").limit(texts).collect()
+    met = docs.select(F.col(doc_id).alias("__doc"), part.alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
+    rows = met.select(F.col("__text").alias("t"), "__id", "__label").orderBy(F.xxhash64("__id"), "__id", "t").limit(texts).collect()
     return [r["t"].encode() for r in rows], np.array([float(r["__label"]) for r in rows])
 
 
@@ -74,23 +79,31 @@ class Network:
         return out
 
     def layout(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Blocks of STRIDE bytes of each text: their number, and the first of each text."""
-        blocks = np.maximum(1, -(-sizes // STRIDE))
+        """Blocks of STRIDE bytes of each text and at least WIDTH - 1 zero bytes: their number, and the first of each text."""
+        blocks = (sizes + WIDTH - 1 + STRIDE - 1) // STRIDE
         return blocks, np.cumsum(blocks) - blocks
 
     def pooled(self, data: np.ndarray, offsets: np.ndarray, places: bool = False):
-        """Maxima over chunks, ReLU'd; text of each chunk; with ``places``, where in the padded line each maximum is."""
+        """Maxima over chunks, ReLU'd; text of each chunk; with ``places``, where in the padded line each maximum is.
+
+        A filter at the last bytes of a text reads the zero bytes after it; a
+        place behind those reads the next text and is left out of the maxima.
+        """
         sizes = np.diff(offsets)
         blocks, first = self.layout(sizes)
         line = np.zeros(int(blocks.sum()) * STRIDE + WIDTH, np.uint8)
         owner = np.repeat(np.arange(len(sizes)), sizes)
         line[np.arange(len(data)) + (first * STRIDE - offsets[:-1])[owner]] = data
+        # Places of the last block that count: those whose window ends in it.
+        counted = np.full(int(blocks.sum()), STRIDE)
+        counted[first + blocks - 1] = STRIDE - WIDTH + 1
         tops = np.empty((int(blocks.sum()), FILTERS), np.float32)
         where = np.empty(tops.shape, np.int64) if places else None
         step = 512
         for k in range(0, len(tops), step):
             m = min(step, len(tops) - k)
             r = self.responses(line[k * STRIDE : (k + m) * STRIDE + WIDTH - 1]).reshape(m, STRIDE, FILTERS)
+            r[:, STRIDE - WIDTH + 1 :][counted[k : k + m] < STRIDE] = -np.inf
             if places:
                 at = r.argmax(axis=1)
                 where[k : k + m] = at + (np.arange(k, k + m) * STRIDE)[:, None]
@@ -110,9 +123,13 @@ class Network:
         if self.constant is not None:
             return np.full(len(offsets) - 1, self.constant)
         chunk, _, first, blocks, _, _ = self.pooled(data, offsets)
-        hidden = np.maximum(chunk @ self.p["u"] + self.p["c"], 0)
+        # Sums in an order that the batch does not change: not by a matrix product of all rows.
+        hidden = np.repeat(self.p["c"][None], len(chunk), axis=0)
+        for f in range(FILTERS):
+            hidden += chunk[:, f : f + 1] * self.p["u"][f]
+        hidden = np.maximum(hidden, 0)
         total = np.add.reduceat(hidden, first, axis=0) / blocks[:, None]
-        logit = total @ self.p["mean"] + np.maximum.reduceat(hidden, first, axis=0) @ self.p["max"] + self.p["b"]
+        logit = (total * self.p["mean"] + np.maximum.reduceat(hidden, first, axis=0) * self.p["max"]).sum(axis=1) + self.p["b"]
         return 1 / (1 + np.exp(-logit.astype(np.float64)))
 
     def gradients(self, data: np.ndarray, offsets: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
@@ -165,16 +182,18 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
 
 def classify(docs: DataFrame, net: Network, keep: list[Column], text: str = "text", threshold: float = 0.7) -> DataFrame:
     """``keep`` and score and predicted of every row."""
-    frame = docs.select(*keep, F.col(text).alias("__text"))
-    own = [c for c in frame.columns if c != "__text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.select(own).schema) + ", score double, predicted int"
+    names = docs.select(*keep).columns
+    frame = docs.select(*(c.alias(f"c{i}") for i, c in enumerate(keep)), F.col(text).alias("text"))
+    own = [f"c{i}" for i, c in enumerate(names) if c not in ("score", "predicted")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.select(own).schema)
+    schema = ", ".join([*([schema] if own else []), "score double", "predicted int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.empty(0)]
-            found.extend(net.scores(data, offsets) for _, _, data, offsets in text_blocks(batch.column("__text")))
+            found.extend(net.scores(data, offsets) for _, _, data, offsets in text_blocks(batch.column("text")))
             score = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*own, "score", "predicted"])
 
     bound_batches(docs.sparkSession)
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(run, schema).select(*(F.col(c).alias(names[int(c[1:])]) for c in own), "score", "predicted")
