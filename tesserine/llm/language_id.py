@@ -8,16 +8,21 @@ its cross-parsing length, and the language with the least of it wins.
 The automaton is completed to a table over (state, symbol) in which a missing
 transition starts the next phrase, so the parse is a plain table walk.  Texts
 are walked side by side in stretches of ``STRETCH`` symbols that cover all of
-them, one numpy step for the next symbol of every stretch.
+them, one numpy step for the next symbol of every stretch.  A stretch first
+starts at the root; then, from the state in which the one before it ended, its
+beginning is walked again until it is in the same state as the first time (two
+walks that start a phrase at the same place are one from there on), and so on
+until no stretch starts anew.  So the phrases are those of one walk over the text.
 
 What is learned is a bounded sample: of each language ``LEARN_TEXTS`` texts at
-most (those with the least hash of their id, none longer than ``LEARN_BYTES``)
-and ``LEARN_BYTES`` bytes of them.  Of a language with longer texts only, one
-is learned from its first letter on, up to ``LEARN_BYTES``.  Texts in ``held_out`` are never used.
+most, those with the least hash of their id, and at most ``LEARN_BYTES`` bytes of
+each and of all of them, from the first letter on and cut between characters.
+Texts in ``held_out`` are never used.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter,
 or if no language is learned; ties go to the first language by name.  Repeated
-rows are each predicted; further columns are not read.
+rows are each predicted; a kept column that has the name of a result is
+replaced by it.
 """
 
 from __future__ import annotations
@@ -42,14 +47,16 @@ UNKNOWN = "und"
 def learn_sample(docs: DataFrame, held_out: Column, doc_id: str, text: str, lang: str, texts: int = LEARN_TEXTS, size: int = LEARN_BYTES) -> dict[str, bytes]:
     """Lower-cased labelled text of each language, bounded by ``texts`` and ``size``."""
     usable = docs.where(~held_out & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    long = F.octet_length(text) > size
-    body = F.when(long, F.substring(F.regexp_replace(text, r"^\P{L}++", ""), 1, size)).otherwise(F.col(text))
-    order = Window.partitionBy("lang").orderBy("long", "hash", "text")
-    ranked = usable.select(F.col(lang).alias("lang"), F.lower(body).alias("text"), F.xxhash64(doc_id).alias("hash"), long.alias("long")).withColumn("rank", F.row_number().over(order))
+    body = F.when(F.octet_length(text) > size, F.substring(F.regexp_replace(text, r"^\P{L}++", ""), 1, size)).otherwise(F.col(text))
+    order = Window.partitionBy("lang").orderBy("hash", "text")
+    ranked = usable.select(F.col(lang).alias("lang"), F.lower(body).alias("text"), F.xxhash64(doc_id).alias("hash")).withColumn("rank", F.row_number().over(order))
+    # Texts before which the sample of their language is not full.
+    before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    some = ranked.where(F.col("rank") <= texts).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < size)
     sample: dict[str, list[str]] = {}
-    for r in ranked.where((F.col("rank") <= texts) & (~F.col("long") | (F.col("rank") == 1))).orderBy("lang", "rank").collect():
+    for r in some.orderBy("lang", "rank").collect():
         sample.setdefault(r["lang"], []).append(r["text"])
-    return {lang: "\n".join(found).encode()[:size] for lang, found in sorted(sample.items())}
+    return {lang: "\n".join(found).encode()[:size].decode("utf-8", "ignore").encode() for lang, found in sorted(sample.items())}
 
 
 class Symbols:
@@ -116,17 +123,55 @@ def automata(learned: tuple[bytes, ...]) -> tuple[Symbols, list[np.ndarray], np.
     return symbols, [suffix_automaton(p.tolist(), symbols.size) for p in parts], np.log2([len(p) + 2 for p in parts])
 
 
-def phrases(table: np.ndarray, size: int, lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Phrases of each stretch; ``lanes`` has a row a step, stretches longest first."""
-    state = np.zeros(lanes.shape[1], np.int64)
-    count = np.zeros(lanes.shape[1], np.int64)
+def walk(table: np.ndarray, size: int, lanes: np.ndarray, live: np.ndarray, state: np.ndarray, trace: np.ndarray, count: np.ndarray, known: bool) -> np.ndarray:
+    """Walk each stretch from ``state``, and keep the entry at each step in ``trace`` and the phrases in ``count``; returns the last states.
+
+    With ``known`` they were walked before from other states: a stretch stops
+    where the state is the one of the last time, from where on all is known.
+    """
+    n, end = lanes.shape[1], state.copy()
+    if not known:
+        count[:] = 0
+        for k, m in enumerate(live.tolist()):
+            if not m:
+                break
+            entry = table[state[:m] * size + lanes[k, :m]]
+            trace[k, :m] = entry
+            count[:m] += entry & 1
+            state[:m] = entry >> 1
+        return state
+    left = np.arange(n)
+    for k, m in enumerate(live.tolist()):
+        left = left[left < m]
+        if not len(left):
+            break
+        entry = table[state[left] * size + lanes[k, left]]
+        old = trace[k, left]
+        trace[k, left] = entry
+        count[left] += (entry & 1) - (old & 1)
+        state[left] = entry >> 1
+        end[left] = state[left]
+        left = left[(entry >> 1) != (old >> 1)]
+    return end
+
+
+def phrases(table: np.ndarray, size: int, lanes: np.ndarray, lengths: np.ndarray, after: np.ndarray | None = None) -> np.ndarray:
+    """Phrases of each stretch; ``lanes`` has a row a step, stretches longest first; ``after`` names the stretch before each, -1 if there is none."""
+    n = lanes.shape[1]
     live = np.searchsorted(-lengths, -np.arange(len(lanes)), "left")
-    for step, n in zip(lanes, live.tolist(), strict=True):
-        if not n:
+    trace, count = np.zeros(lanes.shape, np.int32), np.zeros(n, np.int64)
+    begun = np.zeros(n, np.int64)
+    ended = walk(table, size, lanes, live, begun.copy(), trace, count, False)
+    while after is not None:
+        begin = np.where(after >= 0, ended[after], 0)
+        again = np.flatnonzero(begin != begun)
+        if not len(again):
             break
-        entry = table[state[:n] * size + step[:n]]
-        count[:n] += entry & 1
-        state[:n] = entry >> 1
+        # Stretches stay longest first.
+        part, counted = np.ascontiguousarray(trace[:, again]), count[again]
+        walk(table, size, lanes[:, again], np.searchsorted(-lengths[again], -np.arange(len(lanes)), "left"), begin[again].copy(), part, counted, True)
+        trace[:, again], count[again], begun = part, counted, begin
+        ended[again] = part[lengths[again] - 1, np.arange(len(again))] >> 1
     return count
 
 
@@ -137,9 +182,13 @@ def cross_parse(learned: tuple[bytes, ...], data: np.ndarray, offsets: np.ndarra
     sizes = np.diff(at)
     pieces = -(-sizes // STRETCH)
     text = np.repeat(np.arange(len(sizes)), pieces)
-    start = at[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STRETCH
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = at[:-1][text] + nth * STRETCH
     length = np.minimum(STRETCH, at[1:][text] - start)
     order = np.argsort(-length, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    after = np.where(nth > 0, place[np.arange(len(text)) - 1], -1)[order]
     text, start, length = text[order], start[order], length[order]
     out = np.zeros((len(sizes), len(tables)))
     if not len(text):
@@ -147,23 +196,25 @@ def cross_parse(learned: tuple[bytes, ...], data: np.ndarray, offsets: np.ndarra
     padded = np.concatenate([line, np.zeros(STRETCH, np.uint8)])
     lanes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, int(length[0]))[start].T)
     for k, table in enumerate(tables):
-        out[:, k] = np.bincount(text, phrases(table, symbols.size, lanes, length), len(sizes)) * bits[k]
+        out[:, k] = np.bincount(text, phrases(table, symbols.size, lanes, length, after), len(sizes)) * bits[k]
     return out
 
 
 def identify(docs: DataFrame, learned: dict[str, bytes], keep: list[Column], text: str = "text") -> DataFrame:
     """``keep`` and lang_pred and score of every row."""
     names, samples = list(learned), tuple(learned.values())
-    frame = docs.select(*keep, F.lower(F.col(text)).alias("__text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
-    own = [c for c in frame.columns if not c.startswith("__")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.select(own).schema) + ", lang_pred string, score double"
+    kept = docs.select(*keep).columns
+    frame = docs.select(*(c.alias(f"c{i}") for i, c in enumerate(keep)), F.lower(F.col(text)).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    own = [f"c{i}" for i, c in enumerate(kept) if c not in ("lang_pred", "score")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.select(own).schema)
+    schema = ", ".join([*([schema] if own else []), "lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            letters = batch.column("__letters").to_numpy(zero_copy_only=False)
+            letters = batch.column("letters").to_numpy(zero_copy_only=False)
             best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             if names:
-                for i, j, data, offsets in text_blocks(batch.column("__text"), 4 << 20):
+                for i, j, data, offsets in text_blocks(batch.column("text"), 2 << 20):
                     cost = cross_parse(samples, data, offsets)
                     best[i:j] = cost.argmin(axis=1)
                     least = cost.min(axis=1, keepdims=True)
@@ -174,4 +225,4 @@ def identify(docs: DataFrame, learned: dict[str, bytes], keep: list[Column], tex
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(lang, pa.string()), pa.array(np.where(known, score, 0.0))], [*own, "lang_pred", "score"])
 
     bound_batches(docs.sparkSession)
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(run, schema).select(*(F.col(c).alias(kept[int(c[1:])]) for c in own), "lang_pred", "score")
