@@ -15,11 +15,14 @@ the place and length of the gap.  All later records are recovered.  A member is
 unpacked as a stream and searched for version lines too, so one of its records
 that fails costs no other, and of one that breaks off the records before are kept.
 
-Bounds: a file is read as one row, so ``records_per_file`` bounds the memory of
-a task; archives of others are bounded by spark.sql.sources.binaryFile.maxLength.
+Bounds: a file is read as one row.  Files roll by bytes: beyond ``file_bytes`` a
+new one begins, so a file has that and one record at most, which bounds the
+memory of a task; archives of others are bounded by
+spark.sql.sources.binaryFile.maxLength.
 
 Defined results: a null payload is empty; null page ids and addresses are left
-out of the header and read as null; repeated rows are a record each.  Of equal
+out of the header and read as null; repeated rows are a record each; further
+columns are not read, whatever their names.  Of equal
 payloads the largest page_id is the response (null last, and of repeated ids
 one row), the others revisit it.
 """
@@ -47,7 +50,8 @@ GZIP_MAGIC = b"\x1f\x8b\x08"
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 #: Bytes buffered for one record of a member: what a value of Spark can hold.
 MAX_RECORD = (1 << 31) - 1
-RECORDS_PER_FILE = 10_000
+#: Bytes after which a new file begins, and those that go to the sink as one line.
+FILE_BYTES, LINE_BYTES = 64 << 20, 1 << 20
 #: Deflate level: 2 takes half the time of 6 for about a tenth more bytes.
 LEVEL = 2
 
@@ -90,8 +94,12 @@ def member(raw: bytes) -> bytes:
     return out if out.endswith(b"\0") else out + EMPTY_MEMBER
 
 
-def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write ``pages`` as archives under ``path``.
+def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
+    """Write ``pages`` as archives (part-*.warc.gz) under ``path``.
+
+    The sink counts lines, not bytes: members are joined to lines of about
+    ``LINE_BYTES``, and a longer one is followed by empty members that count
+    for the rest of it.
 
     Payloads of at least ``min_bytes`` are deduplicated.  Only digests that
     occur twice or more are joined back, so where they are few the pages are
@@ -115,13 +123,37 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     revisit = F.coalesce(F.col("grouped") & ~(F.col("page_id").eqNullSafe(F.col("keeper")) & (F.col("nth") == 1)), F.lit(False))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line, size = [], 0
+
+        def lines() -> pa.RecordBatch:
+            # The last zero byte is the sink's separator.
+            fill = [EMPTY_MEMBER[:-1]] * (size // LINE_BYTES - 1)
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(line)[:-1], *fill], pa.binary())], ["value"])
+
         for batch in batches:
-            out = [member(record(p, u, h.encode(), k, date, r)) for p, u, h, k, r in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "keeper", "revisit")), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in out], pa.binary())], ["value"])
+            for p, u, h, k, r in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "keeper", "revisit")), strict=True):
+                line.append(member(record(p.as_py(), u.as_py(), h.as_py().encode(), k.as_py(), date, r.as_py())))
+                size += len(line[-1])
+                if size >= LINE_BYTES:
+                    yield lines()
+                    line, size = [], 0
+        if line:
+            yield lines()
 
     bound_batches(pages.sparkSession)
     members = met.select("page_id", "url", "payload", "keeper", revisit.alias("revisit")).mapInArrow(build, "value binary")
-    members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+    members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", max(1, file_bytes // LINE_BYTES)).text(path)
+    _name_archives(pages.sparkSession, path)
+
+
+def _name_archives(spark: SparkSession, path: str) -> None:
+    """Give the sink's files the ending of what they are."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in store.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("part-") and name.endswith(".txt"):
+            store.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, name.removesuffix(".txt") + ".warc.gz"))
 
 
 class Broken(Exception):
@@ -358,7 +390,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
         columns = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(c, types[f.split()[1]]) for c, f in zip(columns, RECORDS.split(", "), strict=True)], names)
 
-    # A file is a row, and a batch is a file.
+    # A file is a row, and a batch ends as soon as it has the bytes of one.
     bound_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(scan, RECORDS)
