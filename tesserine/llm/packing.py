@@ -8,14 +8,16 @@ lowest bit that is high enough names the tightest bin, and when a bin must
 open while all are in use, the fullest one (the lowest bit) closes.
 
 Rests are dealt by hash over shards of about ``SHARD_ROWS`` pieces, which arrive
-longest first and are packed in parallel.  Bins still open when a shard ends,
+longest first and are packed in parallel, as rows of a number and a length; ids
+and other columns meet their place at the end.  Bins still open when a shard ends,
 with more than 1/64 of their space free, are not wasted: they are the items of
 the next round, in which ``MERGE`` shards meet, and so on to the root, so a
 task sees at most MERGE * OPEN_BINS bins whatever the input size.
 Each round is written to the checkpoint folder.
 
 Defined results: a null or empty text is the closing id alone; repeated rows
-are packed each; a null doc_id is kept.
+are packed each; a null doc_id is kept; further columns of the input are not
+read, and columns of pieces that have the name of a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from tesserine.llm.token_counts import tokenizer
 SIZE = 2048
 END_ID = 0
 OPEN_BINS = 16_384
-SHARD_ROWS = 20_000
+SHARD_ROWS = 50_000
 MERGE = 8
 
 
@@ -147,18 +149,21 @@ def pack(pieces: DataFrame, size: int = SIZE, open_bins: int = OPEN_BINS, shard_
 
     ``length`` is between 1 and ``size``.  Numbers of sequences are not dense.
     """
-    pieces = checkpoint(pieces)
-    own = F.monotonically_increasing_id()
-    full = pieces.where(F.col("length") == size).withColumn("sequence_id", -1 - own).withColumn("offset", F.lit(0).cast("long"))
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    # As its files are read back, so are the numbers.
+    pieces = checkpoint(pieces.select(own).withColumn("__row", F.monotonically_increasing_id()))
+    full = pieces.where(F.col("length") == size).withColumn("sequence_id", -1 - F.col("__row")).withColumn("offset", F.lit(0).cast("long"))
     rests = pieces.where(F.col("length") < size)
     shards = max(1, -(-rests.count() // shard_rows))
-    key = F.xxhash64("doc_id", "piece", "length")
-    rows = (
-        rests.withColumn("__order", F.xxhash64(key, F.lit(7)))
-        .withColumn("__bin", own)
-        .withColumn("offset", F.lit(0).cast("long"))
-        .withColumn("__shard", F.pmod(key, F.lit(shards)))
-        .withColumn("__open", F.lit(True))
+    key = F.xxhash64("__row")
+    rows = rests.select(
+        "__row",
+        "length",
+        F.xxhash64(key, F.lit(7)).alias("__order"),
+        F.col("__row").alias("__bin"),
+        F.lit(0).cast("long").alias("offset"),
+        F.pmod(key, F.lit(shards)).alias("__shard"),
+        F.lit(True).alias("__open"),
     )
     done, level = [], 0
     while True:
@@ -166,17 +171,17 @@ def pack(pieces: DataFrame, size: int = SIZE, open_bins: int = OPEN_BINS, shard_
         packed = checkpoint(_round(rows, size, open_bins, last))
         # A sequence is numbered by the round, the shard and the bin that closed it.
         number = F.lit(level << 56) + F.shiftleft(F.col("__shard").cast("long"), 28) + F.col("__bin")
-        done.append(packed.where(~F.col("__open")).withColumn("sequence_id", number))
+        done.append(packed.where(~F.col("__open")).select("__row", number.alias("sequence_id"), "offset"))
         if last:
             break
         shards, level = -(-shards // merge), level + 1
         rows = packed.where("__open").withColumn("__order", F.xxhash64("__shard", "__bin")).withColumn("__shard", F.floor(F.col("__shard") / merge))
-    out = full
-    for part in done:
-        out = out.unionByName(part.select(full.columns))
-    return out
+    places = done[0]
+    for part in done[1:]:
+        places = places.unionByName(part)
+    return full.unionByName(rests.join(places, "__row").select(full.columns)).drop("__row")
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = SIZE, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """Tokenise, cut and pack ``docs``; shards are smaller where rows carry their ids."""
-    return pack(token_pieces(docs, path, size, doc_id, text, with_ids), size, shard_rows=SHARD_ROWS // 8 if with_ids else SHARD_ROWS)
+    """Tokenise, cut and pack ``docs``."""
+    return pack(token_pieces(docs, path, size, doc_id, text, with_ids), size)
