@@ -23,7 +23,8 @@ the multisets.
 Defined results: a text without words (null included) is a class of its own;
 one of less than five words has one shingle of all its words; repeated rows
 are copies.  A class is named by its smallest doc_id; that row (null last)
-stays.
+stays.  Further columns are not read; ``drop_near_duplicates`` keeps them,
+whatever their names.
 """
 
 from __future__ import annotations

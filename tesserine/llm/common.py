@@ -61,31 +61,40 @@ def text_key(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or the like, that no column of ``docs`` has (in any case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_rows(docs: DataFrame, judged: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``judged`` (doc_id, text_key, kept; a row for each of them) keeps, all columns.
 
     The lost rows are the smaller side, and adaptive execution broadcasts them
     only if they are measured as small.  Of rows that repeat id and text those
-    beyond the kept one go as well.
+    beyond the kept one go as well.  Columns of ``docs`` may have any names.
     """
-    keys = [F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")]
+    name, key, nth = (fresh(docs, n) for n in ("lost_id", "lost_key", "lost_nth"))
+    keys = [F.col("doc_id").alias(name), F.col("text_key").alias(key)]
     kept = judged.where("kept").select(*keys)
     lost = judged.where(~F.col("kept")).select(*keys).distinct()
-    again = lost.alias("l").join(kept.alias("k"), F.col("l.__id").eqNullSafe(F.col("k.__id")) & (F.col("l.__key") == F.col("k.__key")), "left_semi")
-    again = checkpoint(again)
-    same = F.col("__id").eqNullSafe(F.col(doc_id)) & (F.col("__key") == text_key(text))
+    both = F.col(f"l.{name}").eqNullSafe(F.col(f"k.{name}")) & (F.col(f"l.{key}") == F.col(f"k.{key}"))
+    again = checkpoint(lost.alias("l").join(kept.alias("k"), both, "left_semi"))
+    same = F.col(name).eqNullSafe(F.col(doc_id)) & (F.col(key) == text_key(text))
     if not again.take(1):
         return docs.join(lost, same, "left_anti")
-    gone = lost.alias("l").join(again.alias("k"), F.col("l.__id").eqNullSafe(F.col("k.__id")) & (F.col("l.__key") == F.col("k.__key")), "left_anti")
+    gone = lost.alias("l").join(again.alias("k"), both, "left_anti")
     left = docs.join(gone, same, "left_anti")
     one = Window.partitionBy(F.col(doc_id), text_key(text)).orderBy(F.lit(1))
-    repeated = left.join(again, same, "left_semi").withColumn("__nth", F.row_number().over(one)).where("__nth = 1").drop("__nth")
+    repeated = left.join(again, same, "left_semi").withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).drop(nth)
     return left.join(again, same, "left_anti").unionByName(repeated)
 
 
 def slim(df: DataFrame) -> DataFrame:
-    """A frame that is small against its input in an eighth of the shuffle partitions, eight at least, before it is written."""
-    return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+    """A frame that is small against its input in a quarter of the shuffle partitions, 24 at least, before it is written."""
+    return df.coalesce(max(24, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
 
 
 @contextmanager
@@ -112,6 +121,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def table(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back."""
@@ -119,9 +129,21 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         with shuffles_dropped(self.spark):
             df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def remove(self, *tables: DataFrame) -> None:
+        """Delete tables of which all that is needed has been written elsewhere."""
+        for table in tables:
+            if id(table) in self.paths:
+                self._delete(self.paths.pop(id(table))[1])
 
     def drop(self) -> None:
         """Delete all tables of this scratch folder."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths.clear()
+        self._delete(self.root)
