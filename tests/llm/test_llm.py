@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from tesserine.llm import bag_minhash, common, exact_dedup, language_id, packing, quality_cnn, quality_rules, repeated_spans, sentence_pieces, token_counts, warc  # noqa: E402
-from tesserine.llm.blocks import text_blocks  # noqa: E402
+from tesserine.llm.blocks import IdCache, text_blocks  # noqa: E402
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -22,6 +22,9 @@ VOCABULARY = ["".join(RNG.choice("abcdeghilmnorstu") for _ in range(RNG.randint(
 SPACE = " \t\n\x0b\x0c\r"
 
 
+CLASHES = ["lost_id", "lost_key", "lost_nth", "__id", "__key", "text_key", "kept", "row", "node", "l", "k"]
+
+
 def prose(n, seed):
     r = random.Random(seed)
     return " ".join(r.choice(VOCABULARY) for _ in range(n))
@@ -31,7 +34,7 @@ def cases():
     base = prose(120, 1)
     words = base.split()
     near = " ".join([*words[:60], "changed", *words[61:]])
-    return [None, "", " \n\t", "x", "x", base, base, base + " ", near, prose(120, 2), prose(3, 4), prose(3, 4), "it's don't 'twas ''s I'M", "Été ÀÉ ß × 日本 🙂", "<|endoftext|> a", "a\x1cb", "a▁b  c   d", "w " * 900, prose(5000, 5), base + "\n" + prose(80, 6)]
+    return [None, "", " \n\t", "x", "x", base, base, base + " ", near, prose(120, 2), prose(3, 4), prose(3, 4), "it's don't 'twas ''s I'M", "Été ÀÉ ß × 日本 🙂", "<|endoftext|> a", "a\x1cb", "a▁b  c   d", " ".join(thue_morse(1024)), "w " * 900, prose(5000, 5), base + "\n" + prose(80, 6)]
 
 
 def frame(spark, texts):
@@ -76,31 +79,96 @@ def test_exact_copies(spark):
         assert (r["keep_id"], r["group_size"]) == (min(by[r["text_sha256"]])[1], len(by[r["text_sha256"]]))
     left = exact_dedup.drop_copies(frame(spark, texts))
     assert left.count() == len(groups) and left.columns == ["doc_id", "text", "n_words"]
+    clash = frame(spark, texts).withColumns({c: F.lit(1) for c in CLASHES})
+    assert exact_dedup.drop_copies(clash).count() == len(groups) and exact_dedup.drop_copies(clash).columns == clash.columns
+    assert exact_dedup.drop_copies(empty(spark)).count() == 0
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
 
 
-def test_repeated_spans(spark):
+def thue_morse(n):
+    """Two words of n bytes that polynomial hashes modulo 2**64 take for one from 1,024 on."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def covered_by_repeats(raws, size):
+    """Of each byte of each text, whether a string of ``size`` bytes that starts anywhere else covers it."""
+    seen = Counter(r[k : k + size] for r in raws for k in range(len(r) - size + 1))
+    out = []
+    for r in raws:
+        gone = np.zeros(len(r), bool)
+        for k in range(len(r) - size + 1):
+            if seen[r[k : k + size]] > 1:
+                gone[k : k + size] = True
+        out.append(gone)
+    return out
+
+
+def runs_of(gone):
+    step = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+    return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
+
+
+def repeating_texts():
     shared, texts = prose(100, 11), []
     for i in range(30):
         r = random.Random(i)
         texts.append(prose(r.randint(0, 150), 100 + i) + (" " + shared[r.randint(0, 200) : r.randint(300, len(shared))] if i % 2 else "") + prose(r.randint(0, 60), 200 + i))
-    texts += [None, "", "a" * 1500, "ab" * 300, "é" * 450, "é" * 200, "b" * 399, texts[3], texts[3] * 2, shared]
+    texts += [None, "", "a" * 1500, "ab" * 300, "é" * 450, "é" * 200, "b" * 399, texts[3], texts[3] * 2, shared, *thue_morse(1024), *thue_morse(2048)]
+    return texts
+
+
+def test_repeated_spans(spark):
+    texts = repeating_texts()
     raws = [(t or "").encode() for t in texts]
-    seen = Counter(r[k : k + 400] for r in raws for k in range(len(r) - 399))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: tuple(r)[1:] for r in repeated_spans.remove_repeated_spans(docs, digest=True).collect()}
-    for i, r in enumerate(raws):
-        gone = np.zeros(len(r) + 2, bool)
-        for k in range(len(r) - 399):
-            if seen[r[k : k + 400]] > 1:
-                gone[k + 1 : k + 401] = True
-        left = bytes(b for b, g in zip(r, gone[1:-1], strict=True) if not g)
-        assert got[i] == (len(r), len(r) - len(left), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(left).hexdigest())
-    whole = repeated_spans.remove_repeated_spans(docs)
-    assert whole.columns == ["doc_id", "text", "n_removed"] and whole.where("text is null").count() == 1
+    for i, (r, gone, halves) in enumerate(zip(raws, covered_by_repeats(raws, 400), covered_by_repeats(raws, 200), strict=True)):
+        left = bytes(b for b, g in zip(r, gone, strict=True) if not g)
+        long = [1 for a, b in runs_of(halves) if len(r[a:b].split()) >= 50]
+        assert got[i] == (len(r), len(r) - len(left), len(runs_of(gone)), hashlib.sha256(left).hexdigest(), len(long))
     assert repeated_spans.remove_repeated_spans(empty(spark), digest=True).count() == 0
 
 
+@pytest.mark.parametrize("least_words", [0, 50])
+def test_removal_at_the_threshold_of_the_pipeline(spark, least_words):
+    texts = repeating_texts()
+    raws = [(t or "").encode() for t in texts]
+    docs = spark.createDataFrame([(i if i else None, t, f"x{i}") for i, t in enumerate(texts)], "doc_id long, text string, n_removed string").withColumn("spans", F.lit(1)).repartition(4)
+    got = repeated_spans.remove_repeated_spans(docs, threshold=200, least_words=least_words)
+    assert got.columns == ["doc_id", "text", "spans", "n_removed"] and dict(got.dtypes)["n_removed"] == "bigint"
+    by = {r["doc_id"] or 0: r for r in got.collect()}
+    for i, (t, r, gone) in enumerate(zip(texts, raws, covered_by_repeats(raws, 200), strict=True)):
+        spans = [(a, b) for a, b in runs_of(gone) if len(r[a:b].split()) >= least_words]
+        left = repeated_spans.without(r, repeated_spans.whole_characters(r, spans))
+        assert (by[i]["text"], by[i]["n_removed"]) == (None if t is None else left.decode(), len(r) - len(left))
+    assert repeated_spans.remove_repeated_spans(empty(spark)).count() == 0
+
+
+def test_repeated_spans_of_long_texts(spark, monkeypatch):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(9000))
+    texts = [text + text[2000:3100], "x" + text[4990:5600] + "y"]
+    # What a worker does with a text of several pieces: the same positions, whatever the pieces.
+    raw = np.frombuffer(texts[0].encode(), np.uint8)
+    found = {}
+    for size in (1 << 20, 1000):
+        monkeypatch.setattr(repeated_spans, "SEGMENT", size)
+        positions = []
+        for _, _, data, offsets, at in repeated_spans.segments(pa.array([raw.tobytes().decode()]), 400):
+            _, anchor, low, high, core, _ = repeated_spans.anchored_runs(data, offsets, 400, 100)
+            positions += [(p + at, a + at, c) for a, lo, hi, c in zip(anchor.tolist(), low.tolist(), high.tolist(), core.tolist(), strict=True) for p in range(lo, hi + 1)]
+        found[size] = sorted(positions)
+    assert found[1 << 20] == found[1000] and len(found[1000]) == len(raw) - 399
+    # The driver's copy of the module is pickled by name, so workers read the true size: a text beyond it.
+    long = "".join(rng.choice("abcdefgh ") for _ in range((1 << 20) + 3000))
+    texts = [long + long[1_048_000:1_049_000], long[500_000:500_700]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in repeated_spans.remove_repeated_spans(docs, digest=True).collect()}
+    raws = [t.encode() for t in texts]
+    assert got == {i: int(g.sum()) for i, g in enumerate(covered_by_repeats(raws, 400))}
+
+
 def test_token_counts_and_prefixes(spark):
     from tokenizers import Tokenizer
 
@@ -118,20 +186,27 @@ def test_token_counts_and_prefixes(spark):
     assert token_counts.token_counts(empty(spark), WORDS).count() == 0
 
 
-def test_prefixes_of_texts_with_any_character():
-    model = token_counts.tokenizer(WORDS)
-    count = lambda t: len(model.encode(t))
-    texts = ["antidisestablishmentarianism is – a “long” word’s end", "Ελλάς привет 日本語 12×3÷4 🙂🙂 a\x1cb", "e\u0301te\u0301 cafe\u0301! \u1112\u1161\u11ab a\u0323\u0301b İx ﬁ", "ab!<|endoftext|>!x <|endoftext|><|startoftext|> '<|endoftext|>s it's –"]
+def test_prefixes_of_texts_with_any_character(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, model = Tokenizer.from_file(WORDS), token_counts.tokenizer(WORDS)
+    # The library is what the table is held against; the table itself never encodes with it.
+    monkeypatch.setattr(model, "library", None)
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    texts = ["antidisestablishmentarianism is – a “long” word’s end", "Ελλάς привет 日本語 12×3÷4 🙂🙂 a\x1cb", "e\u0301te\u0301 cafe\u0301! \u1112\u1161\u11ab a\u0323\u0301b İx ﬁ", "ab!<|endoftext|>!x <|endoftext|><|startoftext|> '<|endoftext|>s it's –", "– 're 'rx ''ve 'l'll|><|endoftext|>–re"]
+    rng = random.Random(9)
+    texts += ["".join(rng.choice("abre'éß’–  \n\u1e6d\u0301日1٣sStTlLvV!?.ﬁİΣ한🙂") for _ in range(rng.randint(1, 25))) for _ in range(150)]
+    texts += ["".join(rng.choice("ab'sSrRelLvV!  é1") for _ in range(rng.randint(1, 25))) for _ in range(150)]
     for t in texts:
         table, asked = token_counts.PrefixCounts(model, t), []
         assert [table.count(k) for k in range(len(t) + 1)] == [count(t[:k]) for k in range(len(t) + 1)]
         for budget in range(count(t) + 1):
             n = table.fit(budget)
             assert count(t[:n]) <= budget and (n in (0, len(t)) or n in table.ends)
-        for k, n in zip(table.ends.tolist(), table.counts[1:].tolist(), strict=True):
+        for k, n in zip(table.ends.tolist(), table.at_ends.tolist(), strict=True):
             assert count(t[:k]) == n
             asked.append(table.fit(n) >= k)
-        assert all(asked) and asked
+        assert all(asked)
     assert token_counts.PrefixCounts(model, texts[0]).fit(2) == 0
 
 
@@ -158,6 +233,9 @@ def test_packing(spark):
         assert at <= 256
     assert len(bins) <= 1.1 * sum(r["length"] for r in rows) / 256 + 1
     assert packing.pack_documents(empty(spark), WORDS).count() == 0
+    clash = docs.withColumn("offset", F.lit("x")).withColumn("length", F.lit("y")).withColumn("piece", F.lit(1))
+    packed = packing.pack_documents(clash, WORDS, with_ids=True).collect()
+    assert all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in packed)
 
 
 def test_best_fit_closes_the_fullest():
@@ -176,12 +254,62 @@ def test_sentence_pieces(spark):
     assert Counter((r["text"], tuple(r["ids"])) for r in got) == Counter((t, tuple(library.encode(t or ""))) for t in texts)
     back = sentence_pieces.decode(sentence_pieces.encode(docs, PIECES).withColumnRenamed("text", "before"), PIECES).collect()
     assert all(r["text"] == (r["before"] or "") for r in back if "▁" not in (r["before"] or ""))
-    model = sentence_pieces.encoder(PIECES).model
-    line = "▁" + prose(50, 12).replace(" ", "▁")
-    assert list(sentence_pieces.stream(model, iter(line))) == library.encode(prose(50, 12))
+    assert sentence_pieces.decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>"), PIECES).where("text = ''").count() == 2
     assert sentence_pieces.round_trips(empty(spark), PIECES).count() == 0
 
 
+def test_streaming_search_equals_the_library():
+    import sentencepiece
+
+    library, model = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentence_pieces.encoder(PIECES)
+    rng = random.Random(5)
+    pieces = [library.id_to_piece(i).replace("▁", " ") for i in range(300, 32000)]
+    texts = [c * k for c in (" ", "-", "=", "a", "é", "\n", "haha", "\r\n") for k in (1, 2, 15, 16, 17, 33, 65, 300)] + ["▁", "a▁b", " ▁ ▁▁", "日本語🙂", "\x00\x01", prose(50, 12), *thue_morse(2048)]
+    texts += ["".join(rng.choice(pieces) if rng.random() < 0.6 else rng.choice("  ▁\n-=ab.é日") for _ in range(rng.randint(1, 30))) for _ in range(600)]
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        assert model.ids(raw, np.array([0, len(raw)]))[0].tolist() == library.encode(t)
+        assert list(sentence_pieces.stream(model.model, iter("▁" + t.replace(" ", "▁")))) == library.encode(t)
+
+
+def test_ids_of_the_stream_are_committed_early():
+    model, read = sentence_pieces.encoder(PIECES).model, [0]
+
+    def chars():
+        for c in "▁" + prose(4000, 13).replace(" ", "▁"):
+            read[0] += 1
+            yield c
+
+    lag, written = 0, 0
+    for i in sentence_pieces.stream(model, chars()):
+        written += len(model.pieces[i])
+        lag = max(lag, read[0] - written)
+    assert written == read[0] and lag <= 4 * model.longest
+
+
+def test_caches_and_hashes_of_colliding_words():
+    model, words = token_counts.tokenizer(WORDS, False), [w for n in (1024, 2048) for w in thue_morse(n)]
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    assert model.ids(raw, np.array([0, len(raw)]), [])[0].tolist() == library.encode(" ".join(words), add_special_tokens=False).ids
+    assert token_counts.tokenizer(WORDS).encode(" ".join(words)) == library.encode(" ".join(words), add_special_tokens=False).ids
+    shingles, _ = bag_minhash.shingles(np.frombuffer("".join(words).encode(), np.uint8), np.cumsum([0, *map(len, words)]))
+    assert len(set(shingles.tolist())) == 4
+    # Where hashes are equal the bytes decide.
+    cache, data = IdCache(), np.frombuffer(b"aabbccaabb", np.uint8)
+    learn = lambda raw: (np.array([x[0] for x in raw], np.uint32), np.ones(len(raw), np.int64))
+    start = np.array([0, 2, 4, 6, 8])
+    for _ in range(2):
+        entry = cache.entries(np.full(5, 7, np.uint64), data, start, start + 2, learn)
+        assert cache.pool[cache.start[entry]].tolist() == [97, 98, 99, 97, 98]
+    small = IdCache(capacity=2)
+    for at in ([0, 2], [4, 0], [2, 4]):
+        entry = small.entries(np.array(at, np.uint64), data, np.array(at), np.array(at) + 2, learn)
+        assert small.pool[small.start[entry]].tolist() == [data[k] for k in at]
+
+
 def brute_classes(texts):
     bags = []
     for t in texts:
@@ -209,7 +337,10 @@ def test_near_duplicates(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["class_id"] for r in bag_minhash.near_duplicates(docs).collect()}
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
-    assert bag_minhash.drop_near_duplicates(docs).count() == len(set(got.values()))
+    clash = docs.withColumns({c: F.lit(1) for c in CLASHES})
+    kept = bag_minhash.drop_near_duplicates(clash)
+    assert kept.count() == len(set(got.values())) and kept.columns == clash.columns
+    assert bag_minhash.drop_near_duplicates(empty(spark)).count() == 0
     assert bag_minhash.near_duplicates(empty(spark)).count() == 0
 
 
@@ -252,11 +383,24 @@ def test_warc(spark, tmp_path):
         [(1, "revisit", 3, 1), (None, "revisit", 3, 1), (3, "response", None, 1), (2, "response", None, 1), (4, "revisit", 5, 0), (5, "response", None, 0), (6, "response", None, 6), (7, "response", None, 1), (7, "revisit", 7, 1)]
     )
     assert {r["payload_digest"] for r in got if r["page_id"] == 6} == {warc.digest("x\0y é".encode())}
-    warc.write_warc(df.where("page_id < 4"), str(tmp_path / "m"), min_bytes=2)
+    clash = df.where("page_id < 4").withColumn("digest", F.lit("x")).withColumn("keeper", F.lit(1)).withColumn("payload", F.lit("x"))
+    warc.write_warc(clash, str(tmp_path / "m"), min_bytes=2)
     assert warc.read_warc(spark, str(tmp_path / "m")).where("record_type = 'response'").count() == 3
     assert warc.round_trip(df.limit(0), str(tmp_path / "e")).count() == 0
 
 
+def test_archives_roll_by_bytes(spark, tmp_path):
+    rng = random.Random(3)
+    pages = [(i, "u", "".join(rng.choice("0123456789abcdef") for _ in range(3_000_000 if i == 7 else 120_000))) for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(df, str(tmp_path / "r"), file_bytes=1 << 20)
+    sizes = [p.stat().st_size for p in (tmp_path / "r").glob("part-*")]
+    assert len(sizes) >= 3 and max(sizes) <= (1 << 21) + (1 << 20) and all(p.name.endswith(".warc.gz") for p in (tmp_path / "r").glob("part-*"))
+    got = warc.read_warc(spark, str(tmp_path / "r"))
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in got.collect()} == {i: h for i, _, h in pages}
+    assert got.where("not ok").count() == 0
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_salvage(packed):
     records = [warc.record(i, "u", (f"payload {i} " * 40).encode(), None, "2020-01-01T00:00:00Z", False) for i in range(6)]
@@ -312,25 +456,46 @@ def test_language_id(spark):
 
 
 def test_language_with_long_texts_only(spark):
-    docs = spark.createDataFrame([(1, "aeiou stone " * 40, "xx"), (2, "9 " * 30_000 + "Klm pkl " * 9000, "zz"), (3, "aei " * 20_000, "xx"), (4, "klm pkl", None)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, "aeiou stone " * 40, "xx"), (2, "9 " * 30_000 + "Klm pkl é" * 9000, "zz"), (3, "aei " * 20_000, "xx"), (4, "klm pkl", None)], "doc_id long, text string, lang string")
     learned = language_id.learn_sample(docs, F.lit(False), "doc_id", "text", "lang")
-    assert list(learned) == ["xx", "zz"] and learned["xx"] == ("aeiou stone " * 40).encode()
-    assert learned["zz"] == ("klm pkl " * 9000).encode()[: language_id.LEARN_BYTES]
-    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, learned, [F.col("doc_id")]).collect()} == {1: "xx", 2: "zz", 3: "xx", 4: "zz"}
+    assert list(learned) == ["xx", "zz"] and all(len(x) <= language_id.LEARN_BYTES for x in learned.values())
+    assert ("klm pkl é" * 9000).startswith(learned["zz"].decode())
+    again = docs.unionByName(docs).withColumn("score", F.lit("clash"))
+    got = language_id.identify(again, learned, [F.col("doc_id"), F.col("score")])
+    assert got.columns == ["doc_id", "lang_pred", "score"] and dict(got.dtypes)["score"] == "double"
+    assert Counter((r["doc_id"], r["lang_pred"]) for r in got.collect()) == Counter(dict.fromkeys([(1, "xx"), (2, "zz"), (3, "xx"), (4, "zz")], 2))
+    assert language_id.identify(docs.limit(0), learned, [F.col("doc_id")]).count() == 0
+
+
+def brute_phrases(learned, text):
+    at, n = 0, 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in learned:
+            size += 1
+        at, n = at + size, n + 1
+    return n
 
 
-def test_cross_parsing_equals_brute_force():
+def test_cross_parsing_equals_brute_force(monkeypatch):
     learned, text = b"abracadabra bra", b"abrabracada xyz cadabraa"
     symbols, tables, _ = language_id.automata((learned,))
     line, _ = symbols.of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     known = symbols.of(np.frombuffer(learned, np.uint8), np.array([0, len(learned)]))[0].tobytes()
-    raw, at, n = line.tobytes(), 0, 0
-    while at < len(raw):
-        size = 1
-        while at + size < len(raw) and raw[at : at + size + 1] in known:
-            size += 1
-        at, n = at + size, n + 1
-    assert language_id.phrases(tables[0], symbols.size, line[:, None], np.array([len(line)]))[0] == n
+    assert language_id.phrases(tables[0], symbols.size, line[:, None], np.array([len(line)]))[0] == brute_phrases(known, line.tobytes())
+    rng = random.Random(6)
+    learned = tuple("".join(rng.choice(c) for _ in range(3000)).encode() for c in ("ab", "abc", "aaab", "abcd efgh"))
+    texts = [b"".join(rng.choice([learned[k][a : a + rng.randint(1, 400)] for a in [rng.randint(0, 2500)] for k in range(4)]) for _ in range(rng.randint(0, 60))) for _ in range(12)]
+    texts += [b"", b"a", b"ab" * 5000, learned[0] * 4]
+    offsets = np.cumsum([0, *map(len, texts)])
+    symbols, tables, bits = language_id.automata(learned)
+    lines = [symbols.of(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tobytes() for t in texts]
+    known = [symbols.of(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tobytes() for t in learned]
+    want = [[brute_phrases(k, t) for k in known] for t in lines]
+    for stretch in (1024, 7, 64):
+        monkeypatch.setattr(language_id, "STRETCH", stretch)
+        got = language_id.cross_parse(learned, np.frombuffer(b"".join(texts), np.uint8), offsets)
+        assert np.rint(got / bits).astype(int).tolist() == want
 
 
 def test_quality_network(spark):
@@ -345,6 +510,37 @@ def test_quality_network(spark):
     assert quality_cnn.train([], np.array([])).constant == 0.5 and quality_cnn.train([b"x"], np.array([1.0])).constant == 1.0
 
 
+def test_scores_depend_on_the_text_alone(spark):
+    rng = random.Random(7)
+    texts = ["", "a", "x" * 127, "x" * 128, "y" * 123, "z" * 124, *(prose(rng.randint(1, 400), k) for k in range(60))]
+    net = quality_cnn.train([t.encode() for t in texts], np.array([k % 2 for k in range(len(texts))], float), epochs=2)
+    def scores(some):
+        raw = [t.encode() for t in some]
+        return net.scores(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])).tolist()
+
+    alone = [scores([t])[0] for t in texts]
+    for _ in range(3):
+        order = rng.sample(range(len(texts)), len(texts))
+        assert scores([texts[k] for k in order]) == [alone[k] for k in order]
+    # A plain convolution: every window that begins in the text (or at its end, for an empty one), zero bytes behind.
+    p = net.p
+    for t, score in zip(texts, alone, strict=True):
+        raw = t.encode()
+        n = (len(raw) + 5 + 127) // 128
+        line = raw + bytes(n * 128 - len(raw))
+        r = np.array([[sum(p["table"][j][line[at + j]][f] for j in range(6)) for f in range(12)] for at in range(len(line) - 5)]) if len(raw) < 200 else None
+        if r is not None:
+            chunks = [np.maximum(r[128 * k : 128 * k + 256].max(axis=0) + p["bias"], 0) for k in range(n)]
+            hidden = np.maximum(np.array(chunks) @ p["u"] + p["c"], 0)
+            assert abs(1 / (1 + np.exp(-(hidden.mean(axis=0) @ p["mean"] + hidden.max(axis=0) @ p["max"] + p["b"][0]))) - score) < 1e-4
+    docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)] + [(0, None, "clash")], "doc_id long, text string, score string")
+    for parts in (1, 3, 7):
+        got = quality_cnn.classify(docs.repartition(parts), net, [F.col("doc_id"), F.col("score")])
+        assert got.columns == ["doc_id", "score", "predicted"]
+        assert all(r["score"] == alone[r["doc_id"]] for r in got.collect())
+    assert quality_cnn.classify(docs.limit(0), net, [F.col("doc_id")]).count() == 0
+
+
 def test_gradients_are_right():
     net = quality_cnn.Network(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
