@@ -20,6 +20,11 @@ from tesserine.llm.quality_rules import quality_rules
 from tesserine.llm.queries import tokenizer_path
 from tesserine.llm.repeated_spans import remove_repeated_spans
 
+#: Repeated passages that go: of fifty words or more, covered by byte strings of this size that start anywhere else.
+#: Fifty words of fewer bytes than that would be under four letters each.
+PASSAGE_BYTES = 200
+PASSAGE_WORDS = 50
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -39,8 +44,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that occur twice or more; n_chars follows the text."""
-    cut = remove_repeated_spans(docs)
+    """Documents without the passages that occur twice or more; n_chars follows the text."""
+    cut = remove_repeated_spans(docs, threshold=PASSAGE_BYTES, least_words=PASSAGE_WORDS)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
