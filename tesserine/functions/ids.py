@@ -21,6 +21,11 @@ def parent_id(path: Column, start: Column, end: Column, snippet: Column) -> Colu
     return F.substring(F.sha2(F.concat_ws("|", _text(path), _text(start), _text(end), _text(snippet)), 256), 1, 24)
 
 
+def cache_id(path: Column, start: Column, end: Column, snippet: Column) -> Column:
+    """64 hexadecimal digits that name a chunk in a cache by place and content."""
+    return F.sha2(F.concat_ws("|", _text(path), _text(start), _text(end), _text(snippet)), 256)
+
+
 def pseudo_embedding(text: Column, dim: int = 768) -> Column:
     """32 values between -0.1 and 0.1 from the eight words of the digest, four times over, and zeros up to ``dim``."""
     digest = F.sha2(_text(text), 256)

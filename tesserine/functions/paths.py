@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,11 +52,11 @@ def folder(path: Column) -> Column:
 
 
 def below_root(path: Column, root: str) -> Column:
-    """``<name of the root>/<path below it>``, with forward slashes; other paths stay."""
-    clean = root.replace("\\", "/").rstrip("/")
-    name = clean.rsplit("/", 1)[-1]
-    plain = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "^[a-z]+:/*(?=/)", "")
-    return F.when(plain.startswith(clean + "/"), F.concat(F.lit(name), F.substring(plain, len(clean) + 1, 1 << 30))).otherwise(plain)
+    """``<name of the root>/<path below it>``, with forward slashes; other paths stay. A scheme counts on neither side."""
+    plain_root = re.sub(r"^[a-z][a-z0-9+.-]*:/*(?=/)", "", root.replace("\\", "/")).rstrip("/")
+    name = plain_root.rsplit("/", 1)[-1]
+    plain = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "^[a-z][a-z0-9+.-]*:/*(?=/)", "")
+    return F.when(plain.startswith(plain_root + "/"), F.concat(F.lit(name), F.substring(plain, len(plain_root) + 1, 1 << 30))).otherwise(plain)
 
 
 def language(path: Column) -> Column:

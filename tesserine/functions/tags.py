@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.functions.paths import contains_any
@@ -17,11 +17,18 @@ ROLES = {
     "business_logic": ["COMPUTE", "ADD ", "SUBTRACT", "MULTIPLY", "DIVIDE", "MOVE "],
     "error_handling": ["ON EXCEPTION", "NOT ON EXCEPTION", "INVALID KEY", "AT END", "NOT AT END"],
 }
+# What structural tags begin with.
 PREFIXES = ["div:", "data:", "para:", "section:", "program:"]
 # Sections of the data division that get a tag.
 DATA_SECTIONS = ["WORKING-STORAGE", "LINKAGE", "FILE", "LOCAL-STORAGE"]
 
 
+def tag_catalogue(spark: SparkSession) -> DataFrame:
+    """(kind, tag, place): the roles and the prefixes that a filter can name."""
+    rows = [("role_tags", t, k) for k, t in enumerate(ROLES)] + [("structural_prefixes", t, k) for k, t in enumerate(PREFIXES)]
+    return spark.createDataFrame(rows, "kind string, tag string, place int")
+
+
 def role_tags(snippet: Column) -> Column:
     """Roles whose words occur anywhere in the upper-cased text, as substrings."""
     upper = F.upper(F.coalesce(snippet, F.lit("")))

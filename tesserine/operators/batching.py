@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserine.config import DEFAULTS
 
@@ -15,16 +19,26 @@ def estimated_tokens(text: Column) -> Column:
 def requests(rows: DataFrame, keys: list[str], order: str, tokens: str, most: int = DEFAULTS.embed_batch_tokens) -> DataFrame:
     """``keys``, ``order`` and ``batch`` (from 0): rows in order, a new request when the next row would exceed ``most``.
 
-    The fold is sequential within a key, over 16 bytes a row; choose keys that bound a group.
+    A request depends on the one before it, so a key is walked in order; the
+    task holds a sum and a number, whatever the key has.  To walk a large key
+    in several tasks, give a finer one.
     """
-    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).alias("t")))).alias("rows"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("sum"), F.array().cast(f"array<struct<o:{rows.schema[order].dataType.simpleString()},batch:int>>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        full = (s["sum"] + r["t"] > most) & (s["sum"] > 0)
-        batch = F.when(full, s["batch"] + 1).otherwise(s["batch"])
-        total = F.when(full, r["t"]).otherwise(s["sum"] + r["t"])
-        return F.struct(batch.alias("batch"), total.alias("sum"), F.array_append(s["out"], F.struct(r["o"].alias("o"), batch.alias("batch"))).alias("out"))
-
-    folded = lists.select(*keys, F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r"))
-    return folded.select(*keys, F.col("r.o").alias(order), F.col("r.batch").alias("batch"))
+    names = [f"k{i}" for i in range(len(keys))]
+    slim = rows.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(order).alias("o"), F.col(tokens).cast("long").alias("t"))
+    slim = slim.repartition(*names).sortWithinPartitions(*names, "o")
+    schema = T.StructType([*slim.schema.fields[:-1], T.StructField("batch", T.IntegerType())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, number, total = None, 0, 0
+        for batch in batches:
+            out = []
+            for *key, t in zip(*(batch.column(c).to_pylist() for c in [*names, "t"]), strict=True):
+                if owner != key:
+                    owner, number, total = key, 0, 0
+                if total and total + t > most:
+                    number, total = number + 1, 0
+                total += t
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*names, "o"]), pa.array(out, pa.int32())], schema.names)
+
+    return slim.mapInArrow(walk, schema).select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), F.col("o").alias(order), "batch")

@@ -16,6 +16,7 @@ from tesserine.config import DEFAULTS, Settings
 from tesserine.functions import text
 
 DIGITS = 6
+_loaded: dict[str, tuple[int, Bm25Index]] = {}
 
 
 @dataclass
@@ -36,6 +37,26 @@ class Bm25Index:
     def load(cls, spark: SparkSession, path: str) -> Bm25Index:
         return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
 
+    @classmethod
+    def current(cls, spark: SparkSession, path: str) -> Bm25Index:
+        """The saved index, kept in memory until it is written anew."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stats")
+        stamp = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(folder).getModificationTime()
+        known = _loaded.get(path)
+        if known is None or known[0] != stamp:
+            if known is not None:
+                for table in (known[1].postings, known[1].terms, known[1].stats):
+                    table.unpersist()
+            _loaded[path] = known = (stamp, cls.load(spark, path).persist())
+        return known[1]
+
+    @staticmethod
+    def drop(spark: SparkSession, path: str) -> None:
+        """Delete a saved index and forget what is loaded of it."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _loaded.pop(path, None)
+
     def persist(self) -> Bm25Index:
         """Keep the tables for several batches of queries."""
         return Bm25Index(*(t.persist() for t in (self.postings, self.terms, self.stats)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.config import DEFAULTS
@@ -13,6 +13,24 @@ from tesserine.functions.ids import pseudo_embedding
 Provider = Callable[[DataFrame], DataFrame]
 
 
+class EmbeddingCache:
+    """Vectors by the digest of their text, as a Parquet table that is only appended to."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _exists(self) -> bool:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+    def read(self) -> DataFrame | None:
+        """(sha, vector), each digest once; None if there is no cache yet."""
+        return self.spark.read.parquet(self.path).dropDuplicates(["sha"]) if self._exists() else None
+
+    def append(self, added: DataFrame) -> None:
+        added.select("sha", "vector").write.mode("append").parquet(self.path)
+
+
 def text_key(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 

@@ -29,6 +29,21 @@ def token_total(intro: Column, extractor: Column) -> Column:
     return F.nullif(F.coalesce(intro, F.lit(0)) + F.coalesce(extractor, F.lit(0)), F.lit(0))
 
 
+def usage_tokens(response: Column) -> tuple[Column, Column]:
+    """(input, output) tokens in the usage field of a JSON response; null where there are none or no numbers."""
+
+    def number(*names: str) -> Column:
+        found = [F.get_json_object(response, f"$.{top}.{n}") for top in ("usage_metadata", "usageMetadata") for n in names]
+        return F.coalesce(*found).try_cast("long")
+
+    return number("prompt_token_count", "promptTokenCount"), number("candidates_token_count", "candidatesTokenCount")
+
+
+def trimmed(rows: DataFrame, time: str, tie: str, keep: int = DEFAULTS.log_rows) -> DataFrame:
+    """What a log keeps when it is loaded: its latest rows, oldest first."""
+    return recent(rows, time, tie, keep).orderBy(time, tie)
+
+
 def recent(rows: DataFrame, time: str, tie: str, keep: int = DEFAULTS.log_rows) -> DataFrame:
     """The latest rows, newest first; a top-k, not a sort of all rows."""
     return rows.orderBy(F.col(time).desc(), F.col(tie).desc()).limit(keep)

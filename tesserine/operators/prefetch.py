@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,23 +23,36 @@ def debounced(events: DataFrame, user: str, time: str, tie: str, wait_ms: int =
     return events.withColumn("__gap", gap).where(F.col("__gap").isNull() | (F.col("__gap") > wait_ms * 1000)).drop("__gap")
 
 
-def accepted(events: DataFrame, key: str, time: str, cooldown_s: float = DEFAULTS.prefetch_cooldown_s) -> DataFrame:
-    """(key, times): greedily, each event that comes at least ``cooldown_s`` after the last one accepted.
+def accepted(events: DataFrame, key: str, time: str, cooldown_s: float = DEFAULTS.prefetch_cooldown_s, folder: str | None = None, ttl_s: float = DEFAULTS.prefetch_ttl_s) -> DataFrame:
+    """(key, accepted_us, and ``folder``): the events that are answered anew, greedily in the order of time.
 
-    Of the events in one slot of a cooldown's length only the first that comes
-    late enough is taken.  What the fold over a key sees is its distinct times,
-    8 bytes each.
+    An event is let go if the last accepted one of its key is less than
+    ``cooldown_s`` ago and an answer for its folder, at most ``ttl_s`` old, is
+    there.  Each task walks over its keys in order and holds one time a folder
+    of one key, so a key of any number of events is a stream, not a list.
     """
-    step = int(cooldown_s * 1_000_000)
-    at = events.select(key, micros(F.col(time)).alias("at")).distinct()
-    times = at.groupBy(key).agg(F.array_sort(F.collect_list("at")).alias("at"))
-    fold = F.aggregate(
-        "at",
-        F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("taken")),
-        lambda s, t: F.when(s["last"].isNull() | (t - s["last"] >= step), F.struct(t.alias("last"), F.array_append(s["taken"], t).alias("taken"))).otherwise(s),
-        lambda s: s["taken"],
-    )
-    return times.select(key, fold.alias("times"))
+    step, live = int(cooldown_s * 1_000_000), int(ttl_s * 1_000_000)
+    places = [F.col(folder).alias("folder")] if folder else []
+    rows = events.select(F.col(key).alias("key"), micros(F.col(time)).alias("at"), *places).where("at is not null").distinct()
+    rows = rows.repartition("key").sortWithinPartitions("key", "at", *(["folder"] if folder else []))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, last, answered = False, None, {}
+        owner = None
+        for batch in batches:
+            places = batch.column("folder").to_pylist() if folder else [None] * batch.num_rows
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (k, at, place) in enumerate(zip(batch.column("key").to_pylist(), batch.column("at").to_pylist(), places, strict=True)):
+                if not known or k != owner:
+                    known, owner, last, answered = True, k, None, {}
+                if last is not None and at - last < step and place in answered and at - answered[place] <= live:
+                    continue
+                last = answered[place] = at
+                keep[i] = True
+            yield batch.filter(pa.array(keep))
+
+    out = rows.mapInArrow(walk, rows.schema).select(F.col("key").alias(key), F.col("at").alias("accepted_us"), *([F.col("folder").alias(folder)] if folder else []))
+    return out
 
 
 def cached(events: DataFrame, key: str, time: str, tie: str, is_set: Column, ttl_s: float = DEFAULTS.prefetch_ttl_s) -> DataFrame:

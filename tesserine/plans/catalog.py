@@ -200,6 +200,21 @@ def hybrid_tag_filter(table):
     return hits(fusion.diverse(found, 2, 25))
 
 
+SOURCE_TYPE_SQL = """vf AS (SELECT vs.*, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM vs JOIN documents USING (doc_id) WHERE doc_id % 3 = 0 AND score >= 0 QUALIFY r <= 50),
+b3 AS (SELECT * FROM bs QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 150),
+bf AS (SELECT * FROM (SELECT b3.*, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM b3 JOIN documents USING (doc_id) WHERE doc_id % 3 = 0 AND score > 1e-9) WHERE r <= 50)"""
+
+
+@query(hits_sql(", ".join([SOURCE_TYPE_SQL, FUSED_SQL.format(v="vf", b="bf"), *HYBRID[1:]]), HITS))
+def hybrid_source_type(table):
+    """The same among documentation only, which filters vectors before their search and lexical hits among the best 150."""
+    kind = F.when(F.col("id") % 3 == 0, "docs").otherwise("code")
+    docs = payload(table).withColumn("source_type", kind)
+    placed = corpus(table).join(docs.select("id", "source_type"), "id")
+    found = search.hybrid_search(questions(table), placed, index(table), docs, top_k=50, final_k=50, source_type="docs")
+    return hits(fusion.diverse(found, 2, 25))
+
+
 @query(hits_sql(", ".join([HYBRID[0].replace("UNION ALL SELECT item_id, doc_id, NULL, NULL, r FROM bk", ""), RELEVANT_SQL.format(least=0.4, frm="fr", cut=100, final=25)]), "SELECT item_id, doc_id, rank, vector_score, relaxed FROM rl"))
 def min_score_relax(table):
     """Vector hits of at least 0.4; questions without any get those of 0 or more."""
@@ -252,6 +267,85 @@ def paragraph_chunks(table):
     return found.select("doc_id", "start_line", "end_line", "division", "section_name", "paragraph_name", F.sha2("code_snippet", 256).alias("snippet_sha"))
 
 
+#: Lines of a fixed-format source made of a text's lines, one kind after the other; w is the line's first word.
+COBOL_LINES = [
+    ("       IDENTIFICATION DIVISION.", ""), ("       PROGRAM-ID. ", "."), ("      * A NOTE ON ", "."), ("       DATA DIVISION.", ""), ("       WORKING-STORAGE SECTION.", ""), ("       01  ", " PIC X(9)."),
+    ("       PROCEDURE DIVISION.", ""), ("       ", "-PARA."), ("           MOVE 1 TO ", "."), ("           DISPLAY ", ""), ("       ", " LONG SECTION."), ("       END-", "."), ("000100 ", "-STEP. EXIT."),
+]
+COBOL_SQL = rf"""src AS (SELECT doc_id, unnest(l) AS t, unnest(range(1, len(l) + 1)) AS n FROM files),
+pick AS (SELECT doc_id, n, (doc_id * 7 + n) % {len(COBOL_LINES)} AS k, upper(regexp_extract(t, '^([a-zA-Z]*)', 1)) AS w FROM src),
+line AS (SELECT doc_id, n, [{", ".join(f"'{a}' || {'w' if b else chr(39) * 2} || '{b}'" for a, b in COBOL_LINES)}][k + 1] AS line FROM pick),
+part AS (SELECT *, rtrim(line[8:]) AS area, upper(line) AS up, regexp_replace(upper(trim(line)), '\s+', ' ', 'g') AS norm FROM line),
+mark AS (SELECT doc_id, n, line,
+   regexp_extract(regexp_replace(area, '\.$', ''), '^\s*(\S+)', 1) AS name,
+   nullif(regexp_extract(norm, '^(IDENTIFICATION|ENVIRONMENT|DATA|PROCEDURE)( DIVISION.*|\.)$', 1), '') AS division,
+   length(line) >= 12 AND NOT contains(up, ' DIVISION') AND trim(line[8:12]) <> '' AND ends_with(rtrim(line[13:]), '.') AND NOT (trim(line[1:7]) <> '' AND line[7:7] IN ('*', '!', '/')) AS form,
+   contains(upper(regexp_replace(area, '\.+$', '')), ' SECTION') AND contains(trim(string_split(upper(regexp_replace(area, '\.+$', '')), ' SECTION')[1]), ' ') AS wordy FROM part)"""
+
+
+def cobol_lines(table) -> DataFrame:
+    rows = chunking.lines_of(source_files(table).select("doc_id", "text"))
+    word = F.upper(F.regexp_extract("line", "^([a-zA-Z]*)", 1))
+    made = F.array(*(F.concat(F.lit(a), word, F.lit(b)) if b else F.lit(a) for a, b in COBOL_LINES))
+    return rows.select("doc_id", "line_no", F.get(made, ((F.col("doc_id") * 7 + F.col("line_no")) % len(COBOL_LINES)).cast("int")).alias("line"))
+
+
+@query(f"WITH {FILES_SQL}, {COBOL_SQL} SELECT doc_id, n AS line_no, form AND NOT wordy AND NOT regexp_matches(name, '^[0-9]{{1,2}}$') AS starts, name, division FROM mark")
+def cobol_line_rules(table):
+    """Of each line of a fixed-format source whether a paragraph starts there, its name, and the division it opens."""
+    line = F.col("line")
+    return cobol_lines(table).select("doc_id", "line_no", chunking.is_paragraph(line).alias("starts"), chunking.paragraph_name(line).alias("name"), chunking.division_of(line).alias("division"))
+
+
+@query(rf"""WITH {FILES_SQL}, {COBOL_SQL}, flag AS (SELECT doc_id, n, trim(line) AS t, contains(upper(line), 'IDENTIFICATION') AND contains(upper(line), 'DIVISION') AS o,
+  contains(upper(line), 'ENVIRONMENT') OR contains(upper(line), 'DATA') OR contains(upper(line), 'PROCEDURE') AS c FROM line),
+first AS (SELECT doc_id, min(n) AS a FROM flag WHERE o GROUP BY doc_id), stop AS (SELECT doc_id, min(n) AS z FROM flag JOIN first USING (doc_id) WHERE n > a AND c AND NOT o GROUP BY doc_id),
+named AS (SELECT doc_id, n, regexp_replace(regexp_extract(regexp_replace(t[12:], '^\.+', ''), '^\s*(\S+)', 1), '\.+$', '') AS name
+  FROM flag JOIN first USING (doc_id) LEFT JOIN stop USING (doc_id) WHERE n > a AND NOT o AND (z IS NULL OR n < z) AND starts_with(upper(t), 'PROGRAM-ID'))
+SELECT doc_id, arg_min(name, n) AS program_id FROM named WHERE name <> '' GROUP BY doc_id""")
+def cobol_program_ids(table):
+    """Program name of each fixed-format source."""
+    return chunking.program_ids(cobol_lines(table), "doc_id")
+
+
+#: Base names of made-up paths, one after the other.
+NAMES = ["a.cob", "b.CBL", "main.c", "defs.h", "notes.md", "guide.texi", "README", ".profile", "x.tar.GZ", "list.po"]
+PATHS_SQL = rf"""made AS (SELECT doc_id, 'file:/data/proj/' || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN source || '/' ELSE source || '/lib/' END || {NAMES!r}[doc_id % {len(NAMES)} + 1] AS raw FROM documents),
+below AS (SELECT doc_id, 'proj/' || raw[17:] AS path FROM made), split AS (SELECT *, string_split(path, '/') AS p FROM below),
+named AS (SELECT *, p[len(p)] AS base FROM split), exts AS (SELECT *, nullif(lower(regexp_extract(base, '^.+\.([^.]+)$', 1)), '') AS ext FROM named)"""
+
+
+@query(rf"""WITH {PATHS_SQL} SELECT doc_id, path AS file_path, CASE WHEN ext IN ('cob', 'cbl') THEN 'COBOL' WHEN ext = 'c' THEN 'C' WHEN ext = 'h' THEN 'C Header' WHEN ext = 'md' THEN 'Markdown'
+  WHEN ext IN ('txt', 'info', 'texi', 'rst', 'adoc') THEN 'Text' WHEN ext IS NULL THEN 'TEXT' ELSE upper(ext) END AS language,
+  CASE WHEN ext IN ('md', 'rst', 'txt', 'po', 'pot', 'adoc', 'texi', 'info') THEN 'docs' ELSE 'code' END AS source_type, ext AS file_ext,
+  CASE WHEN strpos(base[2:], '.') > 0 THEN regexp_replace(base, '\.[^.]+$', '') ELSE base END AS file_name, array_to_string(p[1 : len(p) - 1], '/') AS file_dir,
+  CASE WHEN len(p) > 2 THEN p[2] ELSE p[1] END AS folder FROM exts""")
+def path_parts(table):
+    """What ingestion stores of a path: the path below the root's name, language, kind, extension, stem, directory and folder."""
+    place = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.concat("source", F.lit("/"))).otherwise(F.concat("source", F.lit("/lib/")))
+    name = F.get(F.array(*map(F.lit, NAMES)), (F.col("doc_id") % len(NAMES)).cast("int"))
+    path = paths.below_root(F.concat(F.lit("file:/data/proj/"), place, name), "file:/data/proj")
+    rows = table("documents").select("doc_id", path.alias("file_path"))
+    at = F.col("file_path")
+    return rows.select(
+        "doc_id", "file_path", paths.language(at).alias("language"), paths.source_type(at).alias("source_type"), paths.extension(at).alias("file_ext"),
+        paths.stem(at).alias("file_name"), paths.directory(at).alias("file_dir"), paths.folder(at).alias("folder"),
+    )
+
+
+@query("""WITH d AS (SELECT doc_id, [NULL, 'DATA', 'PROCEDURE', ''][doc_id % 4 + 1] AS d, ['FILE SECTION', 'LINKAGE', 'OTHER SECTION', NULL, 'MAIN'][doc_id % 5 + 1] AS s, ['MAIN', NULL, 'LINKAGE'][doc_id % 3 + 1] AS p, CASE WHEN doc_id % 7 < 3 THEN source END AS g FROM documents),
+t AS (SELECT doc_id, [CASE WHEN d <> '' THEN 'div:' || d END, CASE WHEN d = 'DATA' AND trim(replace(upper(s), ' SECTION', '')) IN ('WORKING-STORAGE', 'LINKAGE', 'FILE', 'LOCAL-STORAGE') THEN 'data:' || trim(replace(upper(s), ' SECTION', '')) END,
+  'para:' || p, CASE WHEN s IS DISTINCT FROM p THEN 'section:' || s END, 'program:' || g] AS a, ['c_ast:' || ['function', 'struct'][doc_id % 2 + 1], CASE WHEN p <> '' THEN 'fn:' || p END] AS c FROM d)
+SELECT doc_id, array_to_string(list_filter(a, lambda x: x IS NOT NULL), ' ') AS tags, array_to_string(list_filter(c, lambda x: x IS NOT NULL), ' ') AS c_tags FROM t""")
+def structural_tags(table):
+    """Tags of what is known of a chunk, of COBOL and of C."""
+    pick = lambda n, *v: F.get(F.array(*(F.lit(x).cast("string") for x in v)), (F.col("doc_id") % n).cast("int"))
+    division, section, paragraph = pick(4, None, "DATA", "PROCEDURE", ""), pick(5, "FILE SECTION", "LINKAGE", "OTHER SECTION", None, "MAIN"), pick(3, "MAIN", None, "LINKAGE")
+    program = F.when(F.col("doc_id") % 7 < 3, F.col("source"))
+    known = tags.structural_tags(division, section, paragraph, program)
+    return table("documents").select("doc_id", F.array_join(known, " ").alias("tags"), F.array_join(tags.c_tags(pick(2, "function", "struct"), paragraph), " ").alias("c_tags"))
+
+
 def _roles_sql(value: str) -> str:
     parts = [f"CASE WHEN {' OR '.join(f'contains({value}, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{role}' END" for role, words in tags.ROLES.items()]
     return f"array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), ',')"
@@ -474,7 +568,17 @@ a AS (SELECT user_id, min(t) AS t FROM e GROUP BY user_id UNION ALL SELECT a.use
 SELECT user_id, t AS accepted_us FROM a""")
 def prefetch_cooldown(table):
     """Events of each user that a cooldown of 15 seconds lets through."""
-    return prefetch.accepted(table("events"), "user_id", "ts").select("user_id", F.explode("times").alias("accepted_us"))
+    return prefetch.accepted(table("events"), "user_id", "ts")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, t, f, row_number() OVER (PARTITION BY user_id ORDER BY t, f) AS i FROM (SELECT DISTINCT user_id, epoch_us(ts) AS t, event_type AS f FROM events)),
+a AS (SELECT user_id, 1 AS i, t AS last, MAP {f: t} AS m, t, f, true AS taken FROM e WHERE i = 1
+  UNION ALL SELECT x.user_id, x.i, CASE WHEN x.taken THEN x.t ELSE x.last END, CASE WHEN x.taken THEN map_concat(x.m, MAP {x.f: x.t}) ELSE x.m END, x.t, x.f, x.taken
+  FROM (SELECT e.user_id, e.i, e.t, e.f, a.last, a.m, NOT (e.t - a.last < 1000000000 AND coalesce(e.t - a.m[e.f] <= 8000000000, false)) AS taken FROM a JOIN e ON e.user_id = a.user_id AND e.i = a.i + 1) x)
+SELECT user_id, t AS accepted_us, f AS event_type FROM a WHERE taken""")
+def prefetch_cooldown_by_folder(table):
+    """Events that a cooldown of 1,000 seconds lets through where the cache holds an answer a kind of event for 8,000 seconds."""
+    return prefetch.accepted(table("events"), "user_id", "ts", 1000, "event_type", 8000)
 
 
 @query("""WITH w AS (SELECT *, epoch_us(ts) - last_value(CASE WHEN event_type = 'view' THEN epoch_us(ts) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS age FROM events)
@@ -531,7 +635,17 @@ def citation_parse(table):
     return table("conversations").select("conv_id", "turn", F.array_join(F.transform(text.citations(answer, F.lit(5)), lambda x: x.cast("string")), ",").alias("cited"))
 
 
-@query(None)
+RERANK_SQL = r"""rg AS (SELECT rl.*, rank AS r0, max(CASE WHEN rank = 1 THEN score - nxt END) OVER (PARTITION BY item_id) AS gap FROM (SELECT *, lead(score) OVER (PARTITION BY item_id ORDER BY rank) AS nxt FROM rl) rl),
+words AS (SELECT DISTINCT item_id, t FROM qt),
+share AS (SELECT rg.item_id, rg.doc_id, count(tf.t) / greatest((SELECT count(*) FROM words w WHERE w.item_id = rg.item_id), 1) AS share FROM rg LEFT JOIN words ON words.item_id = rg.item_id LEFT JOIN tf ON tf.doc_id = rg.doc_id AND tf.t = words.t GROUP BY rg.item_id, rg.doc_id),
+rr AS (SELECT rg.*, CASE WHEN NOT coalesce(gap >= 0.02, false) AND r0 <= 6 THEN share END AS again FROM rg JOIN share USING (item_id, doc_id)),
+ro AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY item_id ORDER BY r0 > 6, again DESC NULLS LAST, r0) AS rank FROM rr)"""
+
+
+@query(
+    f"WITH {LISTS_SQL.format(k=20)}, {FUSED_SQL.format(v='vk', b='bk')}, {RELEVANT_SQL.format(least=0.15, frm='fr', cut=40, final=6)}, {RERANK_SQL}"
+    " SELECT ro.item_id AS query_id, doc_id AS id, rank, round(score, 6) AS score, vector_score FROM ro JOIN benchmark b ON b.item_id = ro.item_id WHERE length(trim(b.text)) >= 12"
+)
 def hybrid_reranked(table):
     """Prefetching: twenty candidates, the first six reranked by term overlap."""
     docs = payload(table).join(table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code_snippet")), "id")
@@ -539,7 +653,12 @@ def hybrid_reranked(table):
     return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"), "vector_score")
 
 
-@query(None)
+SNIPPET_SQL = "CASE WHEN len(string_split(text, chr(10))) > 20 THEN array_to_string(string_split(text, chr(10))[1:20], chr(10)) || chr(10) || '... (' || (len(string_split(text, chr(10))) - 20) || ' more lines)' ELSE text END"
+
+
+@query(hits_sql(", ".join([*HYBRID[:1], RELEVANT_SQL.format(least=0.15, frm="fr", cut=60, final=8), DIVERSE_SQL.format(final=8)]).replace("k=50", "k=30"), f"""SELECT item_id AS query_id, count(*) AS n_chunks,
+  string_agg('[' || rank || '] ' || coalesce(source, '') || ' L0-0' || CASE WHEN vector_score IS NOT NULL THEN ' | relevance:' || printf('%.2f', vector_score) ELSE '' END || chr(10) || coalesce({SNIPPET_SQL}, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank).length() AS chars
+FROM de JOIN documents USING (doc_id) GROUP BY item_id""").replace("QUALIFY r <= 50", "QUALIFY r <= 30"))
 def chat_contexts(table):
     """Chat prompts: the chunks of each question with their places, and how long the context is."""
     docs = payload(table).join(table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code_snippet")), "id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,33 +43,69 @@ def enriched(files: DataFrame, chunks: DataFrame, summaries: Summaries = heurist
         phase=F.col("phase"), program=F.col("program_id"), division=F.col("division"), section=F.col("section_name"), paragraph=F.col("paragraph_name"),
         name=F.col("file_name"), start=F.col("start_line"), end=F.col("end_line"), tags=F.col("tags"),
     )
-    return summaries(rows).withColumns(
-        {"chunk_type": F.lit("child_summary"), "retrieval_parent_id": F.col("parent_id"), "metadata_prefix": prefix, "code_snippet": F.substring("code_snippet", 1, settings.payload_chars)}
-    )
+    return summaries(rows).withColumns({"chunk_type": F.lit("child_summary"), "retrieval_parent_id": F.col("parent_id"), "metadata_prefix": prefix})
 
 
 def retrieval_text(chunks: DataFrame, index_code: bool = False) -> DataFrame:
-    """``chunks`` with the text that is embedded and indexed: prefix and summary, or with ``index_code`` the code."""
+    """``chunks`` with the text that is embedded and indexed: prefix and summary, or with ``index_code`` the whole code."""
     summary = F.lit(None).cast("string") if index_code else F.col("summary_text")
     return chunks.withColumn("retrieval_text", tags.retrieval_text(F.col("metadata_prefix"), summary, F.col("code_snippet")))
 
 
-def ingest_files(files: DataFrame, store: ChunkStore, index_path: str, summaries: Summaries = heuristic_summaries, provider: embedding.Provider | None = None, index_code: bool = False, settings: Settings = DEFAULTS) -> tuple[int, int]:
-    """Upsert ``files`` (file, text) and rebuild the index; (files with chunks, chunks)."""
+def ingest_files(files: DataFrame, store: ChunkStore, index_path: str | None, summaries: Summaries = heuristic_summaries, provider: embedding.Provider | None = None, index_code: bool = False, cache: embedding.EmbeddingCache | None = None, settings: Settings = DEFAULTS) -> tuple[int, int]:
+    """Upsert ``files`` (file, text) and, with ``index_path``, rebuild the index; (files with chunks, chunks)."""
     chunks = chunk_files(files, cap=settings.max_chunk_lines, window=settings.window_lines, overlap=settings.overlap_lines)
     rows = retrieval_text(enriched(files, chunks, summaries, settings), index_code)
-    rows, _ = embedding.embed(rows, None, provider or embedding.pseudo_provider(settings.embedding_dim), "retrieval_text")
+    # What is stored is cut; what is embedded and indexed is not.
+    rows = rows.withColumn("code_snippet", F.substring("code_snippet", 1, settings.payload_chars))
+    known = cache.read() if cache is not None else None
+    rows, added = embedding.embed(rows, known, provider or embedding.pseudo_provider(settings.embedding_dim), "retrieval_text")
     rows = rows.persist()
     n_files, n_chunks = rows.select("file_path").distinct().count(), store.upsert(rows)
+    if cache is not None:
+        cache.append(added)
     rows.unpersist()
-    bm25.build_index(store.read(), "chunk_id", "retrieval_text").save(index_path)
+    if index_path is not None:
+        build_index(store, index_path)
     return n_files, n_chunks
 
 
+def build_index(store: ChunkStore, index_path: str) -> None:
+    """Index all chunks of the store, as the last step of an ingestion."""
+    bm25.build_index(store.read(), "chunk_id", "retrieval_text").save(index_path)
+
+
 def ingest(spark: SparkSession, root: str, store_path: str, extensions: str = "*", max_files: int | None = None, reset: bool = False, **options) -> tuple[int, int]:
-    """Ingest a folder tree; with ``reset`` into an empty store."""
+    """Ingest a folder tree; with ``reset`` into an empty store. Paths are stored below the name of ``root``."""
     store = ChunkStore(spark, f"{store_path}/chunks")
     if reset:
-        store.reset()
+        reset_store(spark, store_path)
     found = discovery.discover(spark, root, discovery.extension_list(extensions))
     return ingest_files(discovery.read_text(found, max_files), store, f"{store_path}/index", **options)
+
+
+def reset_store(spark: SparkSession, store_path: str) -> None:
+    """Drop chunks and index."""
+    ChunkStore(spark, f"{store_path}/chunks").reset()
+    bm25.Bm25Index.drop(spark, f"{store_path}/index")
+
+
+def reingest(spark: SparkSession, root: str, store_path: str, **options) -> dict[str, object]:
+    """Ingest ``root``, or a folder of its name inside it if there is no such folder, into an empty store; a report."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    is_dir = lambda p: fs.exists(path(p)) and fs.getFileStatus(path(p)).isDirectory()
+    if not is_dir(root):
+        inner = f"{root.rstrip('/')}/{root.rstrip('/').rsplit('/', 1)[-1]}"
+        if not is_dir(inner):
+            raise ValueError(f"{root} is not a folder")
+        root = inner
+    files, chunks = ingest(spark, root, store_path, reset=True, **options)
+    return {"status": "ok", "files_ingested": files, "chunks_upserted": chunks, "total_chunks": ChunkStore(spark, f"{store_path}/chunks").count(), "code_root": root, "code_extensions": options.get("extensions", "*"), "max_files": options.get("max_files")}
+
+
+def status(spark: SparkSession, store_path: str, settings: Settings = DEFAULTS) -> dict[str, object]:
+    """Settings in force, where the store is and how many chunks it has."""
+    store = ChunkStore(spark, f"{store_path}/chunks")
+    version = store.version()
+    return {**asdict(settings), "storage_path": store.path, "point_count": store.count() if version else 0, "version": version, "status": "ok" if version else "empty"}

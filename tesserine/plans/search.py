@@ -94,7 +94,10 @@ def chat(queries: DataFrame, corpus: DataFrame, index: bm25.Bm25Index, payload:
     from tesserine.operators.files import doc_chunks
 
     named = queries.select("query_id", paths.doc_file(F.col("text")).alias("name"))
-    routed = doc_chunks(payload.withColumn("chunk_id", F.col("id")), named, settings.chat_final).drop("chunk_id").withColumns({"score": F.lit(0.0), "vector_score": F.lit(None).cast("double")})
+    placed = payload.withColumn("chunk_id", F.col("id"))
+    if "start_line" not in placed.columns:
+        placed = placed.withColumn("start_line", F.lit(0))
+    routed = doc_chunks(placed, named, settings.chat_final).drop("chunk_id").withColumns({"score": F.lit(0.0), "vector_score": F.lit(None).cast("double")})
     rest = queries.join(routed.select("query_id").distinct(), "query_id", "left_anti")
     hits = hybrid_search(rest, corpus, index, payload, top_k=settings.chat_candidates, final_k=settings.chat_final, settings=settings)
     found = retrieved(fusion.diverse(hits, settings.max_per_file, settings.chat_final), settings.snippet_lines)

@@ -42,28 +42,39 @@ def is_text(content: Column) -> Column:
     return (F.length(sample) == 0) | (~F.contains(latin, F.lit("\0")) & (F.is_valid_utf8(sample.cast("string")) | (control / F.length(sample) < 0.10)))
 
 
-def discover(spark: SparkSession, root: str, extensions: list[str] | None = None, excluded_dirs: list[str] | None = None, max_mb: int = DEFAULTS.max_file_mb, text_only: bool = True) -> DataFrame:
-    """(file, path, length, is_doc, content) of the admitted files below ``root``; ``file`` is relative to it. Empty files, which have no chunks, are not listed.
+def qualified(spark: SparkSession, root: str) -> str:
+    """``root`` as Spark's file sources write paths below it."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+
 
-    Size and names are columns of the listing, so they prune before content is
-    read.  Files without an extension that are known documentation come with
-    ``is_doc`` and are admitted whatever the list says, in any case.
+def admitted(listed: DataFrame, base: str, extensions: list[str] | None = None, excluded_dirs: list[str] | None = None, max_mb: int = DEFAULTS.max_file_mb, text_only: bool = True) -> DataFrame:
+    """(file, path, length, is_doc, content) of the files of a listing, batch or stream, that are sources.
+
+    ``file`` is ``<name of the root>/<path below it>``.  Size and names are
+    columns of the listing, so they prune before content is read.  Files without
+    an extension that are known documentation come with ``is_doc`` and are
+    admitted whatever the list says, in any case.  Empty files, which have no
+    chunks, are left out.  A listing has each path once, so nothing is shuffled.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
-    rows = listed.select("path", "length", F.regexp_replace(F.substring("path", len(base) + 1, 1 << 30), "^/+", "").alias("file"), "content")
-    ext = paths.extension(F.col("file"))
-    parts = F.split("file", "/")
+    below = F.regexp_replace(F.substring("path", len(base) + 1, 1 << 30), "^/+", "")
+    rows = listed.select("path", "length", below.alias("below"), "content")
+    ext = paths.extension(F.col("below"))
     banned = F.array(*map(F.lit, EXCLUDED_DIRS if excluded_dirs is None else excluded_dirs))
-    doc = ext.isNull() & F.lower(paths.base_name(F.col("file"))).isin(paths.DOC_NAMES)
-    admitted = (F.col("length") <= max(1, max_mb) << 20) & ~F.arrays_overlap(parts, banned) & ~F.coalesce(ext.isin(EXCLUDED_EXTENSIONS), F.lit(False))
+    doc = ext.isNull() & F.lower(paths.base_name(F.col("below"))).isin(paths.DOC_NAMES)
+    wanted = (F.col("length") > 0) & (F.col("length") <= max(1, max_mb) << 20) & ~F.arrays_overlap(F.split("below", "/"), banned) & ~F.coalesce(ext.isin(EXCLUDED_EXTENSIONS), F.lit(False))
     if extensions is not None:
-        admitted = admitted & (F.coalesce(ext.isin([e.lstrip(".").lower() for e in extensions]), F.lit(False)) | doc)
-    rows = rows.where(admitted)
+        wanted = wanted & (F.coalesce(ext.isin([e.lstrip(".").lower() for e in extensions]), F.lit(False)) | doc)
+    rows = rows.where(wanted)
     if text_only:
         rows = rows.where(is_text(F.col("content")))
-    return rows.select("file", "path", "length", doc.alias("is_doc"), "content").dropDuplicates(["path"])
+    return rows.select(paths.below_root(F.col("path"), base).alias("file"), "path", "length", doc.alias("is_doc"), "content")
+
+
+def discover(spark: SparkSession, root: str, extensions: list[str] | None = None, excluded_dirs: list[str] | None = None, max_mb: int = DEFAULTS.max_file_mb, text_only: bool = True) -> DataFrame:
+    """The admitted files below ``root``, see ``admitted``."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return admitted(listed, qualified(spark, root), extensions, excluded_dirs, max_mb, text_only)
 
 
 def read_text(found: DataFrame, max_files: int | None = None) -> DataFrame:

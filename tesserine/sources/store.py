@@ -1,12 +1,15 @@
 """The chunk store: Parquet tables with idempotent upserts.
 
-An upsert writes a new version next to the old one and then moves the pointer,
-so readers never see half of it and a lost executor costs a task, not data.
+An upsert writes its rows as a new version next to the ones before, and a read
+takes of each key the row of the newest version that has it.  After
+``MAX_DELTAS`` versions they are merged into one.  So a micro-batch costs its
+own size and not the store's, readers never see half of a version (one without
+``_SUCCESS`` does not count), and a lost executor costs a task, not data.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,12 +20,10 @@ def last_write_wins(rows: DataFrame, key: str, order: list[Column]) -> DataFrame
     return rows.groupBy(key).agg(F.max(stamp)["row"].alias("row")).select(key, "row.*").select(rows.columns)
 
 
-def nth_per_key(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    return rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__nth") <= n).drop("__nth")
-
-
 class ChunkStore:
-    """Chunks by ``chunk_id`` under a path, as numbered versions."""
+    """Chunks by ``chunk_id`` under a path: ``b<n>`` is a whole version, ``d<n>`` the rows of one upsert after it."""
+
+    MAX_DELTAS = 8
 
     def __init__(self, spark: SparkSession, path: str, key: str = "chunk_id"):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
@@ -31,40 +32,60 @@ class ChunkStore:
         base = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return base, base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[int]:
+    def _all(self) -> list[tuple[int, str]]:
+        """All complete versions, in order."""
         base, fs = self._files()
         if not fs.exists(base):
             return []
-        names = [s.getPath() for s in fs.listStatus(base)]
-        done = [p for p in names if p.getName().startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName()[1:]) for p in done)
+        done = [s.getPath() for s in fs.listStatus(base) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        names = [p.getName() for p in done]
+        return sorted((int(n[1:]), n) for n in names if n[:1] in "bd" and n[1:].isdigit())
+
+    def _versions(self) -> list[str]:
+        """The last whole version and what came after it."""
+        found = self._all()
+        first = max((k for k, (_, n) in enumerate(found) if n[0] == "b"), default=0)
+        return [n for _, n in found[first:]]
+
+    def version(self) -> str | None:
+        """The name of the newest version; it changes with every upsert."""
+        found = self._versions()
+        return found[-1] if found else None
 
     def ensure(self, schema) -> None:
         """Create an empty store unless there is one."""
-        if not self._versions():
-            self.spark.createDataFrame([], schema).write.parquet(f"{self.path}/v1")
+        if not self._all():
+            self.spark.createDataFrame([], schema).write.parquet(f"{self.path}/b1")
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self._versions()[-1]}")
+        names = self._versions()
+        rows = self.spark.read.parquet(f"{self.path}/{names[-1]}")
+        for name in reversed(names[:-1]):
+            older = self.spark.read.parquet(f"{self.path}/{name}")
+            rows = older.join(rows.select(self.key), self.key, "left_anti").unionByName(rows, allowMissingColumns=True)
+        return rows
 
     def count(self) -> int:
         return self.read().count()
 
     def upsert(self, rows: DataFrame) -> int:
         """Insert or replace by key; returns the number of rows given. Doing it twice changes nothing."""
-        versions = self._versions()
-        new = rows.dropDuplicates([self.key])
-        merged = new
-        if versions:
-            old = self.read()
-            merged = old.join(new.select(self.key), self.key, "left_anti").unionByName(new, allowMissingColumns=True)
-        current = (versions[-1] if versions else 0) + 1
-        merged.write.mode("overwrite").parquet(f"{self.path}/v{current}")
-        base, fs = self._files()
-        for v in versions[:-1]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(base, f"v{v}"), True)
+        found = self._all()
+        n = (found[-1][0] if found else 0) + 1
+        rows.dropDuplicates([self.key]).write.mode("overwrite").parquet(f"{self.path}/{'d' if found else 'b'}{n}")
+        if len(self._versions()) > self.MAX_DELTAS:
+            self.compact()
         return rows.count()
 
+    def compact(self) -> None:
+        """Merge all versions into one; those before the last whole one, which a reader may still use, stay until the next time."""
+        found, used = self._all(), self._versions()
+        self.read().write.mode("overwrite").parquet(f"{self.path}/b{found[-1][0] + 1}")
+        base, fs = self._files()
+        for _, name in found:
+            if name not in used:
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(base, name), True)
+
     def reset(self) -> None:
         base, fs = self._files()
         fs.delete(base, True)
@@ -72,3 +93,7 @@ class ChunkStore:
     def tags(self) -> DataFrame:
         """Distinct tags with their number of chunks."""
         return self.read().select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).orderBy("tag")
+
+    def json_rows(self, limit: int = 10) -> list[str]:
+        """The first rows by key as JSON, for a look at the store."""
+        return [r["value"] for r in self.read().orderBy(self.key).limit(limit).select(F.to_json(F.struct("*")).alias("value")).collect()]

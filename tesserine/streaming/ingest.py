@@ -6,27 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.operators.logs import LOG_SCHEMA, entry_json
-from tesserine.plans.ingest import ingest_files
-from tesserine.sources.discovery import is_text
+from tesserine.plans.ingest import build_index, ingest_files
+from tesserine.sources import discovery
 from tesserine.sources.store import ChunkStore
 
 
-def source_files(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
-    """A stream of (file, text) of the text files that appear below ``root``."""
+def source_files(spark: SparkSession, root: str, extensions: str = "*", files_per_batch: int = 1000) -> DataFrame:
+    """A stream of (file, text) of the files that appear below ``root``, admitted and named as in a batch."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     stream = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(root)
-    return stream.where(is_text(F.col("content"))).select(F.regexp_replace("path", "^[a-z]+:/*", "/").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return discovery.read_text(discovery.admitted(stream, discovery.qualified(spark, root), discovery.extension_list(extensions)))
 
 
 def start_ingest(files: DataFrame, store_path: str, checkpoint: str, **options):
-    """Upsert each micro-batch; an upsert that is repeated after a failure changes nothing."""
+    """Upsert each micro-batch; an upsert that is repeated after a failure changes nothing. The index is built afterwards (``ingest_stream``)."""
 
     def flush(batch: DataFrame, _: int) -> None:
-        ingest_files(batch, ChunkStore(batch.sparkSession, f"{store_path}/chunks"), f"{store_path}/index", **options)
+        ingest_files(batch, ChunkStore(batch.sparkSession, f"{store_path}/chunks"), None, **options)
 
     return files.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_stream(files: DataFrame, store_path: str, checkpoint: str, **options) -> int:
+    """Ingest all that is there in micro-batches, then index the store once; the number of chunks."""
+    start_ingest(files, store_path, checkpoint, **options).awaitTermination()
+    store = ChunkStore(files.sparkSession, f"{store_path}/chunks")
+    build_index(store, f"{store_path}/index")
+    return store.count()
+
+
 def log_stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream of request-log rows."""
     return spark.readStream.schema(LOG_SCHEMA).option("mode", "DROPMALFORMED").json(path).withColumn("time", F.timestamp_seconds("ts"))

@@ -1,12 +1,17 @@
 """Sources, stores, ingestion, file views, metrics, logs and streams."""
 
+import hashlib
+import json
+from collections import Counter
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from tesserine.operators import batching, embedding, evals, files, logs, prefetch
-from tesserine.plans import catalog
-from tesserine.plans.ingest import ingest
+from tesserine.functions import ids, tags
+from tesserine.operators import batching, bm25, embedding, evals, files, logs, prefetch
+from tesserine.plans import catalog, evaluate
+from tesserine.plans.ingest import ingest, reingest, status
 from tesserine.sources import discovery
 from tesserine.sources.store import ChunkStore, last_write_wins
 from tesserine.streaming import ingest as streamed
@@ -24,12 +29,13 @@ def tree(root):
 def test_discovery(spark, tmp_path):
     root = tree(tmp_path / "proj")
     found = {r["file"] for r in discovery.discover(spark, root).collect()}
-    # Spark's listing leaves out empty files, which have no chunks anyway.
-    assert found == {"src/a.c", "README", "latin.txt", "p.cbl"}
-    assert {r["file"] for r in discovery.discover(spark, root, ["c"]).collect()} == {"src/a.c", "README"}
+    # Empty files, which have no chunks anyway, are left out.
+    assert found == {"proj/src/a.c", "proj/README", "proj/latin.txt", "proj/p.cbl"}
+    assert {r["file"] for r in discovery.discover(spark, root, ["c"]).collect()} == {"proj/src/a.c", "proj/README"}
     assert discovery.extension_list(" .C, h ") == ["c", "h"] and discovery.extension_list("*") is None and discovery.extension_list(None) is None
     first = discovery.read_text(discovery.discover(spark, root), 1).collect()
-    assert [r["file"] for r in first] == ["README"]
+    assert [r["file"] for r in first] == ["proj/README"]
+    assert "Exchange" not in discovery.discover(spark, root)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_ingest_twice(spark, tmp_path):
@@ -40,15 +46,69 @@ def test_ingest_twice(spark, tmp_path):
     assert first[0] == 4 and first[1] == rows
     assert ingest(spark, root, out) == first and store.read().count() == rows
     assert store.read().where("summary_text is null or size(vector) <> 768").count() == 0
-    assert store.tags().count() > 0
+    assert store.tags().count() > 0 and json.loads(store.json_rows(1)[0])["file_path"].startswith("proj/")
+    assert status(spark, out)["point_count"] == rows
     assert ingest(spark, root, out, extensions="c", reset=True)[0] == 2
+    report = reingest(spark, root, out)
+    assert (report["files_ingested"], report["total_chunks"], report["code_root"]) == (4, rows, root)
+    with pytest.raises(ValueError):
+        reingest(spark, str(tmp_path / "nowhere"), out)
+
+
+def test_paths_below_the_root(spark, tmp_path):
+    root = tmp_path / "outer" / "proj"
+    for name in ("top.txt", "src/a.txt", "src/lib/deep/b.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"some text of {name}\n")
+    cache = embedding.EmbeddingCache(spark, str(tmp_path / "cache"))
+    ingest(spark, str(root), str(tmp_path / "batch"), cache=cache)
+    streamed.ingest_stream(streamed.source_files(spark, str(root)), str(tmp_path / "stream"), str(tmp_path / "cp"), cache=cache)
+    stores = [ChunkStore(spark, str(tmp_path / k / "chunks")).read() for k in ("batch", "stream")]
+    places = {tuple(r) for r in stores[0].select("file_path", "file_dir", "folder", "file_name").collect()}
+    assert places == {("proj/top.txt", "proj", "proj", "top"), ("proj/src/a.txt", "proj/src", "src", "a"), ("proj/src/lib/deep/b.txt", "proj/src/lib/deep", "src", "b")}
+    ids = [{r["chunk_id"] for r in s.collect()} for s in stores]
+    assert ids[0] == ids[1] and cache.read().count() == 3
+    index = bm25.Bm25Index.current(spark, str(tmp_path / "stream" / "index"))
+    assert index is bm25.Bm25Index.current(spark, str(tmp_path / "stream" / "index")) and index.stats.first()["n"] == 3
+
+
+def test_store_of_many_upserts(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"))
+    store.ensure("chunk_id string, v long")
+    want = {}
+    for n in range(12):
+        rows = [(f"k{k}", n) for k in range(n % 4, 6)]
+        want.update(rows)
+        assert store.upsert(spark.createDataFrame(rows, "chunk_id string, v long")) == len(rows)
+        assert {r["chunk_id"]: r["v"] for r in store.read().collect()} == want
+    assert len(store._versions()) <= ChunkStore.MAX_DELTAS
+
+
+def test_cooldown_with_folders(spark):
+    start = datetime(2024, 1, 1)
+    rows = [("q", t, f) for t, f in [(0, "a"), (5, "a"), (6, "b"), (14, "a"), (30, "b"), (130, "a"), (131, "b"), (260, "b")]] + [("r", 7, None), ("r", 8, None)]
+    events = spark.createDataFrame([(q, start + timedelta(seconds=t), f) for q, t, f in rows], "q string, ts timestamp, folder string")
+    got = {(r["q"], r["folder"], r["accepted_us"] // 1_000_000 % 86400) for r in prefetch.accepted(events, "q", "ts", 15, "folder", 120).collect()}
+    # 6 b has no answer yet; 14 a has one of 0; 131 b has one of 30; at 260 all is late.
+    assert got == {("q", "a", 0), ("q", "b", 6), ("q", "b", 30), ("q", "a", 130), ("q", "b", 260), ("r", None, 7)}
 
 
-def test_stream_ingest(spark, tmp_path):
-    root, out = tree(tmp_path / "proj"), str(tmp_path / "store")
-    q = streamed.start_ingest(streamed.source_files(spark, root), out, str(tmp_path / "cp"))
-    q.awaitTermination()
-    assert ChunkStore(spark, f"{out}/chunks").count() >= 4
+def test_evaluation_report(spark, tmp_path):
+    (tmp_path / "e.jsonl").write_text('{"query": "one", "expected_paths": ["a", "b"]}\n\n{"query": " ", "expected_paths": ["a"]}\n{"query": "two", "expected_paths": ["c"], "answer_must_contain": ["Yes"]}\n')
+    rows = discovery.eval_rows(spark, str(tmp_path / "e.jsonl"))
+    run = lambda q: q.select("query_id", F.when(F.col("text") == "one", "a").otherwise("x").alias("path"), F.lit(2).alias("rank"), F.length("text").cast("double").alias("ms"))
+    report = evaluate.retrieval_report(rows, run, 10).first()
+    assert (report["queries_total"], report["queries_scored"], report["hit_rate_at_k"], report["recall_at_k"], report["mrr"], report["latency_ms_avg"]) == (2, 2, 0.5, 0.25, 0.25, 3.0)
+    answers = evaluate.numbered(rows).select("query_id", F.lit("oh yes").alias("answer"))
+    assert tuple(evaluate.answer_report(rows, answers).first()) == (1, 1.0)
+
+
+def test_catalogue_and_usage(spark):
+    assert tags.tag_catalogue(spark).groupBy("kind").count().count() == 2
+    rows = spark.createDataFrame([('{"usage_metadata": {"prompt_token_count": 3, "candidatesTokenCount": "4"}}',), ('{"usage_metadata": {"prompt_token_count": "x"}}',), (None,)], "r string")
+    assert [tuple(r) for r in rows.select(*logs.usage_tokens(F.col("r"))).collect()] == [(3, 4), (None, None), (None, None)]
+    key = rows.limit(1).select(ids.cache_id(F.lit("p"), F.lit(1), F.lit(2), F.lit("s"))).first()[0]
+    assert key == hashlib.sha256(b"p|1|2|s").hexdigest()
 
 
 def test_last_write_wins(spark):
@@ -118,7 +178,7 @@ def test_prefetch_rules(spark):
     rows = events(spark)
     fired = {r["event_id"] for r in prefetch.debounced(rows, "user_id", "ts", "event_id").collect()}
     assert fired == {1, 2, 4, 5, 9}
-    taken = {r["user_id"]: len(r["times"]) for r in prefetch.accepted(rows, "user_id", "ts").collect()}
+    taken = Counter(r["user_id"] for r in prefetch.accepted(rows, "user_id", "ts").collect())
     assert taken == {1: 3, 2: 1}
     hits = {r["event_id"]: r["hit"] for r in prefetch.cached(rows, "user_id", "ts", "event_id", F.col("event_id") == 0, 15).collect()}
     assert hits == {1: True, 2: True, 3: True, 4: False, 5: False, 9: False}
