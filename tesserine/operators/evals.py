@@ -23,6 +23,35 @@ def query_metrics(run: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     )
 
 
+def holders(docs: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame:
+    """(query_id, path): the documents (path, text) that hold a passage (query_id, passage) whole.
+
+    The words of a passage but its first and last stand in the document as they
+    are, so the two are joined on the first run of ``words`` of them; what meets
+    is then looked at.  Only passages that are too short for a run are compared
+    with every document.
+    """
+
+    def runs(text: Column) -> Column:
+        def joined(h: Column) -> Column:
+            inner = F.when(F.size(h) >= words, F.sequence(F.lit(0), F.size(h) - words))
+            return F.coalesce(F.transform(inner, lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(words)))), F.array().cast("array<bigint>"))
+
+        # As a lambda's variable the hashes are made once a text, not once an element.
+        hashes = F.transform(F.split(text, r"\s+"), lambda w: F.xxhash64(w))
+        return F.element_at(F.transform(F.array(hashes), joined), 1)
+
+    asked = passages.where("passage is not null").withColumn("__n", F.size(F.split("passage", r"\s+")))
+    long = asked.where(F.col("__n") >= words + 2).select("query_id", "passage", F.get(runs(F.col("passage")), F.lit(1)).alias("__run"))
+    short = asked.where(F.col("__n") < words + 2).select("query_id", "passage")
+    # Only numbers are exploded; texts meet what is left of the pairs.
+    places = docs.select("path", F.explode(F.array_distinct(runs(F.col("text")))).alias("__run"))
+    pairs = places.join(long, "__run").select("path", "query_id", "passage").distinct()
+    met = docs.join(pairs, "path").where(F.contains("text", "passage")).select("query_id", "path")
+    rest = docs.join(short, F.contains("text", "passage")).select("query_id", "path")
+    return met.unionByName(rest).distinct()
+
+
 def averaged(metrics: DataFrame) -> DataFrame:
     """One row of macro averages, to four places."""
     mean = lambda c: F.bround(F.coalesce(F.avg(c), F.lit(0.0)), 4)

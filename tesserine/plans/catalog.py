@@ -73,7 +73,8 @@ def payload(table) -> DataFrame:
 
 
 def index(table) -> bm25.Bm25Index:
-    return bm25.build_index(table("documents"), "doc_id", "text")
+    """The index of all documents; a session keeps it, so queries after the first do not build it again."""
+    return bm25.build_index(table("documents"), "doc_id", "text").persist()
 
 
 def both_lists(table, k: int) -> tuple[DataFrame, DataFrame]:
@@ -512,8 +513,7 @@ SELECT count(*) AS queries_scored, round_even(avg((found > 0)::INT), 4) AS hit_r
 def retrieval_eval(table):
     """Metrics of the BM25 list against the documents that hold a passage whole."""
     passages = table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    held = table("documents").select(F.col("doc_id").alias("path"), "text").join(passages, F.contains("text", "passage"))
-    expected = held.select("query_id", "path").distinct()
+    expected = evals.holders(table("documents").select(F.col("doc_id").alias("path"), "text"), passages)
     run = bm25.search(index(table), questions(table).select("query_id", "text"), 10).withColumnRenamed("id", "path")
     return evals.averaged(evals.query_metrics(run, expected, 10))
 
