@@ -48,7 +48,7 @@ SLOTS = BANDS * ROWS
 #: Pairs whose signatures agree in less than this share of slots are not verified: six deviations below the threshold.
 LEAST_ESTIMATE = 0.65
 #: Rows of a block of a bucket that is compared exhaustively.
-BLOCK_ROWS = 800
+BLOCK_ROWS = 400
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
