@@ -67,9 +67,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``, each written as Parquet and read again; only the last one's files stay."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir))
+        before, docs = docs, scratch.table(stage(spark, docs, sf_dir))
+        scratch.remove(before)
     return docs
