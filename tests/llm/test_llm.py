@@ -577,3 +577,11 @@ def test_pipeline(spark, tmp_path):
     # 12 equals 0; 13 equals 1 and is longer; 14 is near 2; the last three fail the rules.
     assert kept == {*range(12)} - {1} | {13} and len(corpus_pipeline.STAGES) == 5
     assert sum(r["length"] for r in out) == sum(len(r["ids"]) for r in out)
+
+
+def test_pipeline_of_an_empty_table_with_more_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long, kept string, row long, spans string, length long"
+    spark.createDataFrame([], columns).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
