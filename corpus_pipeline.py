@@ -3,6 +3,10 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's ``docs``.  All but the last return
 the columns of ``documents``.
+
+Defined results: a null or empty text fails the quality rules; repeated rows are
+exact copies; an empty table gives no pieces; further columns of ``documents``,
+whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.llm.bag_minhash import drop_near_duplicates
-from tesserine.llm.common import Scratch
+from tesserine.llm.common import Scratch, fresh
 from tesserine.llm.exact_dedup import drop_copies
 from tesserine.llm.packing import pack_documents
 from tesserine.llm.quality_rules import quality_rules
@@ -30,7 +34,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules accept."""
-    return quality_rules(docs).where("kept").select(docs.columns)
+    # As a struct the columns of a row keep their names and values, whatever the rules call their results.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), "text")
+    return quality_rules(rows).where("kept").select("whole.*")
 
 
 def one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +51,9 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur twice or more; n_chars follows the text."""
-    cut = remove_repeated_spans(docs, threshold=PASSAGE_BYTES, least_words=PASSAGE_WORDS)
+    own = fresh(docs, "own_n_removed")
+    cut = remove_repeated_spans(docs.withColumnRenamed("n_removed", own), threshold=PASSAGE_BYTES, least_words=PASSAGE_WORDS)
+    cut = cut.drop("n_removed").withColumnRenamed(own, "n_removed")
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
