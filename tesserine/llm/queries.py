@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.llm import language_id, quality_cnn
 from tesserine.llm.bag_minhash import near_duplicates
-from tesserine.llm.common import Scratch, documents, id_hash_mod
+from tesserine.llm.common import SPACE, Scratch, documents, id_hash_mod, let
 from tesserine.llm.exact_dedup import exact_dedup
 from tesserine.llm.packing import pack_documents
+from tesserine.llm.periodic_runs import periodic_runs
+from tesserine.llm.personal_data import BASE, described, find_personal_data
 from tesserine.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from tesserine.llm.repeated_spans import remove_repeated_spans
 from tesserine.llm.sentence_pieces import round_trips
 from tesserine.llm.token_counts import token_counts
+from tesserine.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, vector_codes
 from tesserine.llm.warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +82,56 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer_path(), keep_text=False)
 
 
+def planted(text: Column, doc_id: Column) -> Column:
+    """Texts of a tenth of the ids with a repeating tail, as the contract of op11 has them; the others as they are."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda w: w != "")
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.element_at(w, (a + (i - a) % p + 1).cast("int"))))
+
+    return F.when(h % 10 == 0, F.array_join(let(words, repeated), " ")).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("text", planted(F.col("text"), F.col("doc_id")))
+    found = periodic_runs(docs, keep_text=False)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    coded, books = vector_codes(vectors)
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    labels = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    return coded.join(labels, F.col("label").eqNullSafe(F.col("of"))).select("vec_id", code.alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(documents(spark, sf_dir), keep_text=False)
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in BASE]
+    return found.select("doc_id", *counts, F.sha2(described(of(*BASE)), 256).alias("base_sha256"), described(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -90,6 +143,9 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_quality_cnn": op9_quality_cnn,
     "op10_token_counts": op10_token_counts,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_personal_data": op13_personal_data,
 }
 
 
@@ -102,6 +158,44 @@ def _rules_sql() -> str:
     return " AND ".join(parts)
 
 
+def _codes_sql() -> str:
+    """Operator 12 with full searches: a table of codes and one of entries for each round."""
+    steps = [
+        f"""units AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {SCALE})::BIGINT) AS u
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, label, p, u[p * len(u) // {PARTS} + 1 : (p + 1) * len(u) // {PARTS}] AS v FROM units, range({PARTS}) AS t(p)
+), entries0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v AS c
+  FROM parts SEMI JOIN (SELECT vec_id FROM units ORDER BY vec_id LIMIT {ENTRIES}) USING (vec_id)
+)"""
+    ]
+    for k in range(ROUNDS + 1):
+        steps.append(f"""codes{k} AS MATERIALIZED (
+  SELECT vec_id, label, p, any_value(v) AS v, min((d, e)) AS best
+  FROM (SELECT x.*, e, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts x JOIN entries{k} USING (p))
+  GROUP BY vec_id, label, p
+)""")
+        if k < ROUNDS:
+            steps.append(f"""means{k} AS (
+  SELECT p, e, list(m ORDER BY i) AS c FROM (
+    SELECT p, best[2] AS e, i, floor(sum(v[i])::HUGEINT / count(*))::BIGINT AS m
+    FROM codes{k}, range(1, (SELECT max(len(u)) FROM units) // {PARTS} + 1) AS t(i) GROUP BY ALL
+  ) GROUP BY p, e
+), entries{k + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.c, o.c) AS c FROM entries{k} o LEFT JOIN means{k} m USING (p, e)
+)""")
+    return f"""
+WITH {", ".join(steps)}
+, coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM codes{ROUNDS} GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM entries{ROUNDS}) AS codebooks_sha256
+FROM coded"""
+
+
 SQL: dict[str, str] = {
     "op4_quality_rules": rf"""
 WITH split AS (
@@ -157,4 +251,5 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
        CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> keeper THEN keeper END AS refers_to
 FROM groups""",
+    "op12_vector_codes": _codes_sql(),
 }
