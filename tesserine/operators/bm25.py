@@ -1,22 +1,33 @@
 """BM25 as tables: postings, term statistics and corpus statistics.
 
-Scoring is an equi-join of the queries' terms with the postings; terms no
-query has are pruned before anything is aggregated.  Corpus statistics are
-aggregates with map-side combination.
+``scores`` gives all documents that share a term with a query, by an equi-join of
+the queries' terms with the postings.  ``search`` wants the best few only and works
+on blocks (``Bm25Index.blocks``): the postings of a shard of the documents, by term
+and falling impact, in runs of ``BLOCK`` with the greatest impact of each.  A first
+pass scores the foremost block of each term and shard and takes the k-th best of
+these partial scores as a threshold of the query; a second pass leaves out every
+block whose greatest impact, with the greatest ones of the query's other terms,
+stays below it.  Each posting of a document that reaches the threshold is in a
+block that is kept, so the results are those of all scores.  As the postings of a
+document are in one shard, sums need no shuffle: a task hands on its best k a
+query, however many documents share a term.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.config import DEFAULTS, Settings
 from tesserine.functions import text
 
 DIGITS = 6
-_loaded: dict[str, tuple[int, Bm25Index]] = {}
+#: Postings of a block, documents of a shard, and terms of a batch of queries that are small enough to be sent to all tasks (about 40 bytes each).
+BLOCK, SHARD_DOCUMENTS, MOST_WEIGHTS = 128, 50_000, 1 << 20
+#: Partial sums in another order may differ from full ones in the last places.
+SLACK = 1e-5
 
 
 @dataclass
@@ -26,56 +37,71 @@ class Bm25Index:
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
-
-    def save(self, path: str) -> None:
-        """Write the tables; postings are clustered by term, so that a query's terms prune row groups."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Bm25Index:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
-
-    @classmethod
-    def current(cls, spark: SparkSession, path: str) -> Bm25Index:
-        """The saved index, kept in memory until it is written anew."""
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stats")
-        stamp = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(folder).getModificationTime()
-        known = _loaded.get(path)
-        if known is None or known[0] != stamp:
-            if known is not None:
-                for table in (known[1].postings, known[1].terms, known[1].stats):
-                    table.unpersist()
-            _loaded[path] = known = (stamp, cls.load(spark, path).persist())
-        return known[1]
-
-    @staticmethod
-    def drop(spark: SparkSession, path: str) -> None:
-        """Delete a saved index and forget what is loaded of it."""
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-        _loaded.pop(path, None)
+    _blocks: dict[tuple[float, float, bool], DataFrame] = field(default_factory=dict, repr=False)
+    kept: bool = False
 
     def persist(self) -> Bm25Index:
         """Keep the tables for several batches of queries."""
-        return Bm25Index(*(t.persist() for t in (self.postings, self.terms, self.stats)))
+        return Bm25Index(*(t.persist() for t in (self.postings, self.terms, self.stats)), kept=True)
+
+    def unpersist(self) -> None:
+        for table in (self.postings, self.terms, self.stats, *self._blocks.values()):
+            table.unpersist()
+        self._blocks.clear()
+
+    def blocks(self, settings: Settings = DEFAULTS) -> DataFrame:
+        """(shard, term, block, greatest, entries): ``entries`` are (id, impact) by falling impact; a shard is in one partition."""
+        key = (settings.bm25_k1, settings.bm25_b, self.kept)
+        if key not in self._blocks:
+            found = _blocked(self, settings)
+            self._blocks[key] = found.persist() if self.kept else found
+        return self._blocks[key]
 
 
 def _raw_idf(n: Column, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
+def _impact(avgdl: Column, settings: Settings) -> Column:
+    """What a posting's frequency and the document's length make of the weight of its term."""
+    k1, b = settings.bm25_k1, settings.bm25_b
+    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+
+
 def build_index(docs: DataFrame, doc_id: str, body: str) -> Bm25Index:
     """Index of ``docs``; documents without a token are not part of the corpus."""
-    words = docs.select(F.col(doc_id).alias("id"), text.tokens(F.col(body)).alias("words"))
-    # The length travels with the tokens, so postings need one shuffle only.
-    tokens = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    postings = tokens.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    words = tokenised(docs, doc_id, body)
+    postings = counted(words)
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     corpus = words.where(F.size("words") > 0).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avgdl"))
+    return Bm25Index(postings, terms, corpus_stats(corpus, terms))
+
+
+def tokenised(docs: DataFrame, doc_id: str, body: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("id"), text.tokens(F.col(body)).alias("words"))
+
+
+def counted(words: DataFrame) -> DataFrame:
+    """Postings of (id, words). The length travels with the tokens, so they need one shuffle only."""
+    tokens = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    return tokens.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+
+
+def corpus_stats(corpus: DataFrame, terms: DataFrame) -> DataFrame:
+    """(n, avgdl, mean_idf) of ``corpus`` (n, avgdl), one row."""
     mean = terms.crossJoin(F.broadcast(corpus)).agg(F.avg(_raw_idf(F.col("n"), F.col("df"))).alias("mean_idf"))
-    return Bm25Index(postings, terms, corpus.crossJoin(F.broadcast(mean)))
+    return corpus.crossJoin(F.broadcast(mean))
+
+
+def _blocked(index: Bm25Index, settings: Settings) -> DataFrame:
+    spark = index.stats.sparkSession
+    n = (index.stats.first() or {"n": 0})["n"] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARD_DOCUMENTS))
+    weighed = index.postings.crossJoin(F.broadcast(index.stats)).select("id", "term", _impact(F.col("avgdl"), settings).alias("impact"))
+    dealt = weighed.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).repartition(shards, "shard")
+    order = Window.partitionBy("shard", "term").orderBy(F.col("impact").desc(), "id")
+    cut = dealt.withColumn("nth", F.row_number().over(order) - 1).withColumn("block", F.floor(F.col("nth") / BLOCK).cast("int"))
+    return cut.groupBy("shard", "term", "block").agg(F.max("impact").alias("greatest"), F.collect_list(F.struct("id", "impact")).alias("entries"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -84,19 +110,48 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("m"))
 
 
-def scores(index: Bm25Index, queries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """(query_id, id, score) of all documents that share a term with a query; ``stats`` is one row."""
+def weights(index: Bm25Index, queries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """(query_id, term, weight, avgdl): how often a query has a term, times its inverse document frequency; ``stats`` is one row."""
     wanted = query_terms(queries)
-    weighed = index.terms.join(wanted.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(index.stats))
+    known = index.terms.join(wanted.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(index.stats))
     raw = _raw_idf(F.col("n"), F.col("df"))
-    weighed = weighed.select("term", "avgdl", F.when(raw >= 0, raw).otherwise(settings.bm25_epsilon * F.col("mean_idf")).alias("idf"))
-    k1, b = settings.bm25_k1, settings.bm25_b
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return (
-        index.postings.join(weighed.join(wanted, "term"), "term")
-        .groupBy("query_id", "id")
-        .agg(F.round(F.sum(F.col("m") * F.col("idf") * tf), DIGITS).alias("score"))
-    )
+    idf = F.when(raw >= 0, raw).otherwise(settings.bm25_epsilon * F.col("mean_idf"))
+    return wanted.join(known.select("term", "avgdl", idf.alias("idf")), "term").select("query_id", "term", (F.col("m") * F.col("idf")).alias("weight"), "avgdl")
+
+
+def scores(index: Bm25Index, queries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """(query_id, id, score) of all documents that share a term with a query."""
+    found = index.postings.join(weights(index, queries, settings), "term")
+    return found.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * _impact(F.col("avgdl"), settings)), DIGITS).alias("score"))
+
+
+def _summed(blocks: DataFrame) -> DataFrame:
+    """Scores in the tasks that hold the shards; ``blocks`` have a query's weight."""
+    entries = blocks.select("query_id", "shard", "weight", F.explode("entries").alias("entry"))
+    return entries.groupBy("query_id", "shard", F.col("entry.id").alias("id")).agg(F.sum(F.col("weight") * F.col("entry.impact")).alias("score"))
+
+
+def best_scores(index: Bm25Index, queries: DataFrame, k: int, settings: Settings = DEFAULTS) -> DataFrame:
+    """(query_id, id, score) with at least the best ``k`` of each query, with their whole scores; others that are there are no better."""
+    weighed = weights(index, queries, settings).drop("avgdl").persist()
+    if weighed.count() > MOST_WEIGHTS:
+        weighed.unpersist()
+        return scores(index, queries, settings)
+    blocks = index.blocks(settings)
+    first = blocks.where("block = 0").join(F.broadcast(weighed), "term")
+    # Of each term of a query what it can give at most, and what the query's other terms can.
+    top = blocks.where("block = 0").join(F.broadcast(weighed.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.max("greatest").alias("top"))
+    most = F.greatest(F.lit(0.0), F.col("weight") * F.col("top"))
+    each = Window.partitionBy("query_id")
+    least = F.sum(F.least(F.lit(0.0), F.col("weight") * (settings.bm25_k1 + 1))).over(each)
+    reach = weighed.join(top, "term").select("query_id", "term", "weight", (F.sum(most).over(each) - most).alias("others"), least.alias("lost"))
+    nth = Window.partitionBy("query_id").orderBy(F.col("score").desc())
+    foremost = _summed(first).select("query_id", "score").withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k)
+    threshold = foremost.where(F.col("nth") == k).select("query_id", F.col("score").alias("threshold"))
+    bounded = reach.join(threshold, "query_id", "left").withColumn("least", F.col("threshold") + F.col("lost") - SLACK).drop("threshold", "lost")
+    could = F.col("weight") * F.col("greatest") + F.col("others") >= F.col("least")
+    kept = blocks.join(F.broadcast(bounded), "term").where(F.coalesce(could, F.lit(True)) | (F.col("weight") < 0))
+    return _summed(kept).select("query_id", "id", F.round("score", DIGITS).alias("score"))
 
 
 def ranked(scored: DataFrame, limit: int, by: str = "score") -> DataFrame:
@@ -113,7 +168,7 @@ def search(
     As in the service, filters see the best ``3 * limit`` only, in score order,
     and a score must exceed a small minimum.
     """
-    best = ranked(scores(index, queries, settings), 3 * limit).where(F.col("score") > settings.bm25_min_score)
+    best = ranked(best_scores(index, queries, 3 * limit, settings), 3 * limit).where(F.col("score") > settings.bm25_min_score)
     if payload is not None and (tags or folder or (source_type and source_type != "all")):
         best = best.join(payload.select("id", *(c for c in ("source_type", "tags", "folder") if c in payload.columns)), "id")
         if source_type and source_type != "all":

@@ -30,6 +30,10 @@ class EmbeddingCache:
     def append(self, added: DataFrame) -> None:
         added.select("sha", "vector").write.mode("append").parquet(self.path)
 
+    def drop(self) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
 
 def text_key(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
@@ -55,3 +59,11 @@ def embed(rows: DataFrame, cache: DataFrame | None = None, provider: Provider |
     added = provider(asked).select("sha", "vector")
     known = added if cache is None else cache.select("sha", "vector").dropDuplicates(["sha"]).unionByName(added)
     return keyed.join(known, "sha", "left").drop("sha"), added
+
+
+def embedded(rows: DataFrame, cache: EmbeddingCache, provider: Provider, text: str = "text") -> DataFrame:
+    """``rows`` with ``vector``. What the provider gives is written to the cache before it is used, so whatever reads the result, no text is asked for again."""
+    keyed = rows.withColumn("sha", text_key(F.col(text)))
+    asked, known = keyed.select("sha", F.col(text).alias("text")).dropDuplicates(["sha"]), cache.read()
+    cache.append(provider(asked if known is None else asked.join(known, "sha", "left_anti")))
+    return keyed.join(cache.read(), "sha", "left").drop("sha")

@@ -31,12 +31,34 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+class Tables:
+    """The tables of a folder by name, and the index of its documents."""
+
+    _index: tuple[str, str, bm25.Bm25Index] | None = None
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __call__(self, name: str) -> DataFrame:
+        return spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+
+    def index(self) -> bm25.Bm25Index:
+        """Queries after the first do not build it again; a session keeps that of one folder, the last."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        known = Tables._index
+        if known is None or known[:2] != key:
+            if known is not None and known[0] == key[0]:
+                known[2].unpersist()
+            Tables._index = known = (*key, bm25.build_index(self("documents"), "doc_id", "text").persist())
+        return known[2]
+
+
 def query(sql: str | None):
     """Register a query under its function's name; integers become longs, as in the SQL twins."""
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = f(lambda name: spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")))
+            df = f(Tables(spark, sf_dir))
             return df.select(*(F.col(c.name).cast("long").alias(c.name) if isinstance(c.dataType, T.IntegerType) else F.col(c.name) for c in df.schema.fields))
 
         run.__doc__ = f.__doc__
@@ -72,14 +94,9 @@ def payload(table) -> DataFrame:
     return table("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("folder"), F.col("source").alias("file_path"), F.array("lang").alias("tags"))
 
 
-def index(table) -> bm25.Bm25Index:
-    """The index of all documents; a session keeps it, so queries after the first do not build it again."""
-    return bm25.build_index(table("documents"), "doc_id", "text").persist()
-
-
 def both_lists(table, k: int) -> tuple[DataFrame, DataFrame]:
     q = questions(table)
-    return vectors.search(corpus(table), q, k), bm25.search(index(table), q, k)
+    return vectors.search(corpus(table), q, k), bm25.search(table.index(), q, k)
 
 
 # ------------------------------------------------------------ SQL pieces
@@ -150,7 +167,7 @@ def hits(df: DataFrame) -> DataFrame:
 @query(f"WITH {LISTS_SQL.format(k=10)} SELECT item_id, doc_id, score, r AS rank FROM bk")
 def bm25_topk(table):
     """The ten best documents of each question by BM25."""
-    found = bm25.search(index(table), questions(table).select("query_id", "text"), 10)
+    found = bm25.search(table.index(), questions(table).select("query_id", "text"), 10)
     return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
@@ -170,7 +187,7 @@ def rrf_fusion(table):
 @query(hits_sql(", ".join(HYBRID), HITS))
 def hybrid_search(table):
     """The search entry point: fusion, least cosine, two hits a file, 25 in all."""
-    found = search.hybrid_search(questions(table), corpus(table), index(table), payload(table), top_k=50, final_k=50)
+    found = search.hybrid_search(questions(table), corpus(table), table.index(), payload(table), top_k=50, final_k=50)
     return hits(fusion.diverse(found, 2, 25))
 
 
@@ -184,7 +201,7 @@ bf AS (SELECT * FROM b4 WHERE r <= 50)"""
 def hybrid_folder_filter(table):
     """The same within a folder, which filters the vector hits after the search and the lexical ones among the best 150."""
     placed = corpus(table).join(payload(table).select("id", "folder"), "id", "left")
-    found = search.hybrid_search(questions(table), placed, index(table), payload(table), top_k=50, final_k=50, folder="src3")
+    found = search.hybrid_search(questions(table), placed, table.index(), payload(table), top_k=50, final_k=50, folder="src3")
     return hits(fusion.diverse(found, 2, 25))
 
 
@@ -197,7 +214,7 @@ TAGGED_SQL = """ft AS (SELECT fr.* FROM fr LEFT JOIN documents USING (doc_id) WH
 @query(hits_sql(", ".join([TAGS_SQL, FUSED_SQL.format(v="vk", b="bt"), TAGGED_SQL, RELEVANT_SQL.format(least=0.15, frm="ft", cut=100, final=50), HYBRID[2]]), HITS))
 def hybrid_tag_filter(table):
     """The same with a tag filter, which spares vector hits of questions that have lexical ones."""
-    found = search.hybrid_search(questions(table), corpus(table), index(table), payload(table), top_k=50, final_k=50, tags=["fr", "de"])
+    found = search.hybrid_search(questions(table), corpus(table), table.index(), payload(table), top_k=50, final_k=50, tags=["fr", "de"])
     return hits(fusion.diverse(found, 2, 25))
 
 
@@ -212,7 +229,7 @@ def hybrid_source_type(table):
     kind = F.when(F.col("id") % 3 == 0, "docs").otherwise("code")
     docs = payload(table).withColumn("source_type", kind)
     placed = corpus(table).join(docs.select("id", "source_type"), "id")
-    found = search.hybrid_search(questions(table), placed, index(table), docs, top_k=50, final_k=50, source_type="docs")
+    found = search.hybrid_search(questions(table), placed, table.index(), docs, top_k=50, final_k=50, source_type="docs")
     return hits(fusion.diverse(found, 2, 25))
 
 
@@ -514,7 +531,7 @@ def retrieval_eval(table):
     """Metrics of the BM25 list against the documents that hold a passage whole."""
     passages = table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     expected = evals.holders(table("documents").select(F.col("doc_id").alias("path"), "text"), passages)
-    run = bm25.search(index(table), questions(table).select("query_id", "text"), 10).withColumnRenamed("id", "path")
+    run = bm25.search(table.index(), questions(table).select("query_id", "text"), 10).withColumnRenamed("id", "path")
     return evals.averaged(evals.query_metrics(run, expected, 10))
 
 
@@ -619,7 +636,7 @@ def normalize_summary(table):
 SELECT item_id, sha256(string_agg(entry, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY r)) AS context_sha, count(*) AS n_chunks FROM e GROUP BY item_id""")
 def context_assembly(table):
     """The prompt context of each question's three best documents."""
-    best = bm25.search(index(table), questions(table).select("query_id", "text"), 3)
+    best = bm25.search(table.index(), questions(table).select("query_id", "text"), 3)
     rows = source_files(table).select(F.col("doc_id").alias("id"), F.col("file").alias("file_path"), F.lit(1).alias("start_line"), F.size(text.lines(F.col("text"))).alias("end_line"), text.truncate_lines(F.col("text"), 20).alias("code_snippet"))
     found = context.contexts(best.join(rows, "id"), context.plain_entry())
     return found.select(F.col("query_id").alias("item_id"), F.sha2("context", 256).alias("context_sha"), "n_chunks")
@@ -649,7 +666,7 @@ ro AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY item_id ORDER BY
 def hybrid_reranked(table):
     """Prefetching: twenty candidates, the first six reranked by term overlap."""
     docs = payload(table).join(table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code_snippet")), "id")
-    found = search.prefetch(questions(table), corpus(table), index(table), docs)
+    found = search.prefetch(questions(table), corpus(table), table.index(), docs)
     return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"), "vector_score")
 
 
@@ -662,5 +679,5 @@ FROM de LEFT JOIN documents USING (doc_id) GROUP BY item_id""").replace("QUALIFY
 def chat_contexts(table):
     """Chat prompts: the chunks of each question with their places, and how long the context is."""
     docs = payload(table).join(table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code_snippet")), "id")
-    found = search.chat(questions(table), corpus(table), index(table), docs)
+    found = search.chat(questions(table), corpus(table), table.index(), docs)
     return context.contexts(found, context.chat_entry()).select("query_id", "n_chunks", F.length("context").alias("chars"))

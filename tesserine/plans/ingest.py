@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict
 
@@ -13,6 +14,7 @@ from tesserine.functions import code, ids, paths, tags, text
 from tesserine.operators import bm25, embedding
 from tesserine.operators.chunking import chunk_files
 from tesserine.sources import discovery
+from tesserine.sources.index_store import IndexStore
 from tesserine.sources.store import ChunkStore
 
 Summaries = Callable[[DataFrame], DataFrame]
@@ -53,26 +55,30 @@ def retrieval_text(chunks: DataFrame, index_code: bool = False) -> DataFrame:
 
 
 def ingest_files(files: DataFrame, store: ChunkStore, index_path: str | None, summaries: Summaries = heuristic_summaries, provider: embedding.Provider | None = None, index_code: bool = False, cache: embedding.EmbeddingCache | None = None, settings: Settings = DEFAULTS) -> tuple[int, int]:
-    """Upsert ``files`` (file, text) and, with ``index_path``, rebuild the index; (files with chunks, chunks)."""
+    """Upsert ``files`` (file, text) and, with ``index_path``, bring the index up to date; (files with chunks, chunks)."""
     chunks = chunk_files(files, cap=settings.max_chunk_lines, window=settings.window_lines, overlap=settings.overlap_lines)
     rows = retrieval_text(enriched(files, chunks, summaries, settings), index_code)
     # What is stored is cut; what is embedded and indexed is not.
     rows = rows.withColumn("code_snippet", F.substring("code_snippet", 1, settings.payload_chars))
-    known = cache.read() if cache is not None else None
-    rows, added = embedding.embed(rows, known, provider or embedding.pseudo_provider(settings.embedding_dim), "retrieval_text")
-    rows = rows.persist()
+    # Without a cache, vectors are kept beside the store until its rows are written, so that no text is asked for twice.
+    vectors = cache or embedding.EmbeddingCache(store.spark, f"{store.path}-vectors-{uuid.uuid4().hex}")
+    rows = embedding.embedded(rows, vectors, provider or embedding.pseudo_provider(settings.embedding_dim), "retrieval_text").persist()
     n_files, n_chunks = rows.select("file_path").distinct().count(), store.upsert(rows)
-    if cache is not None:
-        cache.append(added)
-    rows.unpersist()
     if index_path is not None:
-        build_index(store, index_path)
+        update_index(store, rows, index_path)
+    rows.unpersist()
+    if cache is None:
+        vectors.drop()
     return n_files, n_chunks
 
 
-def build_index(store: ChunkStore, index_path: str) -> None:
-    """Index all chunks of the store, as the last step of an ingestion."""
-    bm25.build_index(store.read(), "chunk_id", "retrieval_text").save(index_path)
+def update_index(store: ChunkStore, rows: DataFrame, index_path: str) -> None:
+    """Bring the index up to date with ``rows``, which the store has just taken; one that is not there yet is built of the whole store."""
+    kept = IndexStore(store.spark, index_path)
+    if kept.versions():
+        kept.upsert(rows, "chunk_id", "retrieval_text")
+    else:
+        kept.write(bm25.build_index(store.read(), "chunk_id", "retrieval_text"))
 
 
 def ingest(spark: SparkSession, root: str, store_path: str, extensions: str = "*", max_files: int | None = None, reset: bool = False, **options) -> tuple[int, int]:
@@ -87,7 +93,7 @@ def ingest(spark: SparkSession, root: str, store_path: str, extensions: str = "*
 def reset_store(spark: SparkSession, store_path: str) -> None:
     """Drop chunks and index."""
     ChunkStore(spark, f"{store_path}/chunks").reset()
-    bm25.Bm25Index.drop(spark, f"{store_path}/index")
+    IndexStore(spark, f"{store_path}/index").reset()
 
 
 def reingest(spark: SparkSession, root: str, store_path: str, **options) -> dict[str, object]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.operators.logs import LOG_SCHEMA, entry_json
-from tesserine.plans.ingest import build_index, ingest_files
+from tesserine.plans.ingest import ingest_files
 from tesserine.sources import discovery
 from tesserine.sources.store import ChunkStore
 
@@ -19,20 +19,18 @@ def source_files(spark: SparkSession, root: str, extensions: str = "*", files_pe
 
 
 def start_ingest(files: DataFrame, store_path: str, checkpoint: str, **options):
-    """Upsert each micro-batch; an upsert that is repeated after a failure changes nothing. The index is built afterwards (``ingest_stream``)."""
+    """Upsert each micro-batch into store and index; one that is repeated after a failure changes nothing."""
 
     def flush(batch: DataFrame, _: int) -> None:
-        ingest_files(batch, ChunkStore(batch.sparkSession, f"{store_path}/chunks"), None, **options)
+        ingest_files(batch, ChunkStore(batch.sparkSession, f"{store_path}/chunks"), f"{store_path}/index", **options)
 
     return files.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def ingest_stream(files: DataFrame, store_path: str, checkpoint: str, **options) -> int:
-    """Ingest all that is there in micro-batches, then index the store once; the number of chunks."""
+    """Ingest all that is there in micro-batches; the number of chunks."""
     start_ingest(files, store_path, checkpoint, **options).awaitTermination()
-    store = ChunkStore(files.sparkSession, f"{store_path}/chunks")
-    build_index(store, f"{store_path}/index")
-    return store.count()
+    return ChunkStore(files.sparkSession, f"{store_path}/chunks").count()
 
 
 def log_stream(spark: SparkSession, path: str) -> DataFrame:

@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserine.functions import ids, tags
-from tesserine.operators import batching, bm25, embedding, evals, files, logs, prefetch
+from tesserine.operators import batching, embedding, evals, files, logs, prefetch
 from tesserine.plans import catalog, evaluate
 from tesserine.plans.ingest import ingest, reingest, status
 from tesserine.sources import discovery
+from tesserine.sources.index_store import IndexStore
 from tesserine.sources.store import ChunkStore, last_write_wins
 from tesserine.streaming import ingest as streamed
 from tesserine.streaming import prefetch as stream_prefetch
@@ -68,8 +69,8 @@ def test_paths_below_the_root(spark, tmp_path):
     assert places == {("proj/top.txt", "proj", "proj", "top"), ("proj/src/a.txt", "proj/src", "src", "a"), ("proj/src/lib/deep/b.txt", "proj/src/lib/deep", "src", "b")}
     ids = [{r["chunk_id"] for r in s.collect()} for s in stores]
     assert ids[0] == ids[1] and cache.read().count() == 3
-    index = bm25.Bm25Index.current(spark, str(tmp_path / "stream" / "index"))
-    assert index is bm25.Bm25Index.current(spark, str(tmp_path / "stream" / "index")) and index.stats.first()["n"] == 3
+    index = IndexStore(spark, str(tmp_path / "stream" / "index")).current()
+    assert index is IndexStore(spark, str(tmp_path / "stream" / "index")).current() and index.stats.first()["n"] == 3
 
 
 def test_store_of_many_upserts(spark, tmp_path):

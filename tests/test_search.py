@@ -2,10 +2,12 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tesserine.operators import bm25, fusion, vectors
 from tesserine.plans import context, search
+from tesserine.sources.index_store import IndexStore
 
 
 def test_bm25_formula(spark):
@@ -26,12 +28,102 @@ def test_bm25_formula(spark):
     assert got == expected
 
 
-def test_bm25_save_and_load(spark, tmp_path):
-    index = bm25.build_index(spark.createDataFrame([(1, "one two"), (2, "two three")], "d long, t string"), "d", "t")
-    index.save(str(tmp_path))
-    again = bm25.Bm25Index.load(spark, str(tmp_path))
-    q = spark.createDataFrame([(1, "three")], "query_id long, text string")
-    assert bm25.search(again, q, 5).collect() == bm25.search(index, q, 5).collect()
+def corpus_of(spark, n, common, seed=0):
+    """Documents of rare words, ``common`` of which share one word more."""
+    import random
+
+    r = random.Random(seed)
+    rows = [(i, " ".join([f"w{int(r.paretovariate(0.7)) % 500}" for _ in range(r.randint(0, 40))] + ["shared"] * (r.randint(1, 3) if i < common else 0))) for i in range(n)]
+    return spark.createDataFrame(rows, "d long, t string").repartition(3)
+
+
+def best(frame, k):
+    return [tuple(r) for r in bm25.ranked(frame, k).where("score > 1e-9").select("query_id", "rank", "id", "score").orderBy("query_id", "rank").collect()]
+
+
+@pytest.mark.parametrize("block", [4, 128])
+def test_bounded_search_equals_all_scores(spark, monkeypatch, block):
+    monkeypatch.setattr(bm25, "BLOCK", block)
+    docs = corpus_of(spark, 900, 700)
+    index = bm25.build_index(docs, "d", "t").persist()
+    queries = spark.createDataFrame([(1, "shared"), (2, "shared w1 w499"), (3, "w1 w2 w3 w3 shared"), (4, "w17 w33 w250 w4"), (5, "none of them"), (6, " ".join(f"w{i}" for i in range(60))), (7, "")], "query_id long, text string")
+    full = bm25.scores(index, queries)
+    for k in (1, 40, 2000):
+        assert best(bm25.best_scores(index, queries, k), k) == best(full, k)
+    few, all_ = (f.where("query_id = 1").count() for f in (bm25.best_scores(index, queries.where("query_id = 1"), 3), full))
+    assert all_ >= 700 and (block > 4 or few < 200)
+    monkeypatch.setattr(bm25, "MOST_WEIGHTS", 2)
+    assert best(bm25.best_scores(index, queries, 7), 7) == best(full, 7)
+    index.unpersist()
+    # A word in most documents of a corpus where most words are so: its weight is negative.
+    few = bm25.build_index(spark.createDataFrame([(i, "a b c" if i else "a b c d") for i in range(9)], "d long, t string"), "d", "t")
+    q = spark.createDataFrame([(1, "a d"), (2, "d b c")], "query_id long, text string")
+    assert [tuple(r) for r in bm25.ranked(bm25.best_scores(few, q, 3), 3).orderBy("query_id", "rank").collect()] == [tuple(r) for r in bm25.ranked(bm25.scores(few, q), 3).orderBy("query_id", "rank").collect()]
+
+
+def shuffled_rows(frame):
+    """Rows that the exchanges of an executed plan wrote."""
+    frame.collect()
+    total, todo = 0, [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        for inner in ("executedPlan", "plan"):
+            if node.getClass().getSimpleName() in ("AdaptiveSparkPlanExec", "ShuffleQueryStageExec", "BroadcastQueryStageExec"):
+                try:
+                    todo.append(getattr(node, inner)())
+                    break
+                except Exception:  # noqa: BLE001, S112
+                    continue
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            total += node.metrics().get("shuffleRecordsWritten").get().value()
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return total
+
+
+def test_rows_shuffled_do_not_grow_with_documents_that_share_a_term(spark):
+    queries = spark.createDataFrame([(1, "shared w1"), (2, "w2 shared")], "query_id long, text string")
+    rows = []
+    for common in (300, 2400):
+        index = bm25.build_index(corpus_of(spark, 2500, common), "d", "t").persist()
+        index.blocks().count()
+        rows.append(shuffled_rows(bm25.search(index, queries, 3)))
+        index.unpersist()
+    # Four shards hand on nine documents a query, in the first pass and in the second.
+    assert max(rows) <= 2 * 2 * 4 * 9 + 60 and abs(rows[1] - rows[0]) < 40, rows
+
+
+def test_index_on_disk_equals_one_built_anew(spark, tmp_path):
+    import random
+
+    r = random.Random(1)
+    kept, docs = IndexStore(spark, str(tmp_path / "i")), {}
+    schema = "d long, t string"
+    for step in range(12):
+        new = {r.randrange(40): " ".join(f"w{r.randrange(15)}" for _ in range(r.randint(0, 12))) or None for _ in range(6)}
+        docs |= new
+        kept.upsert(spark.createDataFrame(list(new.items()), schema), "d", "t")
+        if step in (3, 7):
+            void = r.sample(sorted(docs), 3)
+            kept.delete(spark.createDataFrame([(i,) for i in void], "id long"))
+            docs = {i: t for i, t in docs.items() if i not in void}
+        if step not in (0, 4, 7, 11):
+            continue
+        again, built = kept.read(), bm25.build_index(spark.createDataFrame(list(docs.items()), schema), "d", "t")
+        rows = lambda frame, *columns: sorted(tuple(x) for x in frame.select(*columns).collect())
+        assert rows(again.postings, "id", "term", "tf", "dl") == rows(built.postings, "id", "term", "tf", "dl")
+        assert rows(again.terms, "term", "df") == rows(built.terms, "term", "df")
+        assert [round(x, 9) for x in again.stats.first()] == [round(x, 9) for x in built.stats.first()]
+        q = spark.createDataFrame([(1, "w1 w2 w14"), (2, "w3")], "query_id long, text string")
+        assert rows(bm25.search(again, q, 5), "query_id", "rank", "id", "score") == rows(bm25.search(built, q, 5), "query_id", "rank", "id", "score")
+    assert len(kept.versions()) <= IndexStore.MAX_DELTAS + 1
+    loaded = kept.current()
+    assert loaded is kept.current()
+    kept.delete(spark.createDataFrame([(i,) for i in docs], "id long"))
+    assert kept.current() is not loaded and kept.current().postings.count() == 0
+    assert bm25.search(kept.current(), q, 5).count() == 0
+    kept.reset()
+    assert kept.versions() == []
 
 
 def test_vectors(spark):
