@@ -30,11 +30,22 @@ from tesserine.llm.common import bound_batches
 from tesserine.llm.word_bpe import SPLIT_SUFFIXES, WordBpe
 
 
+#: Characters of a run that are worth a look-up of the whole of it.
+LEAST_RUN = 3
+
+
 @lru_cache(2)
 def tokenizer(path: str, rows: bool = True) -> WordBpe:
     return WordBpe(path, rows=rows)
 
 
+def _kind(c: str) -> str:
+    """The class of a character of which pre-tokens are runs; "" for others, and for the apostrophe."""
+    if c.isalpha():
+        return "letter"
+    return "" if c.isspace() or c.isnumeric() or c == "'" or unicodedata.category(c)[0] not in "PS" else "mark"
+
+
 def _composes(text: str, k: int) -> bool:
     """Whether the character at ``k`` may be composed with what is before it."""
     c = text[k]
@@ -77,6 +88,8 @@ class PrefixCounts:
     def _any_character(self) -> None:
         """The table of a text whose pre-tokens numpy does not find, one piece between special tokens after the other."""
         self.counts, ends, begin, before = np.zeros(len(self.text) + 1, np.int64), [], 0, 0
+        # All pre-tokens are learned at once; what is left to learn are prefixes that end otherwise.
+        self.model.words([w for w in self.model.odd_pre_tokens(self.text) if not isinstance(w, int)])
         specials = [(m.start(), m.end()) for m in self.model.special_at.finditer(self.text)] if self.model.special_at else []
         for start, end in [*specials, (len(self.text), len(self.text))]:
             # Part of a special token's string is plain text, and joins what is before it.
@@ -96,9 +109,16 @@ class PrefixCounts:
         # A stretch from one safe place to the next holds at most one pre-token that is not closed.
         k = begin
         while k < more:
+            if (stop := self._fill(at, k, end, base)) > k:
+                k = stop
             k += 1
             words = model.plain_pre_tokens(text[at:k])
             self.counts[k] = base + self._count(words)
+            if len(words) > 1 and k < end and self._letters(words[-1], k):
+                # What is before these letters is settled: no apostrophe takes more than two along.
+                at, base = k - len(words[-1].decode()), base + self._count(words[:-1])
+                ends.append(at)
+                words = words[-1:]
             if k > end or (k < end and _composes(text, k)):
                 continue
             if k == end or not words or self._closes(at, k, words):
@@ -108,6 +128,31 @@ class PrefixCounts:
                     at, base = k, int(self.counts[k])
         return ends, int(self.counts[end])
 
+    def _letters(self, word: bytes, k: int) -> bool:
+        """Whether the pre-token is the letters before ``k``, more of them than an apostrophe takes."""
+        word = word.decode("utf-8", "replace")
+        own = self.text[max(0, k - len(word)) : k]
+        return len(word) > 3 and own.isalpha() and own.lower() == word
+
+    def _fill(self, at: int, k: int, end: int, base: int) -> int:
+        """Fill the counts after ``k`` in a run of letters, or of marks, that begins at ``at``, from the row of the whole run; where it got to."""
+        text = self.text
+        if at >= end:
+            return k
+        kind = _kind(text[at])
+        stop = at
+        while kind and stop < end and _kind(text[stop]) == kind and (stop == at or not _composes(text, stop)):
+            stop += 1
+        if stop - k < LEAST_RUN:
+            return k
+        words = self.model.plain_pre_tokens(text[at:stop])
+        size = np.array([len(c.lower().encode()) for c in text[at:stop]])
+        if len(words) != 1 or len(words[0]) != size.sum():
+            return k
+        last = np.cumsum(size) - 1
+        self.counts[k + 1 : stop] = base + self.model.row(words[0])[1][last[k - at : stop - 1 - at]]
+        return stop - 1
+
     def _closes(self, at: int, k: int, words: list[bytes]) -> bool:
         """Whether a pre-token ends before ``k``: with the next character the words so far stay as they are."""
         stop = k + 1
@@ -121,7 +166,7 @@ class PrefixCounts:
         return not (words[-1] == b"'" and tail[:1].isalpha()) and not (words[-2:-1] == [b"'"] and any(f"'{words[-1].decode('utf-8', 'replace')}{tail}".startswith(s.decode()) for s in SPLIT_SUFFIXES))
 
     def _count(self, words: list[bytes]) -> int:
-        return int(self.model.cache.length[self.model.words(words)].sum()) if words else 0
+        return sum(self.model.row(w)[0] for w in words)
 
     def count(self, length: int) -> int:
         """Tokens of the first ``length`` code points."""

@@ -50,6 +50,8 @@ SPLIT_SUFFIXES = {f"'{x}".encode() for x in SUFFIXES if len(x) > 1}
 END_OF_WORD = "</w>"
 #: Pairs of pieces of which it is remembered whether they may be neighbours.
 KNOWN_PAIRS = 1_000_000
+#: Pre-tokens of so many bytes of which the row of prefix counts is at hand.
+KNOWN_ROWS, KNOWN_BYTES = 50_000, 64
 
 
 def byte_names() -> dict[str, int]:
@@ -106,6 +108,7 @@ class WordBpe:
             self.halves[i], self.rank[i], self.merged[x, y] = (x, y), rank, rank
             raw[i], ends[i] = raw[x] + raw[y], ends[y]
         self.known: dict[int, bool] = {}
+        self.known_rows: dict[bytes, tuple[int, np.ndarray]] = {}
         good: dict[int, bool] = {}
         for i in raw:  # halves come before what is made of them
             good[i] = i not in self.halves or (all(good[x] for x in self.halves[i]) and self._side_by_side(*self.halves[i], self.rank[i]))
@@ -212,6 +215,20 @@ class WordBpe:
         end = np.cumsum([len(w) for w in words], dtype=np.int64)
         return self.entries(data, end - np.diff(end, prepend=0), end)
 
+    def row(self, word: bytes) -> tuple[int, np.ndarray]:
+        """The number of tokens of a pre-token, and the counts of its prefixes."""
+        found = self.known_rows.get(word)
+        if found is None:
+            # Learning the word may replace the arrays of the cache, so it comes first.
+            entry = int(self.words([word])[0])
+            at = self.cache.key_start[entry]
+            found = int(self.cache.length[entry]), self.cache.row_pool[at : at + len(word)].copy()
+            if len(word) <= KNOWN_BYTES:
+                if len(self.known_rows) >= KNOWN_ROWS:
+                    self.known_rows.clear()
+                self.known_rows[word] = found
+        return found
+
     def encode(self, text: str) -> list[int]:
         """Ids of any text, one pre-token after the other."""
         if not self.rows:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from tesserine.llm import bag_minhash, common, exact_dedup, language_id, packing, quality_cnn, quality_rules, repeated_spans, sentence_pieces, token_counts, warc  # noqa: E402
+from tesserine.llm import bag_minhash, common, exact_dedup, language_id, packing, quality_cnn, quality_rules, queries, repeated_spans, sentence_pieces, token_counts, warc  # noqa: E402
 from tesserine.llm.blocks import IdCache, text_blocks  # noqa: E402
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -66,6 +66,22 @@ def test_quality_counts(spark):
     assert quality_rules.quality_rules(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op4_quality_rules", "op5_exact_dedup", "op8_warc"])
+def test_queries_equal_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    try:
+        for t in ("documents", "pages"):
+            con.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
+    except duckdb.IOException:
+        pytest.skip("needs the test tables")
+    got, expected = queries.QUERIES[name](spark, data).toPandas(), con.sql(queries.SQL[name]).df()
+    key = "page_id" if "page_id" in got.columns else "doc_id"
+    plain = lambda f: f[sorted(got.columns)].astype(object).where(lambda x: x.notna(), None).sort_values(key).values.tolist()
+    assert sorted(got.columns) == sorted(expected.columns) and plain(got) == plain(expected)
+
+
 def test_exact_copies(spark):
     texts = cases()
     got = exact_dedup.exact_dedup(frame(spark, texts)).collect()
@@ -210,6 +226,33 @@ def test_prefixes_of_texts_with_any_character(monkeypatch):
     assert token_counts.PrefixCounts(model, texts[0]).fit(2) == 0
 
 
+def test_prefix_tables_while_the_cache_grows_or_is_emptied(spark):
+    library = token_counts.WordBpe(WORDS, rows=False).library
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("абвгдежзиклмнопрст") for _ in range(5))
+    # More pre-tokens than the cache begins with room for, over several texts.
+    texts = [" ".join(word() for _ in range(9000)) for _ in range(4)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    for row in token_counts.truncate(rows, WORDS, 20_000).collect():
+        left = row["text"]
+        assert count(left) <= 20_000 < count(texts[row["doc_id"]][: len(left) + 7])
+    small = token_counts.WordBpe(WORDS, cache=300)
+    for _ in range(40):
+        t = " ".join(word()[: r.randint(1, 5)] for _ in range(30)) + " it's 4–2"
+        table = token_counts.PrefixCounts(small, t)
+        assert [table.count(k) for k in range(len(t) + 1)] == [count(t[:k]) for k in range(len(t) + 1)]
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000 + "–", "–" * 200_000 + "x", "'" + "abc" * 60_000 + "–", "é=" + "Zm9v" * 5000 + "–x"])
+def test_prefix_tables_of_runs_without_a_break(text):
+    model = token_counts.WordBpe(WORDS)
+    table = token_counts.PrefixCounts(model, text)
+    r = random.Random(1)
+    for k in [0, 1, 2, 7, len(text) - 1, len(text), *(r.randrange(len(text)) for _ in range(12))]:
+        assert table.count(k) == len(model.library.encode(text[:k], add_special_tokens=False).ids)
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
