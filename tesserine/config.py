@@ -33,6 +33,7 @@ class Settings:
     prefetch_debounce_ms: int = 1800
     rerank_max: int = 6
     rerank_gap: float = 0.02
+    rerank_timeout_ms: int = 350
     embedding_dim: int = 768
     embed_batch_tokens: int = 18_000
     max_file_mb: int = 2

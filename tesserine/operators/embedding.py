@@ -14,21 +14,21 @@ Provider = Callable[[DataFrame], DataFrame]
 
 
 class EmbeddingCache:
-    """Vectors by the digest of their text, as a Parquet table that is only appended to."""
+    """Vectors (or what else a provider gives, in ``column``) by the digest of their text, as a Parquet table that is only appended to."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, column: str = "vector"):
+        self.spark, self.path, self.column = spark, path.rstrip("/"), column
 
     def _exists(self) -> bool:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
     def read(self) -> DataFrame | None:
-        """(sha, vector), each digest once; None if there is no cache yet."""
+        """(sha, ``column``), each digest once; None if there is no cache yet."""
         return self.spark.read.parquet(self.path).dropDuplicates(["sha"]) if self._exists() else None
 
     def append(self, added: DataFrame) -> None:
-        added.select("sha", "vector").write.mode("append").parquet(self.path)
+        added.select("sha", self.column).write.mode("append").parquet(self.path)
 
     def drop(self) -> None:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -61,9 +61,17 @@ def embed(rows: DataFrame, cache: DataFrame | None = None, provider: Provider |
     return keyed.join(known, "sha", "left").drop("sha"), added
 
 
-def embedded(rows: DataFrame, cache: EmbeddingCache, provider: Provider, text: str = "text") -> DataFrame:
-    """``rows`` with ``vector``. What the provider gives is written to the cache before it is used, so whatever reads the result, no text is asked for again."""
+def answered(rows: DataFrame, cache: EmbeddingCache, provider: Provider, text: str, otherwise: Column | None = None) -> DataFrame:
+    """``rows`` with the cache's column.
+
+    Each distinct text that is not in the cache is asked for once, and what the
+    provider gives is written before it is used, so whatever reads the result asks
+    for nothing again.  Texts without an answer get ``otherwise`` and stay out of
+    the cache, so the next run asks for them.
+    """
+    column = cache.column
     keyed = rows.withColumn("sha", text_key(F.col(text)))
     asked, known = keyed.select("sha", F.col(text).alias("text")).dropDuplicates(["sha"]), cache.read()
-    cache.append(provider(asked if known is None else asked.join(known, "sha", "left_anti")))
-    return keyed.join(cache.read(), "sha", "left").drop("sha")
+    cache.append(provider(asked if known is None else asked.join(known, "sha", "left_anti")).where(F.col(column).isNotNull()))
+    full = keyed.join(cache.read(), "sha", "left").drop("sha")
+    return full if otherwise is None else full.withColumn(column, F.coalesce(column, otherwise))

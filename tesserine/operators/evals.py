@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranks in a sketch of a group are right to one in so many.
+SKETCH = 10_000
+
 
 def query_metrics(run: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     """recall, hit and rr of every query of ``expected`` (query_id, path); ``run`` has query_id, path and rank.
@@ -61,14 +64,34 @@ def averaged(metrics: DataFrame) -> DataFrame:
 def percentiles(values: DataFrame, group: str, value: str, wanted: list[float]) -> DataFrame:
     """Nearest-rank percentiles (rank p/100 * (n - 1), halves to even) a group: p<wanted> columns.
 
-    Equal values are counted before the window, so its input is the number of
-    distinct values, not of rows.
+    A sketch of each group gives, for each percentile, a range of values that holds
+    it for certain (its ranks are right to one in ``SKETCH``; the range takes eight
+    on both sides, and all of a group of at most so many rows).  A second pass counts what is below the range and the equal
+    values in it, in each task first; only the latter, a few in ``SKETCH`` of a
+    group, are put in order.
     """
-    counted = values.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy(group).orderBy(value)
-    summed = counted.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy(group)))
-    at = lambda p: F.bround(F.lit(p / 100.0) * (F.col("n") - 1), 0)
-    return summed.groupBy(group).agg(*(F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(f"p{p:g}") for p in wanted))
+    rows = values.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    shares = [p / 100.0 for p in wanted]
+    margin = 8.0 / SKETCH
+    edges = [F.lit(max(0.0, q - margin)) for q in shares] + [F.lit(min(1.0, q + margin)) for q in shares]
+    sketch = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", F.array(*edges), SKETCH).alias("edge"))
+    ranges = [
+        F.struct(
+            F.lit(i).alias("i"), F.bround(F.lit(q) * (F.col("n") - 1), 0).alias("at"), F.when((F.col("n") > SKETCH) & F.lit(q > margin), F.col("edge")[i]).alias("low"), F.when((F.col("n") > SKETCH) & F.lit(q < 1 - margin), F.col("edge")[i + len(shares)]).alias("high")
+        )
+        for i, q in enumerate(shares)
+    ]
+    wide = sketch.select(F.col("g").alias("h"), F.explode(F.array(*ranges)).alias("r")).select("h", "r.*")
+    # Below the range, in it, above it.
+    place = F.when(F.col("v") < F.col("low"), 0).when(F.col("v") > F.col("high"), 2).otherwise(1)
+    near = rows.join(wide, F.col("g").eqNullSafe(F.col("h"))).withColumn("place", place)
+    counted = near.groupBy("g", "i", "place", F.when(F.col("place") == 1, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"), F.first("at").alias("at"))
+    upto = F.sum("c").over(Window.partitionBy("g", "i").orderBy("place", "v"))
+    found = counted.withColumn("upto", upto).where(F.col("upto") > F.col("at")).groupBy("g", "i").agg(F.min_by("v", "upto").alias("v"))
+    # Were a sketch worse than it says, the value would be missing: better no result than a wrong one.
+    sure = F.when(F.col("v").isNotNull(), F.col("v")).otherwise(F.raise_error(F.lit("a percentile is outside of the range of its sketch")))
+    each = found.withColumn("v", sure).groupBy("g").agg(*(F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"p{p:g}") for i, p in enumerate(wanted)))
+    return each.withColumnRenamed("g", group)
 
 
 def latency_summary(values: DataFrame, group: str, value: str) -> DataFrame:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.config import DEFAULTS
 
+#: Calls of a scorer that run side by side in a task.
+SCORERS = 4
+
 
 def rrf(vector: DataFrame, lexical: DataFrame, k: int = DEFAULTS.rrf_k) -> DataFrame:
     """Reciprocal-rank fusion of two lists: query_id, id, score, vector_score and rank.
@@ -64,6 +70,60 @@ def overlap_score(query: Column, snippet: Column) -> Column:
     return F.size(F.array_intersect(terms, tokens(snippet))) / F.greatest(F.size(terms), F.lit(1))
 
 
+def overlap_batch(queries: list[str], snippets: list[str]) -> list[float]:
+    """``overlap_score`` of pairs, as a scorer of ``reranked_in_time``."""
+    import re
+
+    words = lambda t: {w for w in re.findall(r"[a-z0-9_-]+", t.lower()) if len(w) >= 2}
+    return [len(words(q) & words(s)) / max(1, len(words(q))) for q, s in zip(queries, snippets, strict=True)]
+
+
+def reranked_in_time(hits: DataFrame, queries: DataFrame, scorer: Callable[[list[str], list[str]], list[float]] = overlap_batch, budget_ms: int = DEFAULTS.rerank_timeout_ms, most: int = DEFAULTS.rerank_max, gap: float = DEFAULTS.rerank_gap, pairs: int = 2) -> DataFrame:
+    """``reranked`` with a time budget a query; ``reranked`` (boolean) says which queries were scored in full.
+
+    ``scorer`` (a model, a service) gets (texts, snippets), ``pairs`` at a time, in
+    the task that holds the query's first hits.  A query whose scores are not all
+    there when its budget ends keeps the fused order, as does one for which the
+    scorer fails; so do those that are skipped because the first is well ahead.  A
+    call that is under way when time ends is left behind, and not waited for.
+    """
+    order = Window.partitionBy("query_id").orderBy("rank")
+    first = hits.where(F.col("rank") <= F.lit(max(most, 2))).withColumn("__lead", F.col("score") - F.lead("score").over(order))
+    asked = first.groupBy("query_id").agg(
+        F.max(F.when(F.col("rank") == 1, F.coalesce(F.col("__lead") >= gap, F.lit(False)))).alias("skip"),
+        F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", F.coalesce("code_snippet", F.lit("")).alias("snippet"))))).alias("top"),
+    )
+    asked = asked.where(~F.coalesce("skip", F.lit(False))).join(queries.select("query_id", "text"), "query_id").select("query_id", F.coalesce("text", F.lit("")).alias("text"), "top")
+    name = hits.schema["query_id"].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = ThreadPoolExecutor(SCORERS)
+        for batch in batches:
+            rows = []
+            for query, text, top in zip(*(batch.column(c).to_pylist() for c in ("query_id", "text", "top")), strict=True):
+                end, found = time.monotonic() + budget_ms / 1000, []
+                calls = [pool.submit(scorer, [text] * len(some), some) for some in ([t["snippet"] for t in top[k : k + pairs]] for k in range(0, len(top), pairs))]
+                try:
+                    for call in calls:
+                        found += call.result(max(0.0, end - time.monotonic()))
+                except Exception:  # noqa: BLE001 - late or failed: the fused order stays
+                    for call in calls:
+                        call.cancel()
+                    if any(call.running() for call in calls):
+                        pool.shutdown(wait=False)
+                        pool = ThreadPoolExecutor(SCORERS)
+                    continue
+                rows += [(query, t["rank"], float(s)) for t, s in zip(top, found, strict=True)]
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column("query_id").type), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.float64())], ["query_id", "rank", "rerank_score"])
+        pool.shutdown(wait=False)
+
+    scored = asked.mapInArrow(score, f"query_id {name}, rank int, rerank_score double")
+    new = Window.partitionBy("query_id").orderBy(F.col("rank") > most, F.col("rerank_score").desc_nulls_last(), "rank")
+    done = F.max(F.col("rerank_score").isNotNull()).over(Window.partitionBy("query_id"))
+    return hits.join(scored, ["query_id", "rank"], "left").withColumn("reranked", done).withColumn("rank", F.row_number().over(new))
+
+
 def reranked(hits: DataFrame, queries: DataFrame, most: int = DEFAULTS.rerank_max, gap: float = DEFAULTS.rerank_gap, score: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
     """The first ``most`` hits of a query by a second score, the rest after them in their order.
 

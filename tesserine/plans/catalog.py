@@ -605,6 +605,28 @@ def ttl_cache_lookup(table):
     return prefetch.cached(table("events"), "user_id", "ts", "event_id", F.col("event_type") == "view").select("event_id", "hit")
 
 
+@query("""WITH d AS (SELECT doc_id, '_' || doc_id AS n, doc_id % 7 AS skip, doc_id % 10 AS callee, list_filter(regexp_split_to_array(coalesce(text, ''), '[^a-z]+'), lambda w: length(w) > 3)[1:3] AS w FROM documents),
+u AS (
+  SELECT doc_id, 'struct' AS kind, 's' || n AS name, 1 AS start_line, 1 + len(w) + 1 AS end_line, '' AS calls, '' AS structs FROM d
+  UNION ALL SELECT doc_id, 'function', 'p' || n, len(w) + skip + 3, len(w) + skip + 6, 'g' || callee, '' FROM d
+  UNION ALL SELECT doc_id, 'function', 'k' || n, len(w) + skip + 8, len(w) + skip + 10, array_to_string(list_concat(w, ['h', 'h']), ','), 's' || n FROM d)
+SELECT doc_id, kind, name, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, calls, structs FROM u""")
+def c_grammar_units(table):
+    """Units of C files that are made of each document's id and first words: a struct, a function that gives a function, one with declarations of its parameters; a typedef'd struct and variables between them are none."""
+    n = F.concat(F.lit("_"), F.col("doc_id").cast("string"))
+    words = F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), "[^a-z]+"), lambda w: F.length(w) > 3), 1, 3)
+    source = F.concat(
+        F.lit("struct s"), n, F.lit(" {\n"), F.array_join(F.transform(words, lambda w: F.concat(F.lit("  int f_"), w, F.lit(";\n"))), ""), F.lit("};\n"),
+        F.repeat(F.lit("static int v, *w[2] = { 0 };\n"), (F.col("doc_id") % 7).cast("int")),
+        F.lit("char *(*p"), n, F.lit("(int k))(void) /* { */\n{\n  return p->q(1), g"), (F.col("doc_id") % 10).cast("string"), F.lit("(\"}\");\n}\n"),
+        F.lit("typedef struct { int a; } t"), n, F.lit(";\nint k"), n, F.lit("(a, b) struct s"), n, F.lit(" *a; char b; { "),
+        F.array_join(F.transform(words, lambda w: F.concat(w, F.lit("(b); "))), ""), F.lit("h(a);\n  return h(b);\n}\n"),
+    )
+    files = table("documents").select(F.col("doc_id").cast("string").alias("file"), source.alias("text"))
+    joined = lambda c: F.array_join(c, ",").alias(c.split("_")[0] if c.startswith("calls") else "structs")
+    return c_units.c_units(files).select(F.col("file").cast("long").alias("doc_id"), "kind", "name", "start_line", "end_line", joined("calls_functions"), joined("uses_structs"))
+
+
 # ------------------------------------------------- summaries and contexts
 
 HEURISTIC_SQL = r"""WITH f AS (SELECT page_id, url, list_filter(list_transform(regexp_extract_all(coalesce(html, ''), 'href="([^"]+)"', 1), lambda x: trim(x)), lambda x: x <> '') AS l FROM pages),

@@ -26,6 +26,18 @@ def heuristic_summaries(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("summary_text", text.three_sentences(text.heuristic_summary(name, F.col("phase"), F.col("include_headers"), F.col("file_ext"))))
 
 
+def provided_summaries(provider: embedding.Provider, cache: embedding.EmbeddingCache) -> Summaries:
+    """Summaries by a provider of (sha, summary_text), for instance ``providers.remote``; where it gives none, the default ones."""
+
+    def summaries(chunks: DataFrame) -> DataFrame:
+        asked = heuristic_summaries(chunks).withColumnRenamed("summary_text", "__instead")
+        found = embedding.answered(asked, cache, provider, "code_snippet")
+        own = text.three_sentences(F.col("summary_text"))
+        return found.withColumn("summary_text", F.when(F.trim(F.coalesce("summary_text", F.lit(""))) != "", own).otherwise(F.col("__instead"))).drop("__instead")
+
+    return summaries
+
+
 def enriched(files: DataFrame, chunks: DataFrame, summaries: Summaries = heuristic_summaries, settings: Settings = DEFAULTS) -> DataFrame:
     """Stored rows: chunks of ``files`` with path parts, phase, headers, summary, prefix and ids."""
     headers = files.select("file", code.include_headers(F.col("text")).alias("include_headers"))
@@ -62,7 +74,8 @@ def ingest_files(files: DataFrame, store: ChunkStore, index_path: str | None, su
     rows = rows.withColumn("code_snippet", F.substring("code_snippet", 1, settings.payload_chars))
     # Without a cache, vectors are kept beside the store until its rows are written, so that no text is asked for twice.
     vectors = cache or embedding.EmbeddingCache(store.spark, f"{store.path}-vectors-{uuid.uuid4().hex}")
-    rows = embedding.embedded(rows, vectors, provider or embedding.pseudo_provider(settings.embedding_dim), "retrieval_text").persist()
+    instead = ids.pseudo_embedding(F.col("retrieval_text"), settings.embedding_dim)
+    rows = embedding.answered(rows, vectors, provider or embedding.pseudo_provider(settings.embedding_dim), "retrieval_text", instead).persist()
     n_files, n_chunks = rows.select("file_path").distinct().count(), store.upsert(rows)
     if index_path is not None:
         update_index(store, rows, index_path)
