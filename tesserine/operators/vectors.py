@@ -1,15 +1,15 @@
-"""Exact vector search of a batch of queries against all rows, in blocks.
+"""Exact vector search of a batch of queries against all rows.
 
-A block of query vectors is a matrix of bounded size that goes to the tasks
-with the plan; each Arrow batch of the corpus is multiplied with it and keeps
-its best rows a query, so what is shuffled is ``limit`` rows a query and batch
-whatever the corpus holds.  There is no join.
+Up to ``BLOCK_QUERIES`` query vectors are a matrix of bounded size that goes to
+the tasks with the plan; each Arrow batch of the corpus is multiplied with it and
+keeps its best rows a query, so what is shuffled is ``limit`` rows a query and
+batch whatever the corpus holds, and there is no join.  More queries stay a
+DataFrame and meet the corpus in cells (``vector_index``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.operators.bm25 import DIGITS, ranked
+from tesserine.operators.vector_index import best_rows, exact
 
 BLOCK_QUERIES = 2048
 
@@ -32,19 +33,8 @@ def _best_of(matrix: np.ndarray, names: np.ndarray, limit: int, least: float | N
             vectors = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             norms = np.linalg.norm(vectors, axis=1)
             values = np.round(matrix @ vectors.T / np.where(norms == 0, 1, norms), DIGITS)
-            key = ids.to_numpy(zero_copy_only=False)
-            queries, rows, found = [], [], []
-            for q, line in enumerate(values):
-                keep = np.arange(len(line)) if least is None else np.flatnonzero(line >= least)
-                if len(keep) > limit:
-                    edge = np.partition(line[keep], len(keep) - limit)[len(keep) - limit]
-                    keep = keep[line[keep] >= edge]
-                    keep = keep[np.lexsort((key[keep], -line[keep]))][:limit]
-                queries.append(np.full(len(keep), q))
-                rows.append(keep)
-                found.append(line[keep])
-            rows = np.concatenate(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(names[np.concatenate(queries)]), ids.take(pa.array(rows)), pa.array(np.concatenate(found))], ["query_id", "id", "score"])
+            queries, rows, found = best_rows(values, ids.to_numpy(zero_copy_only=False), limit, least)
+            yield pa.RecordBatch.from_arrays([pa.array(names[queries]), ids.take(pa.array(rows)), pa.array(found)], ["query_id", "id", "score"])
 
     return corpus.select("id", "vector").mapInArrow(scan, schema)
 
@@ -58,22 +48,17 @@ def search(corpus: DataFrame, queries: DataFrame, limit: int, least: float | Non
     """
     if source_type and source_type != "all":
         corpus = corpus.where(F.col("source_type") == source_type)
-    n = queries.count()
-    parts = []
-    for block in range(max(1, -(-n // BLOCK_QUERIES))):
-        mine = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
-        if n > BLOCK_QUERIES:
-            mine = mine.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK_QUERIES))) == block)
-        rows = mine.collect()
-        if not rows:
-            continue
+    mine = queries.select("query_id", "vector").where(F.col("vector").isNotNull())
+    rows = mine.limit(BLOCK_QUERIES + 1).collect()
+    if len(rows) > BLOCK_QUERIES:
+        best = exact(corpus, mine, limit, least)
+    elif not rows:
+        return ranked(corpus.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0), limit)
+    else:
         matrix = np.array([r["vector"] for r in rows], np.float64)
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
         sized = corpus.where(F.size("vector") == matrix.shape[1])
-        parts.append(_best_of(matrix / np.where(norms == 0, 1, norms), np.array([r["query_id"] for r in rows]), limit, least, sized))
-    if not parts:
-        return ranked(corpus.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0), limit)
-    best = ranked(reduce(DataFrame.unionByName, parts), limit)
+        best = ranked(_best_of(matrix / np.where(norms == 0, 1, norms), np.array([r["query_id"] for r in rows]), limit, least, sized), limit)
     if folder:
         best = best.join(corpus.where(F.col("folder") == folder).select("id"), "id", "left_semi")
         best = ranked(best.drop("rank"), limit)

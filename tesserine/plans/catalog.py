@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserine.functions import code, ids, paths, tags, text
-from tesserine.operators import batching, bm25, c_units, chunking, embedding, evals, files, fusion, logs, prefetch, vectors
+from tesserine.operators import batching, bm25, c_units, chunking, embedding, evals, files, fusion, logs, prefetch, vector_index, vectors
 from tesserine.plans import context, search
 from tesserine.sources.store import last_write_wins
 
@@ -178,6 +178,14 @@ def vector_topk(table):
     return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
+@query(f"WITH {LISTS_SQL.format(k=10)} SELECT item_id, doc_id, score, r AS rank FROM vk")
+def vector_index_topk(table):
+    """The ten nearest vectors of each question through the coarse quantiser, with all of its lists, which is exact; fewer lists are tested for recall."""
+    index = vector_index.VectorIndex.build(corpus(table))
+    found = index.search(questions(table), 10, probes=len(index.centroids))
+    return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+
+
 @query(f"WITH {LISTS_SQL.format(k=50)}, {HYBRID[0]} SELECT item_id, doc_id, rank, round(score, 6) AS score, vector_score FROM fr")
 def rrf_fusion(table):
     """Both lists of 50 fused."""
