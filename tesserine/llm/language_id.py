@@ -40,23 +40,26 @@ from tesserine.llm.common import bound_batches
 
 LEARN_TEXTS = 64
 LEARN_BYTES = 48_000
+#: Code points of the pieces that learned texts are cut into, of which the sample takes some from all over the text.
+PIECE = 1000
 STRETCH = 1024
 UNKNOWN = "und"
 
 
 def learn_sample(docs: DataFrame, held_out: Column, doc_id: str, text: str, lang: str, texts: int = LEARN_TEXTS, size: int = LEARN_BYTES) -> dict[str, bytes]:
-    """Lower-cased labelled text of each language, bounded by ``texts`` and ``size``."""
+    """Lower-cased labelled text of each language: pieces of ``texts`` texts, in the order of a hash, ``size`` bytes at most."""
     usable = docs.where(~held_out & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    body = F.when(F.octet_length(text) > size, F.substring(F.regexp_replace(text, r"^\P{L}++", ""), 1, size)).otherwise(F.col(text))
     order = Window.partitionBy("lang").orderBy("hash", "text")
-    ranked = usable.select(F.col(lang).alias("lang"), F.lower(body).alias("text"), F.xxhash64(doc_id).alias("hash")).withColumn("rank", F.row_number().over(order))
-    # Texts before which the sample of their language is not full.
-    before = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    some = ranked.where(F.col("rank") <= texts).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < size)
+    ranked = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc_id).alias("hash")).withColumn("rank", F.row_number().over(order))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int")), lambda i: F.struct(i.alias("i"), F.lower(F.substring(F.col("text"), i * PIECE + 1, F.lit(PIECE))).alias("text")))
+    cut = ranked.where(F.col("rank") <= texts).select("lang", "rank", F.explode(pieces).alias("piece")).select("lang", "rank", "piece.*").where(F.col("text").rlike(r"\p{L}"))
+    hashed = Window.partitionBy("lang").orderBy(F.xxhash64("rank", "i"), "rank", "i")
+    upto = F.sum(F.octet_length("text") + 1).over(hashed.rowsBetween(Window.unboundedPreceding, 0))
+    some = cut.withColumn("upto", upto).where(F.col("upto") <= size)
     sample: dict[str, list[str]] = {}
-    for r in some.orderBy("lang", "rank").collect():
+    for r in some.orderBy("lang", "upto").collect():
         sample.setdefault(r["lang"], []).append(r["text"])
-    return {lang: "\n".join(found).encode()[:size].decode("utf-8", "ignore").encode() for lang, found in sorted(sample.items())}
+    return {lang: "\n".join(found).encode() for lang, found in sorted(sample.items())}
 
 
 class Symbols:

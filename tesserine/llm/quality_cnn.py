@@ -9,9 +9,8 @@ of the text are combined into one probability.
 A filter is a table of one value for each byte at each of its places, so the
 convolution is a sum of look-ups.  Training is plain back-propagation with
 Adam on a bounded sample: ``LEARN_TEXTS`` labelled rows at most, those with the
-least hash of their id.  It is deterministic.  A learned text is whole unless it
-is longer than ``LEARN_BYTES``, of which a chunk in its middle is learned then;
-what is scored is always whole.
+least hash of their id, as far as ``LEARN_BYTES`` go.  It is deterministic, and
+what is learned or scored is always whole.
 
 Defined results: a null or empty text is scored as one chunk without bytes;
 without labels, or with labels of one kind only, the score is the share of
@@ -26,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.llm.blocks import text_blocks
@@ -34,21 +33,22 @@ from tesserine.llm.common import bound_batches
 
 WIDTH, FILTERS, HIDDEN, STRIDE = 6, 12, 16, 128
 LEARN_TEXTS = 3000
-LEARN_BYTES = 32_768
-EPOCHS = 8
+#: The sample ends with the text that fills so many bytes; it is learned whole, like the others.
+LEARN_BYTES = 48 << 20
+STEPS = 1000
 BATCH = 24
 RATE = 4e-3
 
 
 def learn_sample(docs: DataFrame, labels: DataFrame, usable: Column, label: str, doc_id: str = "doc_id", text: str = "text", texts: int = LEARN_TEXTS, size: int = LEARN_BYTES):
-    """(texts, labels) of the bounded sample; ``usable`` is a condition on the id column, the only one that ``labels`` shares with it."""
+    """(whole texts, labels) of the bounded sample; ``usable`` is a condition on the id column, the only one that ``labels`` shares with it."""
     chosen = labels.where(usable & F.col(label).isNotNull()).select(F.col(doc_id).alias("__id"), F.col(label).alias("__label"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__label").limit(texts)
-    body = F.coalesce(F.col(text), F.lit(""))
-    part = F.when(F.octet_length(body) <= size, body).otherwise(F.substring(body, (F.length(body) / 2).cast("int") - size // 8, size // 4))
     # At most ``texts`` rows of two numbers.
-    met = docs.select(F.col(doc_id).alias("__doc"), part.alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
-    rows = met.select(F.col("__text").alias("t"), "__id", "__label").orderBy(F.xxhash64("__id"), "__id", "t").limit(texts).collect()
+    met = docs.select(F.col(doc_id).alias("__doc"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
+    first = met.select("t", "__id", "__label", F.xxhash64("__id").alias("__hash")).orderBy("__hash", "__id", "t").limit(texts)
+    before = F.sum(F.octet_length("t")).over(Window.orderBy("__hash", "__id", "t").rowsBetween(Window.unboundedPreceding, -1))
+    rows = first.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < size).orderBy("__hash", "__id", "t").collect()
     return [r["t"].encode() for r in rows], np.array([float(r["__label"]) for r in rows])
 
 
@@ -132,14 +132,14 @@ class Network:
         logit = (total * self.p["mean"] + np.maximum.reduceat(hidden, first, axis=0) * self.p["max"]).sum(axis=1) + self.p["b"]
         return 1 / (1 + np.exp(-logit.astype(np.float64)))
 
-    def gradients(self, data: np.ndarray, offsets: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, data: np.ndarray, offsets: np.ndarray, label: np.ndarray, weight: np.ndarray | float = 1.0) -> dict[str, np.ndarray]:
         chunk, text, first, blocks, line, where = self.pooled(data, offsets, places=True)
         before = chunk @ self.p["u"] + self.p["c"]
         hidden = np.maximum(before, 0)
         mean = np.add.reduceat(hidden, first, axis=0) / blocks[:, None]
         top = np.maximum.reduceat(hidden, first, axis=0)
         logit = mean @ self.p["mean"] + top @ self.p["max"] + self.p["b"]
-        d = ((1 / (1 + np.exp(-logit)) - label) / len(label)).astype(np.float32)
+        d = ((1 / (1 + np.exp(-logit)) - label) * weight / len(label)).astype(np.float32)
         g = {"mean": mean.T @ d, "max": top.T @ d, "b": d.sum(keepdims=True)}
         d_hidden = (d / blocks)[text][:, None] * self.p["mean"] + np.where(hidden == top[text], d[text][:, None] * self.p["max"], 0)
         d_hidden *= before > 0
@@ -154,8 +154,8 @@ class Network:
         return g
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Network:
-    """A network fitted to labelled texts."""
+def train(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 5) -> Network:
+    """A network fitted to labelled texts in about ``steps`` steps, however many there are; a label weighs by the root of its inverse share."""
     net = Network(seed)
     if len(set(labels.tolist())) < 2:
         net.constant = float(labels.mean()) if len(labels) else 0.5
@@ -164,6 +164,8 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     t = 0
+    weight = np.sqrt(np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())))
+    epochs = max(1, round(steps * BATCH / len(texts)))
     steps = epochs * -(-len(texts) // BATCH)
     for _ in range(epochs):
         order = rng.permutation(len(texts))
@@ -173,7 +175,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
             offsets = np.concatenate([[0], np.cumsum([len(texts[i]) for i in some])])
             t += 1
             rate = RATE * (1 - 0.95 * t / steps)
-            for name, g in net.gradients(data, offsets, labels[some]).items():
+            for name, g in net.gradients(data, offsets, labels[some], weight[some]).items():
                 first[name] += 0.1 * (g - first[name])
                 second[name] += 0.01 * (g * g - second[name])
                 net.p[name] -= (rate * (first[name] / (1 - 0.9**t)) / (np.sqrt(second[name] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)

@@ -397,8 +397,10 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
 
 def round_trip(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` under ``path``, read the archives back, and report the records; what is returned no longer needs the archives."""
+    """Write ``pages`` under ``path``, read the archives back, and report the records (an error if any is lost); what is returned no longer needs the archives."""
     write_warc(pages, path, min_bytes=min_bytes)
     records = checkpoint(read_warc(pages.sparkSession, path, with_payload=False).where("ok").drop("payload"))
     bound_batches(pages.sparkSession)
+    if (lost := pages.count() - records.count()) != 0:
+        raise RuntimeError(f"{lost} of the pages written to {path} cannot be read back")
     return records

@@ -544,7 +544,7 @@ def test_cross_parsing_equals_brute_force(monkeypatch):
 def test_quality_network(spark):
     rng = random.Random(4)
     texts = [(prose(rng.randint(5, 200), i), 1.0) if i % 2 else (prose(rng.randint(5, 200), i).replace(" ", "## "), 0.0) for i in range(160)]
-    net = quality_cnn.train([t.encode() for t, _ in texts[:120]], np.array([y for _, y in texts[:120]]), epochs=60)
+    net = quality_cnn.train([t.encode() for t, _ in texts[:120]], np.array([y for _, y in texts[:120]]), steps=300)
     docs = spark.createDataFrame([*((i, t) for i, (t, _) in enumerate(texts)), (900, None), (901, "")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in quality_cnn.classify(docs, net, [F.col("doc_id")]).collect()}
     right = sum((got[i]["score"] >= 0.5) == (y == 1) for i, (_, y) in enumerate(texts) if i >= 120)
@@ -556,7 +556,7 @@ def test_quality_network(spark):
 def test_scores_depend_on_the_text_alone(spark):
     rng = random.Random(7)
     texts = ["", "a", "x" * 127, "x" * 128, "y" * 123, "z" * 124, *(prose(rng.randint(1, 400), k) for k in range(60))]
-    net = quality_cnn.train([t.encode() for t in texts], np.array([k % 2 for k in range(len(texts))], float), epochs=2)
+    net = quality_cnn.train([t.encode() for t in texts], np.array([k % 2 for k in range(len(texts))], float), steps=2)
     def scores(some):
         raw = [t.encode() for t in some]
         return net.scores(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])).tolist()
