@@ -15,8 +15,9 @@ walks that start a phrase at the same place are one from there on), and so on
 until no stretch starts anew.  So the phrases are those of one walk over the text.
 
 What is learned is a bounded sample: of each language ``LEARN_TEXTS`` texts at
-most, those with the least hash of their id, and at most ``LEARN_BYTES`` bytes of
-each and of all of them, from the first letter on and cut between characters.
+most, those with the least hash of their id.  Texts of any length are cut into
+pieces of ``PIECE`` code points, and of these, in the order of a hash, as many are
+taken as ``LEARN_BYTES`` bytes hold, so the sample is from all over the texts.
 Texts in ``held_out`` are never used.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter,

@@ -502,7 +502,8 @@ def test_language_with_long_texts_only(spark):
     docs = spark.createDataFrame([(1, "aeiou stone " * 40, "xx"), (2, "9 " * 30_000 + "Klm pkl é" * 9000, "zz"), (3, "aei " * 20_000, "xx"), (4, "klm pkl", None)], "doc_id long, text string, lang string")
     learned = language_id.learn_sample(docs, F.lit(False), "doc_id", "text", "lang")
     assert list(learned) == ["xx", "zz"] and all(len(x) <= language_id.LEARN_BYTES for x in learned.values())
-    assert ("klm pkl é" * 9000).startswith(learned["zz"].decode())
+    text, pieces = "9 " * 30_000 + "klm pkl é" * 9000, learned["zz"].decode().split("\n")
+    assert len(pieces) > 30 and all(p in text for p in pieces)
     again = docs.unionByName(docs).withColumn("score", F.lit("clash"))
     got = language_id.identify(again, learned, [F.col("doc_id"), F.col("score")])
     assert got.columns == ["doc_id", "lang_pred", "score"] and dict(got.dtypes)["score"] == "double"
