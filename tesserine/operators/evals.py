@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserine.operators.needles import holding
+
 #: Ranks in a sketch of a group are right to one in so many.
 SKETCH = 10_000
 
@@ -31,8 +33,8 @@ def holders(docs: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame:
 
     The words of a passage but its first and last stand in the document as they
     are, so the two are joined on the first run of ``words`` of them; what meets
-    is then looked at.  Only passages that are too short for a run are compared
-    with every document.
+    is then looked at.  Passages that are too short for a run are looked for all at
+    once in every document (``needles``).
     """
 
     def runs(text: Column) -> Column:
@@ -51,7 +53,8 @@ def holders(docs: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame:
     places = docs.select("path", F.explode(F.array_distinct(runs(F.col("text")))).alias("__run"))
     pairs = places.join(long, "__run").select("path", "query_id", "passage").distinct()
     met = docs.join(pairs, "path").where(F.contains("text", "passage")).select("query_id", "path")
-    rest = docs.join(short, F.contains("text", "passage")).select("query_id", "path")
+    rest = holding(docs.select("path", "text"), "text", short.select(F.col("passage").alias("__short")), "__short").select("path", "__short")
+    rest = rest.join(short, F.col("__short") == F.col("passage")).select("query_id", "path")
     return met.unionByName(rest).distinct()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.functions import paths
+from tesserine.operators.needles import holding
 
 
 def chunk_page(chunks: DataFrame, limit: int, after=None, contains: str | None = None, source_type: str | None = None, filter_after_paging: bool = False) -> DataFrame:
@@ -88,9 +89,10 @@ def file_range(files: DataFrame, path: str, start: int, end: int) -> DataFrame:
 def doc_chunks(chunks: DataFrame, wanted: DataFrame, top_k: int) -> DataFrame:
     """The first ``top_k`` chunks, by line, of the files whose path contains the wanted name (query_id, name), in any case.
 
-    Each distinct name is looked for once, however many queries ask for it.
+    All distinct names are looked for at once in each distinct path (``needles``).
     """
     asked = wanted.where("name is not null").select("query_id", F.lower("name").alias("__name"))
     first = lambda rows, key: rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("start_line", "file_path", "chunk_id"))).where(F.col("rank") <= top_k)
-    met = chunks.drop("query_id").join(asked.select("__name").distinct(), F.contains(F.lower("file_path"), F.col("__name")))
+    places = holding(chunks.select("file_path").distinct().withColumn("__low", F.lower("file_path")), "__low", asked, "__name").drop("__low")
+    met = chunks.drop("query_id").join(places, "file_path")
     return first(first(met, "__name").drop("rank").join(asked, "__name").drop("__name"), "query_id")

@@ -703,11 +703,11 @@ def hybrid_reranked(table):
 SNIPPET_SQL = "CASE WHEN len(string_split(text, chr(10))) > 20 THEN array_to_string(string_split(text, chr(10))[1:20], chr(10)) || chr(10) || '... (' || (len(string_split(text, chr(10))) - 20) || ' more lines)' ELSE text END"
 
 
-@query(hits_sql(", ".join([*HYBRID[:1], RELEVANT_SQL.format(least=0.15, frm="fr", cut=60, final=8), DIVERSE_SQL.format(final=8)]).replace("k=50", "k=30"), f"""SELECT item_id AS query_id, count(*) AS n_chunks,
-  string_agg('[' || rank || '] ' || coalesce(source, '') || ' L0-0' || CASE WHEN vector_score IS NOT NULL THEN ' | relevance:' || printf('%.2f', vector_score) ELSE '' END || chr(10) || coalesce({SNIPPET_SQL}, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank).length() AS chars
-FROM de LEFT JOIN documents USING (doc_id) GROUP BY item_id""").replace("QUALIFY r <= 50", "QUALIFY r <= 30"))
+@query(hits_sql(", ".join([*HYBRID[:1], RELEVANT_SQL.format(least=0.15, frm="fr", cut=60, final=8), DIVERSE_SQL.format(final=8)]).replace("k=50", "k=30"), f"""SELECT query_id, n_chunks, length(c) AS chars, md5(c) AS context_md5 FROM (SELECT item_id AS query_id, count(*) AS n_chunks,
+  string_agg('[' || rank || '] ' || coalesce(source, '') || ' L0-0' || CASE WHEN vector_score IS NOT NULL THEN ' | relevance:' || printf('%.2f', vector_score) ELSE '' END || chr(10) || coalesce({SNIPPET_SQL}, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS c
+FROM de LEFT JOIN documents USING (doc_id) GROUP BY item_id)""").replace("QUALIFY r <= 50", "QUALIFY r <= 30"))
 def chat_contexts(table):
-    """Chat prompts: the chunks of each question with their places, and how long the context is."""
+    """Chat prompts: the chunks of each question with their places, and the context's length and digest."""
     docs = payload(table).join(table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code_snippet")), "id")
     found = search.chat(questions(table), corpus(table), table.index(), docs)
-    return context.contexts(found, context.chat_entry()).select("query_id", "n_chunks", F.length("context").alias("chars"))
+    return context.contexts(found, context.chat_entry()).select("query_id", "n_chunks", F.length("context").alias("chars"), F.md5("context").alias("context_md5"))
