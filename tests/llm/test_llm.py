@@ -623,6 +623,61 @@ def test_pipeline(spark, tmp_path):
     assert sum(r["length"] for r in out) == sum(len(r["ids"]) for r in out)
 
 
+def pipeline_texts():
+    """Prose with words that the rules want, copies, near copies, shared passages and what the rules reject."""
+    shared, second = prose(70, 900), prose(90, 901)
+    texts = [prose(60 + 7 * k, 500 + k) + " the of and to " + prose(5, k) for k in range(24)]
+    texts += [f"{texts[k]} and the {shared} of the {prose(40, 700 + k)}" for k in range(4)] + [f"{prose(50, 720 + k)} the {second[: 300 + k]} and of é {prose(50, 740 + k)}" for k in range(3)]
+    for k in (0, 1, 5):
+        words = texts[k].split()
+        texts += [texts[k], "  ".join(words), " ".join([*words[:-2], "changed", *words[-1:]])]
+    texts += [None, "", "short", "# " * 200, "same words again and the of " * 30, prose(300, 33).upper()]
+    return texts
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    texts = dict(enumerate(pipeline_texts()))
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    good = {i for i, kept in con.sql(f"select doc_id, kept from ({queries.SQL['op4_quality_rules']})").fetchall() if kept}
+    docs = {i: t for i, t in texts.items() if i in good}
+    assert 30 < len(docs) < len(texts)
+    copies = {}
+    for i, t in docs.items():
+        copies.setdefault("".join(words_of(t)), []).append((-len(t), i))
+    docs = {i: docs[i] for i in sorted(min(group)[1] for group in copies.values())}
+    names = brute_classes(list(docs.values()))
+    classes = {}
+    for i, name in zip(docs, names, strict=True):
+        classes.setdefault(name, []).append(i)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r["doc_id"] for r in out}
+    # The first document of each class stays.
+    assert kept == {min(members) for members in classes.values()} and len(classes) < len(docs)
+    docs = {i: t for i, t in docs.items() if i in kept}
+    raws = [t.encode() for t in docs.values()]
+    library, expected, cut = Tokenizer.from_file(WORDS), {}, 0
+    for i, raw, gone in zip(docs, raws, covered_by_repeats(raws, 200), strict=True):
+        spans = [(a, b) for a, b in runs_of(gone) if len(raw[a:b].split()) >= 50]
+        cut += len(spans)
+        left = repeated_spans.without(raw, repeated_spans.whole_characters(raw, spans)).decode()
+        ids = [*library.encode(left, add_special_tokens=False).ids, 0]
+        for p in range(0, len(ids), 2048):
+            expected[i, p // 2048] = (p, ids[p : p + 2048])
+    assert cut >= 5 and {(r["doc_id"], r["piece"]): (r["start"], list(r["ids"])) for r in out} == expected
+    bins = {}
+    for r in out:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sorted(parts)[k][0] == sum(n for _, n in sorted(parts)[:k]) for parts in bins.values() for k in range(len(parts)))
+    assert len(bins) == -(-sum(len(ids) for _, ids in expected.values()) // 2048)
+
+
 def test_pipeline_of_an_empty_table_with_more_columns(spark, tmp_path):
     import corpus_pipeline
 
