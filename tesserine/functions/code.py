@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 # Words that are no function names.
 NOT_CALLED = ["sizeof", "typeof", "alignof"]
 C_KEYWORDS = ["void", "int", "char", "float", "double", "long", "short", "signed", "unsigned", "const", "volatile", "static", "extern", "struct", "union", "enum", "typedef", "return", "if", "else", "while", "for", "do", "switch", "case", "break", "continue", "default", "sizeof", "typeof", "inline", "register", "goto", "restrict", "bool", "true", "false"]
+# Patterns whose text decides the result.
 INCLUDE = r'(?m)^\s*#\s*include\s+"([^"]+)"'
 CALL = r"\b([A-Za-z_]\w*)\s*\("
+COMMENT = r"(?s)/\*.*?\*/|//[^\n]*"
+ANY_INCLUDE = r'#include\s+[<"]([^>"]+)[>"]'
+MACRO = r"#define\s+([a-zA-Z_][a-zA-Z0-9_]*)"
+CALLED = r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\("
+COMMENT_REFERENCE = r"\b([a-zA-Z_][a-zA-Z0-9_]*\s*\([^)]*\)|[A-Z][A-Z0-9_-]{2,})"
 
 
 def _text(text: Column) -> Column:
@@ -35,10 +41,11 @@ def structs(text: Column) -> Column:
 def syntax_tokens(text: Column) -> Column:
     """Included files in either quotes, defined macros, called names and references in comments."""
     body = _text(text)
-    comments = F.array_join(F.regexp_extract_all(body, F.lit(r"(?s)/\*.*?\*/|//[^\n]*"), F.lit(0)), " ")
+    all_of = lambda where, pattern, group=1: F.regexp_extract_all(where, F.lit(pattern), F.lit(group))
+    comments = F.array_join(all_of(body, COMMENT, 0), " ")
     return F.struct(
-        F.regexp_extract_all(body, F.lit(r'#include\s+[<"]([^>"]+)[>"]'), F.lit(1)).alias("includes"),
-        F.regexp_extract_all(body, F.lit(r"#define\s+([a-zA-Z_][a-zA-Z0-9_]*)"), F.lit(1)).alias("macros"),
-        F.array_except(F.regexp_extract_all(body, F.lit(r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\("), F.lit(1)), F.array(*map(F.lit, C_KEYWORDS))).alias("functions"),
-        F.regexp_extract_all(comments, F.lit(r"\b([a-zA-Z_][a-zA-Z0-9_]*\s*\([^)]*\)|[A-Z][A-Z0-9_-]{2,})"), F.lit(1)).alias("comment_refs"),
+        all_of(body, ANY_INCLUDE).alias("includes"),
+        all_of(body, MACRO).alias("macros"),
+        F.array_except(all_of(body, CALLED), F.array(*map(F.lit, C_KEYWORDS))).alias("functions"),
+        all_of(comments, COMMENT_REFERENCE).alias("comment_refs"),
     )

@@ -118,9 +118,13 @@ def assembled_answer(intro: Column, explanation: Column, code: Column) -> Column
     return F.concat_ws("\n\n", F.nullif(intro, F.lit("")), F.nullif(explanation, F.lit("")), fence)
 
 
+# Citations are numbers in brackets, of at most so many characters.
+CITATION, LONGEST_CITATION = r"\[(\d+(?:\s*,\s*\d+)*)\]", 60
+
+
 def citations(answer: Column, n_results: Column) -> Column:
     """Numbers in brackets (also lists of them) that name one of the results, in order of appearance."""
-    groups = F.filter(F.regexp_extract_all(answer, F.lit(r"\[(\d+(?:\s*,\s*\d+)*)\]"), F.lit(1)), lambda g: F.length(g) <= 60)
+    groups = F.filter(F.regexp_extract_all(answer, F.lit(CITATION), F.lit(1)), lambda g: F.length(g) <= LONGEST_CITATION)
     numbers = F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), lambda x: F.trim(x).try_cast("int"))))
     return F.filter(numbers, lambda x: x.isNotNull() & (x >= 1) & (x <= n_results))
 
