@@ -71,3 +71,10 @@ def test_code(spark):
     assert one(spark, "f(g(1)); if (x) sizeof(y)", code.calls) == ["f", "g"]
     tokens = one(spark, '#include <a.h>\n#define MAX 1\n/* SEE-THIS */ run(1)', code.syntax_tokens)
     assert tokens["includes"] == ["a.h"] and tokens["macros"] == ["MAX"] and tokens["functions"] == ["run"] and tokens["comment_refs"] == ["SEE-THIS"]
+
+
+def test_citations(spark):
+    long = "[" + ", ".join(["1"] * 30) + "]"
+    found = lambda answer: one(spark, answer, lambda c: text.citations(c, F.lit(3)))
+    assert found("see [2], [1, 3] and [4] [0] [x] [1,2 ]" + long + " [2]") == [2, 1, 3, 2]
+    assert found("none") == [] and found(None) is None
