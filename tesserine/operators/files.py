@@ -9,6 +9,20 @@ from tesserine.functions import paths
 from tesserine.operators.needles import holding
 
 
+#: Keys that are sent to all tasks, in rows.
+MOST_KEYS = 1 << 20
+
+
+def rows_of(keys: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is among those of ``keys``, a persisted result of a search.
+
+    Keys go to where the rows are read, so texts that no result has are not shuffled;
+    too many of them are joined.
+    """
+    wanted = keys.select(key).distinct()
+    return rows.join(F.broadcast(wanted) if keys.count() <= MOST_KEYS else wanted, key, "left_semi")
+
+
 def chunk_page(chunks: DataFrame, limit: int, after=None, contains: str | None = None, source_type: str | None = None, filter_after_paging: bool = False) -> DataFrame:
     """One page of chunks in the order of their id, by key instead of by offset.
 

@@ -93,6 +93,27 @@ def test_rows_shuffled_do_not_grow_with_documents_that_share_a_term(spark):
     assert max(rows) <= 2 * 2 * 4 * 9 + 60 and abs(rows[1] - rows[0]) < 40, rows
 
 
+def test_index_of_a_batch_equals_all_scores(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "BLOCK_DOCUMENTS", 7)
+    docs = corpus_of(spark, 500, 400).union(spark.createDataFrame([(500, None), (501, "W1 shared w1"), (502, "w1 shared w1"), (503, "--- !")], "d long, t string"))
+    queries = spark.createDataFrame([(1, "shared"), (2, "shared w1 w499"), (3, "w1 w2 w3 w3 shared"), (5, "none of them"), (6, " ".join(f"w{i}" for i in range(60))), (7, ""), (8, None)], "query_id long, text string")
+    full, batch = bm25.build_index(docs, "d", "t"), bm25.batch_index(docs, "d", "t", queries).persist()
+    assert isinstance(batch, bm25.BatchIndex)
+    assert sorted(batch.terms.collect()) == sorted(full.terms.collect())
+    assert [round(x, 9) for x in batch.stats.first()] == [round(x, 9) for x in full.stats.first()]
+    for k in (1, 40, 2000):
+        assert best(bm25.best_scores(batch, queries, k), k) == best(bm25.scores(full, queries), k)
+    # Texts and postings are not shuffled: nine documents a query of each task, and term counts once, in the index.
+    assert shuffled_rows(bm25.search(batch, queries.where("query_id < 3"), 3)) < 200
+    with pytest.raises(ValueError, match="without"):
+        bm25.search(batch, spark.createDataFrame([(1, "w200 w201")], "query_id long, text string"), 3)
+    batch.unpersist()
+    monkeypatch.setattr(bm25, "MOST_CELLS", 3)
+    assert isinstance(bm25.batch_index(docs, "d", "t", queries), bm25.Bm25Index)
+    empty = bm25.batch_index(docs.limit(0), "d", "t", queries)
+    assert bm25.search(empty, queries, 3).count() == 0
+
+
 def test_index_on_disk_equals_one_built_anew(spark, tmp_path):
     import random
 
