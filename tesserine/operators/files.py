@@ -104,9 +104,11 @@ def doc_chunks(chunks: DataFrame, wanted: DataFrame, top_k: int) -> DataFrame:
     """The first ``top_k`` chunks, by line, of the files whose path contains the wanted name (query_id, name), in any case.
 
     All distinct names are looked for at once in each distinct path (``needles``).
+    Chunks are put in order by their places; the rest of them is read at the end.
     """
     asked = wanted.where("name is not null").select("query_id", F.lower("name").alias("__name"))
     first = lambda rows, key: rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("start_line", "file_path", "chunk_id"))).where(F.col("rank") <= top_k)
     places = holding(chunks.select("file_path").distinct().withColumn("__low", F.lower("file_path")), "__low", asked, "__name").drop("__low")
-    met = chunks.drop("query_id").join(places, "file_path")
-    return first(first(met, "__name").drop("rank").join(asked, "__name").drop("__name"), "query_id")
+    met = chunks.select("file_path", "start_line", "chunk_id").join(places, "file_path")
+    found = first(first(met, "__name").drop("rank").join(asked, "__name").drop("__name"), "query_id").select("query_id", "chunk_id", "rank").persist()
+    return found.join(rows_of(found, chunks.drop("query_id"), "chunk_id"), "chunk_id")

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from tesserine.config import DEFAULTS, Settings
 from tesserine.functions import paths, text
 from tesserine.operators import bm25, fusion, vectors
+from tesserine.operators.files import doc_chunks, rows_of
 
 
 def hybrid_search(
     queries: DataFrame,
     corpus: DataFrame,
-    index: bm25.Bm25Index,
+    index: bm25.Bm25Index | bm25.BatchIndex,
     payload: DataFrame,
     *,
     top_k: int = DEFAULTS.query_candidates,
@@ -49,7 +50,8 @@ def hybrid_search(
         exempt = F.lit(False) if strict_tags else F.coalesce("__lexical", F.lit(False))
         fused = fused.where(exempt | F.coalesce("__tagged", F.lit(False))).drop("__tagged", "__lexical")
     fused = fused.where(F.col("rank") <= 2 * top_k)
-    hits = fusion.relevant(fused, final_k, settings.min_vector_score).join(payload, "id", "left")
+    best = fusion.relevant(fused, final_k, settings.min_vector_score).persist()
+    hits = best.join(rows_of(best, payload, "id"), "id", "left")
     if rerank:
         hits = fusion.reranked(hits, queries, settings.rerank_max, settings.rerank_gap)
     return hits.drop("vector_rank", "lexical_rank")
@@ -68,20 +70,20 @@ def retrieved(hits: DataFrame, snippet_lines: int = DEFAULTS.snippet_lines) -> D
     )
 
 
-def query(queries: DataFrame, corpus: DataFrame, index: bm25.Bm25Index, payload: DataFrame, settings: Settings = DEFAULTS, **filters) -> DataFrame:
+def query(queries: DataFrame, corpus: DataFrame, index: bm25.Bm25Index | bm25.BatchIndex, payload: DataFrame, settings: Settings = DEFAULTS, **filters) -> DataFrame:
     """The search entry point: hybrid search, per-file diversity, result fields."""
     hits = hybrid_search(queries, corpus, index, payload, top_k=settings.query_candidates, final_k=settings.query_candidates, settings=settings, **filters)
     return retrieved(fusion.diverse(hits, settings.max_per_file, settings.query_final), settings.snippet_lines)
 
 
-def prefetch(queries: DataFrame, corpus: DataFrame, index: bm25.Bm25Index, payload: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def prefetch(queries: DataFrame, corpus: DataFrame, index: bm25.Bm25Index | bm25.BatchIndex, payload: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """What is cached ahead of a question: long enough questions, reranked, without the per-file cap."""
     asked = queries.where(F.length(F.trim("text")) >= settings.prefetch_min_length)
     hits = hybrid_search(asked, corpus, index, payload, top_k=settings.prefetch_candidates, final_k=settings.prefetch_final, rerank=True, settings=settings)
     return retrieved(hits, settings.snippet_lines)
 
 
-def ask(queries: DataFrame, corpus: DataFrame, index: bm25.Bm25Index, payload: DataFrame, cached: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+def ask(queries: DataFrame, corpus: DataFrame, index: bm25.Bm25Index | bm25.BatchIndex, payload: DataFrame, cached: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """Chunks for an answer: cached ones where there are, else a live search with the per-file cap."""
     live = queries if cached is None else queries.join(cached.select("query_id").distinct(), "query_id", "left_anti")
     hits = hybrid_search(live, corpus, index, payload, top_k=settings.prefetch_candidates, final_k=settings.prefetch_final, settings=settings)
@@ -89,16 +91,14 @@ def ask(queries: DataFrame, corpus: DataFrame, index: bm25.Bm25Index, payload: D
     return found if cached is None else found.unionByName(cached)
 
 
-def chat(queries: DataFrame, corpus: DataFrame, index: bm25.Bm25Index, payload: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def chat(queries: DataFrame, corpus: DataFrame, index: bm25.Bm25Index | bm25.BatchIndex, payload: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Chunks for a chat: of the documentation file that a question names, if it has chunks, else by search."""
-    from tesserine.operators.files import doc_chunks
-
     named = queries.select("query_id", paths.doc_file(F.col("text")).alias("name"))
     placed = payload.withColumn("chunk_id", F.col("id"))
     if "start_line" not in placed.columns:
         placed = placed.withColumn("start_line", F.lit(0))
     routed = doc_chunks(placed, named, settings.chat_final).drop("chunk_id").withColumns({"score": F.lit(0.0), "vector_score": F.lit(None).cast("double")})
-    rest = queries.join(routed.select("query_id").distinct(), "query_id", "left_anti")
+    rest = queries.join(routed.select("query_id").distinct(), "query_id", "left_anti").persist()
     hits = hybrid_search(rest, corpus, index, payload, top_k=settings.chat_candidates, final_k=settings.chat_final, settings=settings)
     found = retrieved(fusion.diverse(hits, settings.max_per_file, settings.chat_final), settings.snippet_lines)
     return retrieved(routed, settings.snippet_lines).unionByName(found)

@@ -114,6 +114,22 @@ def test_index_of_a_batch_equals_all_scores(spark, monkeypatch):
     assert bm25.search(empty, queries, 3).count() == 0
 
 
+@pytest.mark.parametrize("form", ["search", "chat"])
+def test_texts_are_read_where_they_lie(spark, form):
+    queries = spark.createDataFrame([(1, "shared w1", [1.0, 0.0]), (2, "what is in the readme", [0.0, 1.0])], "query_id long, text string, vector array<float>")
+    corpus = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "id long, vector array<float>")
+    rows = []
+    for n in (300, 2400):
+        docs = corpus_of(spark, n, 200).select(F.col("d").alias("id"), F.col("t").alias("code_snippet"), F.when(F.col("d") % 50 == 7, "r/README").otherwise("r/x.c").alias("file_path")).persist()
+        docs.count()
+        index = bm25.batch_index(docs, "id", "code_snippet", queries).persist()
+        found = search.hybrid_search(queries, corpus, index, docs) if form == "search" else search.chat(queries, corpus, index, docs)
+        rows.append(shuffled_rows(found))
+        docs.unpersist()
+        index.unpersist()
+    assert rows[1] - rows[0] < 100, rows
+
+
 def test_index_on_disk_equals_one_built_anew(spark, tmp_path):
     import random
 
