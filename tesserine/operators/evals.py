@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserine.operators.needles import holding
+from tesserine.operators.files import rows_of
+from tesserine.operators.needles import fits, holding
 
 #: Ranks in a sketch of a group are right to one in so many.
 SKETCH = 10_000
@@ -31,11 +32,20 @@ def query_metrics(run: DataFrame, expected: DataFrame, k: int) -> DataFrame:
 def holders(docs: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame:
     """(query_id, path): the documents (path, text) that hold a passage (query_id, passage) whole.
 
-    The words of a passage but its first and last stand in the document as they
-    are, so the two are joined on the first run of ``words`` of them; what meets
-    is then looked at.  Passages that are too short for a run are looked for all at
-    once in every document (``needles``).
+    Passages are looked for all at once where a document is read (``needles``), as
+    long as they fit one automaton.  Of more of them, the words of a passage but its
+    first and last stand in the document as they are, so the two are joined on the
+    first run of ``words`` of them; what meets is then looked at.  Those that are too
+    short for a run are looked for in every document.
     """
+    known = passages.where("passage is not null").select("query_id", "passage")
+
+    def held(some: DataFrame) -> DataFrame:
+        met = holding(docs.select("path", "text"), "text", some.select(F.col("passage").alias("__passage")), "__passage").select("path", "__passage")
+        return met.join(some, F.col("__passage") == F.col("passage")).select("query_id", "path")
+
+    if fits(known, "passage"):
+        return held(known).distinct()
 
     def runs(text: Column) -> Column:
         def joined(h: Column) -> Column:
@@ -46,16 +56,14 @@ def holders(docs: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame:
         hashes = F.transform(F.split(text, r"\s+"), lambda w: F.xxhash64(w))
         return F.element_at(F.transform(F.array(hashes), joined), 1)
 
-    asked = passages.where("passage is not null").withColumn("__n", F.size(F.split("passage", r"\s+")))
+    asked = known.withColumn("__n", F.size(F.split("passage", r"\s+")))
     long = asked.where(F.col("__n") >= words + 2).select("query_id", "passage", F.get(runs(F.col("passage")), F.lit(1)).alias("__run"))
     short = asked.where(F.col("__n") < words + 2).select("query_id", "passage")
     # Only numbers are exploded; texts meet what is left of the pairs.
     places = docs.select("path", F.explode(F.array_distinct(runs(F.col("text")))).alias("__run"))
-    pairs = places.join(long, "__run").select("path", "query_id", "passage").distinct()
-    met = docs.join(pairs, "path").where(F.contains("text", "passage")).select("query_id", "path")
-    rest = holding(docs.select("path", "text"), "text", short.select(F.col("passage").alias("__short")), "__short").select("path", "__short")
-    rest = rest.join(short, F.col("__short") == F.col("passage")).select("query_id", "path")
-    return met.unionByName(rest).distinct()
+    pairs = places.join(long, "__run").select("path", "query_id", "passage").distinct().persist()
+    met = rows_of(pairs, docs, "path").join(pairs, "path").where(F.contains("text", "passage")).select("query_id", "path")
+    return met.unionByName(held(short)).distinct()
 
 
 def averaged(metrics: DataFrame) -> DataFrame:

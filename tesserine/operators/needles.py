@@ -13,6 +13,13 @@ from pyspark.sql import types as T
 MOST_NEEDLES, MOST_CHARACTERS = 200_000, 16 << 20
 
 
+def fits(needles: DataFrame, needle: str) -> bool:
+    """Whether the distinct strings of ``needles`` are few enough for one automaton."""
+    some = needles.where(F.col(needle).isNotNull()).select(needle).distinct().limit(MOST_NEEDLES + 1)
+    size = some.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(needle)), F.lit(0)).alias("characters")).first()
+    return size["n"] <= MOST_NEEDLES and size["characters"] <= MOST_CHARACTERS
+
+
 def holding(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
     """``texts`` with ``needle``: a row for each distinct string of ``needles`` that ``text`` contains (null contains none).
 
@@ -21,11 +28,9 @@ def holding(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> Dat
     for each pair; they are dealt out, not broadcast.
     """
     wanted = needles.where(F.col(needle).isNotNull()).select(needle).distinct()
-    some = wanted.limit(MOST_NEEDLES + 1)
-    size = some.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(needle)), F.lit(0)).alias("characters")).first()
-    if size["n"] > MOST_NEEDLES or size["characters"] > MOST_CHARACTERS:
+    if not fits(wanted, needle):
         return texts.join(wanted.hint("shuffle_replicate_nl"), F.contains(F.col(text), F.col(needle)))
-    names = sorted(r[0] for r in some.collect())
+    names = sorted(r[0] for r in wanted.collect())
     schema = T.StructType([*texts.schema.fields, T.StructField(needle, T.StringType())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

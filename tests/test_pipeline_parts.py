@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserine.functions import ids, tags
-from tesserine.operators import batching, embedding, evals, files, logs, prefetch
+from tesserine.operators import batching, embedding, evals, files, logs, needles, prefetch
 from tesserine.plans import catalog, evaluate
 from tesserine.plans.ingest import ingest, reingest, status
 from tesserine.sources import discovery
@@ -148,6 +148,18 @@ def test_names_and_passages_of_any_number(spark, tmp_path):
     assert (row["queries_scored"], row["hit_rate_at_k"], row["recall_at_k"], row["mrr"]) == (2, 1.0, 1.0, 1.0)
 
 
+def test_passages_are_looked_for_where_texts_lie(spark, monkeypatch):
+    long = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, f"x {long} y"), (2, long.replace("five", "5")), (3, None), (4, f"{long}{long} tail a b"), (5, "tail a b")], "path long, text string")
+    passages = spark.createDataFrame([(7, long), (8, "tail a"), (9, "never seen at all in any of these texts"), (10, None), (11, long)], "query_id long, passage string")
+    found = evals.holders(docs, passages)
+    assert "Exchange hashpartitioning(__run" not in found._jdf.queryExecution().toString() and "explode(" not in found._jdf.queryExecution().toString()
+    expected = {(7, 1), (7, 4), (8, 4), (8, 5), (11, 1), (11, 4)}
+    assert {tuple(r) for r in found.collect()} == expected
+    monkeypatch.setattr(needles, "MOST_NEEDLES", 1)
+    assert {tuple(r) for r in evals.holders(docs, passages).collect()} == expected
+
+
 def test_logs(spark, tmp_path):
     path = tmp_path / "log.jsonl"
     path.write_text('{"type":"ask","total_ms":2.5,"ts":10}\nnot json\n{"type":"ask","total_ms":3.5,"embed_ms":1.0,"ts":11.5}\n')
