@@ -136,6 +136,8 @@ def rows_shuffled_by_size(spark, form):
         docs.count()
         index = bm25.batch_index(docs, "id", "code_snippet", queries).persist()
         found = search.hybrid_search(queries, corpus, index, docs) if form == "search" else search.chat(queries, corpus, index, docs)
+        joins = [line for line in found._jdf.queryExecution().sparkPlan().toString().split("\n") if "LeftSemi" in line]
+        assert any("BroadcastHashJoin" in line for line in joins)
         rows.append(shuffled_rows(found))
         docs.unpersist()
         index.unpersist()
